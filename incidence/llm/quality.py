@@ -129,7 +129,7 @@ def labelled_sample(df: DataFrame, labels: DataFrame, max_rows: int, key: str =
 def fit_rules(sample: DataFrame, max_rules: int = 8, max_conditions: int = 3, min_precision: float = 0.97, min_rows: int = 5) -> list[Rule]:
     """Learn a decision list for `low` by sequential covering.
 
-    `sample` has the statistics and boolean low. Spark bins every feature at quantiles of either label and counts
+    `sample` has the statistics and boolean low. Spark bins every feature at quantiles of either label and midway between, and counts
     labels by bin vector and fold: the driver sees one cell per row of the bounded sample at most. A rule grows on the
     larger fold by the condition with the highest information gain (of equal ones, the threshold farthest from the
     other rows), loses its last conditions as long as the other fold says so, and is kept if its precision on both
@@ -138,7 +138,8 @@ def fit_rules(sample: DataFrame, max_rules: int = 8, max_conditions: int = 3, mi
     named = features()
     rows = sample.select("low", F.pmod(F.hash(*STATS), F.lit(3)).alias("fold"), *[c.alias(k) for k, c in named.items()])
     points = rows.groupBy("low").agg(*[F.percentile_approx(k, list(QUANTILES), 10_000).alias(k) for k in named]).collect()
-    cuts = {k: sorted({float(x) for r in points for x in r[k] or []}) for k in named}
+    found = {k: sorted({float(x) for r in points for x in r[k] or []}) for k in named}
+    cuts = {k: sorted({*v, *((a + b) / 2 for a, b in zip(v, v[1:], strict=False))}) for k, v in found.items()}
     bins = [sum(((F.col(k) > x).cast("int") for x in cuts[k]), F.lit(0)).alias(k) for k in named]
     counted = rows.select((F.col("fold") == 0).alias("test"), "low", *bins).groupBy("test", *named)
     cells = [

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incidence.llm import quality, sharding, simhash, urls
+from incidence.llm import quality, sharding, simhash, substring, urls
 
 #: The url rules.
 URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
@@ -17,6 +17,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = substring.repeated_spans(docs, window=50)
+    cut = spans.select(
+        "doc_id", "_id", substring.removed_words(F.col("spans")).alias("n_removed"), F.sha2(substring.without_spans(F.col("text"), F.col("spans")), 256).alias("cut_sha256")
+    )
+    text = F.col("text")
+    whole = docs.select("doc_id", substring.text_id(text).alias("_id"), substring.word_count(text).alias("n_words"), F.sha2(substring.words_joined(text), 256).alias("whole_sha256"))
+    return whole.join(cut, ["doc_id", "_id"], "left").select(
+        "doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("cut_sha256", "whole_sha256").alias("kept_sha256")
+    )
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     mined = urls.mine_rules(urls.page_labels(pages, _table(spark, sf_dir, "labels")))
@@ -38,10 +51,31 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_url_filters": op3_url_filters,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op10_sharding": op10_sharding,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_substring_dedup": r"""
+with words as (
+  select doc_id, unnest(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) as w,
+         generate_subscripts(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''), 1) as i
+  from documents),
+runs as (
+  select doc_id, i, w, string_agg(w, ' ') over (partition by doc_id order by i rows between current row and 49 following) as run,
+         count(*) over (partition by doc_id order by i rows between current row and 49 following) as n from words),
+owners as (select run, min(doc_id) as first_doc from runs where n = 50 group by run),
+hits as (select r.doc_id, r.i from runs r join owners o on r.run = o.run where r.n = 50 and o.first_doc < r.doc_id),
+marked as (
+  select w.doc_id, w.i, w.w, max(h.i) over (partition by w.doc_id order by w.i rows between 49 preceding and current row) is not null as gone
+  from words w left join hits h on w.doc_id = h.doc_id and w.i = h.i),
+cut as (
+  select doc_id, count(*) as n_words, count(*) filter (where gone) as n_removed,
+         sha256(coalesce(string_agg(w, ' ' order by i) filter (where not gone), '')) as kept_sha256 from marked group by doc_id)
+select d.doc_id, coalesce(c.n_words, 0)::bigint as n_words, coalesce(c.n_removed, 0)::bigint as n_removed, coalesce(c.kept_sha256, sha256('')) as kept_sha256
+from documents d left join cut c on d.doc_id = c.doc_id
+""",
+}

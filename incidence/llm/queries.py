@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incidence.llm import chat, packing, quality, sharding, simhash, substring, urls
+from incidence.llm import chat, packing, quality, sharding, simhash, substring, urls, warc
 
 #: The url rules.
 URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
@@ -54,6 +54,11 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write_archives(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.read_archives(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_verdicts(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filters": op3_url_filters,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_warc": op6_warc,
     "op7_quality_rules": op7_quality_rules,
     "op10_sharding": op10_sharding,
 }
@@ -104,5 +110,12 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
        sum(chars)::bigint as formatted_chars
 from sized group by conv_id
+""",
+    "op6_warc": """
+with p as (select page_id, sha256(coalesce(html, '')) as payload_digest, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes from pages),
+f as (select payload_digest, min(page_id) as first_page from p where payload_bytes >= 100 group by payload_digest)
+select page_id, payload_bytes, p.payload_digest, case when page_id > first_page then 'revisit' else 'response' end as record_type,
+       case when page_id > first_page then first_page end as refers_to
+from p left join f on p.payload_digest = f.payload_digest
 """,
 }

@@ -19,15 +19,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    spans = substring.repeated_spans(docs, window=50)
-    cut = spans.select(
-        "doc_id", "_id", substring.removed_words(F.col("spans")).alias("n_removed"), F.sha2(substring.without_spans(F.col("text"), F.col("spans")), 256).alias("cut_sha256")
-    )
-    text = F.col("text")
-    whole = docs.select("doc_id", substring.text_id(text).alias("_id"), substring.word_count(text).alias("n_words"), F.sha2(substring.words_joined(text), 256).alias("whole_sha256"))
-    return whole.join(cut, ["doc_id", "_id"], "left").select(
-        "doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("cut_sha256", "whole_sha256").alias("kept_sha256")
+    found = substring.find_repeats(_table(spark, sf_dir, "documents"), window=50)
+    kept = F.sha2(substring.without_spans(F.col("text"), F.col("spans")), 256)
+    cut = found.spans.select("doc_id", "_id", substring.removed_words(F.col("spans")).alias("n_removed"), kept.alias("cut_sha256"))
+    return found.documents.join(cut, ["doc_id", "_id"], "left").select(
+        "doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("cut_sha256", "words_sha256").alias("kept_sha256")
     )
 
 

@@ -8,14 +8,18 @@ merge into maximal spans.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from incidence.llm.common import WHITES, WORD, WordHashes, materialize, splitmix
+from incidence.llm.bytewords import blocks
+from incidence.llm.common import WHITES, lists, materialize, splitmix
 
 #: Two odd factors for polynomial hashes modulo 2^64; odd numbers have inverses there.
 FACTORS = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93)
@@ -62,14 +66,11 @@ def anchors(grams: np.ndarray, width: int) -> np.ndarray:
 
 
 class Seeder:
-    """A task's hashes, from words to anchors."""
+    """A task's hashes, from word hashes to anchors."""
 
     def __init__(self, window: int, gram: int):
         self.window, self.gram = window, gram
-        self.hashes, self.one, self.two = WordHashes(), *map(Rolling, FACTORS)
-
-    def words(self, text: str | None) -> np.ndarray:
-        return self.hashes.of(WORD.findall(text or ""))
+        self.one, self.two = map(Rolling, FACTORS)
 
     def seeds(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Prefix sums, places of anchors, hashes of anchors."""
@@ -81,6 +82,13 @@ class Seeder:
         return prefix, at, grams[at].view(np.int64)
 
 
+def documents(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, word hashes) of a batch's texts."""
+    for block in blocks(batch["_text"]):
+        for i, (a, b) in enumerate(pairwise(block.bounds)):
+            yield block.first + i, block.hashes[a:b]
+
+
 def text_id(text: Column) -> Column:
     return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
 
@@ -90,59 +98,72 @@ def words_joined(text: Column) -> Column:
     return F.regexp_replace(F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITES)), r"[\x20\x09-\x0D]+", " ")
 
 
-def word_count(text: Column) -> Column:
-    joined = words_joined(text)
-    return F.when(joined == "", F.lit(0)).otherwise(F.length(joined) - F.length(F.translate(joined, " ", "")) + 1).cast("long")
+class Repeats(NamedTuple):
+    """spans: key, _id, text, spans [from, to) in words, of documents that repeat something; documents: key, _id, n_words, words_sha256 of all rows."""
 
+    spans: DataFrame
+    documents: DataFrame
 
-def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = 50, gram: int = 16) -> DataFrame:
-    """key, _id, text, spans: the documents that repeat something, with word spans [from, to) to remove.
+
+def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = 50, gram: int = 16) -> Repeats:
+    """The word spans of every document that another one with a smaller key also has, in runs of `window` words.
 
     Keys are long; a document with a null key neither loses words nor takes them from others. Rows with the same key
     are one document as to what is smaller. Of equal texts those with larger keys are wholly repeated (if they have a
-    window at all) without being compared. Texts move once, and those of documents with shared anchors once more.
+    window at all) without being compared; their text is null in spans. Null texts have no words. Texts move once, and
+    those of documents with shared anchors once more. Hot anchors and windows are pre-aggregated and their rows joined
+    with the few that are shared, in joins that Spark can split.
     """
-    docs = df.select(df[key].cast("long").alias("_key"), F.coalesce(df[text], F.lit("")).alias("_text"), text_id(df[text]).alias("_id")).where("_key is not null")
+    docs = df.select(df[key].cast("long").alias("_key"), F.coalesce(df[text], F.lit("")).alias("_text"), text_id(df[text]).alias("_id"))
 
-    def seeds_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def seeds_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeder = Seeder(window, gram)
-        for frame in frames:
-            found = [np.unique(seeder.seeds(seeder.words(t))[2]) for t in frame["_text"]]
-            keep = [len(f) > 0 for f in found]
-            yield frame.loc[keep, ["_key", "_id"]].assign(seeds=[f for f in found if len(f)])
-
-    def windows_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes, found = [], []
+            for _, words in documents(batch):
+                sizes.append(len(words))
+                found.append(np.unique(seeder.seeds(words)[2]))
+            digests = [hashlib.sha256(b" ".join(t.split())).hexdigest() for t in batch["_text"].cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["_key"], batch["_id"], pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), lists(found, pa.int64())], ["_key", "_id", "n_words", "words_sha256", "seeds"])
+
+    def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeder = Seeder(window, gram)
-        for frame in frames:
-            rows = []
-            for body, shared in zip(frame["_text"], frame["shared"], strict=True):
-                words = seeder.words(body)
+        for batch in batches:
+            places, ones, twos = [], [], []
+            known = batch["shared"]
+            for row, words in documents(batch):
                 prefix, at, hashes = seeder.seeds(words)
-                starts = at[np.isin(hashes, shared)]
+                starts = at[np.isin(hashes, known[row].values.to_numpy())]
                 marks = np.zeros(len(words) + 2, np.int32)  # windows that hold a shared anchor
                 np.add.at(marks, np.maximum(starts - (window - gram), 0), 1)
                 np.add.at(marks, np.minimum(starts, len(words) - window) + 1, -1)
-                places = np.flatnonzero(np.cumsum(marks) > 0)
-                one = seeder.one.runs(prefix, window)[places]
-                two = seeder.two.runs(seeder.two.prefix(words), window)[places] >> np.uint64(32)
-                rows.append((places.astype(np.int32), one.view(np.int64), two.astype(np.uint32).view(np.int32)))
-            yield frame[["_key", "_id", "_text"]].assign(**{c: [r[i] for r in rows] for i, c in enumerate(("places", "one", "two"))})
-
-    seeds = materialize(docs.mapInPandas(seeds_of, "_key long, _id binary, seeds array<long>"), "anchors")
-    first = seeds.groupBy("_id").agg(F.min("_key").alias("_first"), F.max("_key").alias("_last"))
-    copies = seeds.select("_key", "_id").join(first.where("_first < _last"), "_id").where("_key > _first").select("_key", "_id").distinct()
-    alone = seeds.join(copies, ["_key", "_id"], "left_anti").select("_key", "_id", F.explode("seeds").alias("seed"))
-    shared = alone.groupBy("seed").agg(F.min("_key").alias("a"), F.max("_key").alias("b")).where("a < b").select("seed")
+                held = np.flatnonzero(np.cumsum(marks) > 0)
+                places.append(held)
+                ones.append(seeder.one.runs(prefix, window)[held].view(np.int64))
+                twos.append((seeder.two.runs(seeder.two.prefix(words), window)[held] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            columns = [batch["_key"], batch["_id"], batch["_text"], lists(places, pa.int32()), lists(ones, pa.int64()), lists(twos, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["_key", "_id", "_text", "places", "one", "two"])
+
+    seeds = materialize(docs.mapInArrow(seeds_of, "_key long, _id binary, n_words long, words_sha256 string, seeds array<long>"), "anchors")
+    whole = seeds.where(F.col("_key").isNotNull() & (F.col("n_words") >= window))
+    first = materialize(whole.groupBy("_id").agg(F.min("_key").alias("_first"), F.max("_key").alias("_last")).where("_first < _last").select("_id", "_first"), "copies")
+    copied = whole.select("_key", "_id", "n_words", "seeds").join(first, "_id", "left").withColumn("_copy", F.coalesce(F.col("_key") > F.col("_first"), F.lit(False)))
+    alone = copied.where("not _copy").select("_key", "_id", F.explode("seeds").alias("seed"))
+    shared = materialize(alone.groupBy("seed").agg(F.min("_key").alias("a"), F.max("_key").alias("b")).where("a < b").select("seed"), "shared-anchors")
     known = alone.join(shared, "seed").groupBy("_key", "_id").agg(F.collect_set("seed").alias("shared"))
-    windows = materialize(docs.dropDuplicates(["_key", "_id"]).join(known, ["_key", "_id"]).mapInPandas(windows_of, "_key long, _id binary, _text string, places array<int>, one array<long>, two array<int>"), "windows")
+    windows = docs.join(known, ["_key", "_id"]).mapInArrow(windows_of, "_key long, _id binary, _text string, places array<int>, one array<long>, two array<int>")
+    windows = materialize(windows, "windows")
 
     each = windows.select("_key", "_id", F.inline(F.arrays_zip("places", "one", "two")))
     owner = each.groupBy("one", "two").agg(F.min("_key").alias("_first"), F.max("_key").alias("_last")).where("_first < _last").select("one", "two", "_first")
-    repeats = each.join(owner, ["one", "two"]).where("_key > _first").groupBy("_key", "_id").agg(F.sort_array(F.collect_list("places")).alias("places"))
-    spans = windows.select("_key", "_id", "_text").join(repeats, ["_key", "_id"]).select("_key", "_id", "_text", merged_spans(F.col("places"), window).alias("spans"))
-    whole = docs.select("_key", "_id", word_count(F.col("_text")).alias("n")).distinct().join(copies, ["_key", "_id"]).where(F.col("n") >= window)
-    whole = whole.select("_key", "_id", F.lit(None).cast("string").alias("_text"), F.array(F.struct(F.lit(0).alias("from"), F.col("n").cast("int").alias("to"))).alias("spans"))
-    return spans.unionByName(whole).select(F.col("_key").alias(key), "_id", F.col("_text").alias("text"), "spans")
+    owner = materialize(owner, "owners")
+    repeats = each.join(owner, ["one", "two"]).where("_key > _first").groupBy("_key", "_id").agg(F.sort_array(F.collect_set("places")).alias("places"))
+    spans = windows.select("_key", "_id", "_text").join(repeats, ["_key", "_id"]).dropDuplicates(["_key", "_id"])
+    spans = spans.select("_key", "_id", "_text", merged_spans(F.col("places"), window).alias("spans"))
+    gone = copied.where("_copy").dropDuplicates(["_key", "_id"])
+    gone = gone.select("_key", "_id", F.lit(None).cast("string").alias("_text"), F.array(F.struct(F.lit(0).alias("from"), F.col("n_words").cast("int").alias("to"))).alias("spans"))
+    spans = spans.unionByName(gone).select(F.col("_key").alias(key), "_id", F.col("_text").alias("text"), "spans")
+    return Repeats(spans, seeds.select(F.col("_key").alias(key), "_id", "n_words", "words_sha256"))
 
 
 def merged_spans(places: Column, window: int) -> Column:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incidence.llm import chat, decontamination, packing, quality, sharding, simhash, substring, urls, warc
+from incidence.llm import chat, decontamination, lines, packing, quality, sharding, simhash, substring, urls, warc
 
 #: The url rules.
 URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
@@ -60,6 +60,15 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    gone = lines.repeated_lines(docs).select("doc_id", "_id", "removed")
+    text = F.coalesce("text", F.lit(""))
+    whole = docs.withColumn("_id", F.xxhash64(text)).join(gone, ["doc_id", "_id"], "left")
+    kept = lines.without_lines(text, F.col("removed"))
+    return whole.select("doc_id", F.coalesce("removed", F.array().cast("array<int>")).alias("removed_lines"), F.sha2(kept, 256).alias("kept_sha256"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -76,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_warc": op6_warc,
     "op7_quality_rules": op7_quality_rules,
+    "op8_line_dedup": op8_line_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_sharding": op10_sharding,
 }

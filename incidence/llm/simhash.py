@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -52,7 +53,7 @@ def fingerprints(df: DataFrame, key: str, text: str, shingle: int = 4, block_shi
                 words = body.encode("utf-8", "surrogatepass").lower().split() if body else []
                 hashes = shingle_hashes(words, shingle)
                 fps.append(majority(np.unique(shingle_hashes(words, block_shingle))) if block_shingle else majority(hashes))
-                sigs.append(b"".join(majority(splitmix(hashes + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k + 1))).to_bytes(8, "little") for k in range(wide)))
+                sigs.append(b"".join(majority(splitmix(hashes + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64)))).to_bytes(8, "little") for k in range(wide)))
             yield pd.DataFrame({"_key": frame["_key"], "fp": np.array(fps, np.uint64).view(np.int64), "sig": sigs})
 
     rows = df.select(df[key].alias("_key"), df[text].alias("_text"))
@@ -151,7 +152,7 @@ def component_table(prints: DataFrame, key: str, bits: int, wide_bits: int = 0)
     masks = _masks(bits, nodes.count())
     keys = F.array(*[F.struct(F.lit(i).alias("_c"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("_masked")) for i, m in enumerate(masks)])
     blocks = nodes.select("fp", "sig", "_node", F.inline(keys))
-    hot = blocks.groupBy("_c", "_masked").count().where(F.col("count") > CHUNK)
+    hot = materialize(blocks.groupBy("_c", "_masked").count().where(F.col("count") > CHUNK), "hot-blocks")
     chunks = F.ceil(F.coalesce("count", F.lit(1)) / CHUNK).cast("int")
     dealt = blocks.join(hot, ["_c", "_masked"], "left").withColumn("_g", chunks)
     dealt = dealt.withColumn("_s", F.pmod(F.xxhash64("fp", "sig", "_node"), F.col("_g")).cast("int"))
@@ -176,6 +177,25 @@ def near_duplicates(
     return prints.join(component_table(prints, key, bits, wide_bits), ["fp", "sig"]).select(key, "fp", "sig", "component_id")
 
 
+def bits_apart(similarity: float, bits: int) -> int:
+    """Bits by which fingerprints of texts of this Jaccard similarity differ, one standard deviation above the mean."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * p + math.sqrt(bits * p * (1 - p)))
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle: int = 5, bits: int = 8, wide: int = 8) -> DataFrame:
+    """The rows of `df`, all columns, with the smallest key of their near-duplicate component.
+
+    Fingerprints of single words find the pairs (a word changed in fifty changes few of their bits, but a tenth of the
+    five-word shingles), and 64 * `wide` bits over `shingle`-word shingles verify them against what `similarity` makes
+    differ. Of rows with equal keys one stays; of rows with null keys, those in a component without other keys.
+    """
+    marked = near_duplicates(df, key, text, bits, shingle, 1, wide, bits_apart(similarity, 64 * wide))
+    first = materialize(marked.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("_kept")).count(), "kept")
+    out = df.join(first.select("_kept"), df[key].eqNullSafe(F.col("_kept")), "left_semi")
+    return out if first.where("count > 1").isEmpty() else out.dropDuplicates([key])
+
+
 def hex_digits(fp: Column) -> Column:
     """16 lower-case hex digits of a long taken as unsigned."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

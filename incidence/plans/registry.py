@@ -6,6 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-FLAGSHIP = "severity_mix"
+FLAGSHIP = "dangerous_roads"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with the SQL that gives the same rows."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+from incidence.plans import (  # noqa: E402, F401  the modules register their queries
+    features,
+    forecast,
+    learning,
+    matching,
+    operations,
+    spatial,
+    statistics,
+    text,
+)

@@ -1 +1,146 @@
-"""To come."""
+"""Feature building for the severity model, without columns that give the outcome away."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from incidence.functions.stats import share
+from incidence.model import accidents, participants, table, vehicles, with_roles
+from incidence.plans.registry import query
+from incidence.plans.statistics import category, fixed_holiday
+
+VEHICLES = with_roles("vehicles")
+#: Columns that are known only after the outcome; a feature matrix may hold none of them.
+LEAKING = frozenset({"lost", "suffer"})
+
+VEHICLE_SQL = """
+vehicle_features as (
+  select accident_id, count(*) as n_vehicles, round(count(*) filter (where is_right_hand_drive) * 1e0 / nullif(count(is_right_hand_drive), 0), 6) as rhd_share,
+         count(is_right_hand_drive) as classified, round(avg(nullif(vehicle_year, 0)), 4) as mean_year, bool_or(lower(prod_type) like '%tin%') as has_moto,
+         bool_or(lower(prod_type) like '%brass%' or lower(prod_type) like '%copper%') as has_truck_or_bus from vehicles group by accident_id)"""
+MARK_SQL = """
+marks as (
+  select accident_id, mark from (
+    select accident_id, mark, row_number() over (partition by accident_id order by count(*) desc, mark) as place from vehicles group by accident_id, mark) where place = 1)"""
+PEOPLE_SQL = """
+people_features as (
+  select accident_id, round(count(*) filter (where permille > 0) * 1e0 / count(*), 6) as drunk_share, count(permille) as med_known,
+         round(count(*) filter (where safety_belt = 'no') * 1e0 / count(*), 6) as unbelted_share, round(avg(age) filter (where age >= 18), 4) as mean_age from participants group by accident_id)"""
+
+
+def vehicle_features_of(rows: DataFrame) -> DataFrame:
+    kind = category(F.col("prod_type"))
+    return rows.groupBy("accident_id").agg(
+        F.count(F.lit(1)).alias("n_vehicles"), F.round(share(F.count_if("is_right_hand_drive"), F.count("is_right_hand_drive")), 6).alias("rhd_share"), F.count("is_right_hand_drive").alias("classified"),
+        F.round(F.avg(F.nullif("vehicle_year", F.lit(0))), 4).alias("mean_year"), F.bool_or(kind == "moto").alias("has_moto"), F.bool_or(kind.isin("trucks", "buses")).alias("has_truck_or_bus"),
+    )
+
+
+def dominant_mark_of(rows: DataFrame) -> DataFrame:
+    """The most frequent mark of each accident; of equal ones the first by name."""
+    counts = rows.groupBy("accident_id", "mark").agg(F.count(F.lit(1)).alias("_n"))
+    return counts.groupBy("accident_id").agg(F.min_by("mark", F.struct(-F.col("_n"), "mark")).alias("mark"))
+
+
+def people_features_of(rows: DataFrame) -> DataFrame:
+    n = F.count(F.lit(1))
+    return rows.groupBy("accident_id").agg(
+        F.round(share(F.count_if(F.col("permille") > 0), n), 6).alias("drunk_share"), F.count("permille").alias("med_known"), F.round(share(F.count_if(F.col("safety_belt") == "no"), n), 6).alias("unbelted_share"),
+        F.round(F.avg(F.when(F.col("age") >= 18, F.col("age"))), 4).alias("mean_age"),
+    )
+
+
+def top_or_other(df: DataFrame, column: str, n: int, other: str = "other") -> DataFrame:
+    """The n most frequent values stay (ties by value), the rest becomes `other`."""
+    top = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n")).where(F.col(column).isNotNull()).orderBy(F.desc("_n"), column).limit(n).select(column, F.col(column).alias("_kept"))
+    return df.join(top, column, "left").withColumn(column, F.coalesce("_kept", F.lit(other))).drop("_kept")
+
+
+@query(VEHICLES + "," + VEHICLE_SQL + " select * from vehicle_features")
+def vehicle_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vehicle_features_of(vehicles(spark, sf_dir))
+
+
+@query(VEHICLES + "," + MARK_SQL + " select * from marks")
+def dominant_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dominant_mark_of(vehicles(spark, sf_dir))
+
+
+@query(with_roles("accidents") + """, top as (select np from accidents group by np order by count(*) desc, np limit 5)
+select coalesce(top.np, 'other') as np, count(*) as n from accidents left join top on accidents.np = top.np group by 1""")
+def topn_or_other(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_or_other(accidents(spark, sf_dir), "np", 5).groupBy("np").agg(F.count(F.lit(1)).alias("n"))
+
+
+def is_weekend(moment: Column) -> Column:
+    """Friday and Saturday, as the model was trained (days count from Sunday = 0 and 5, 6 are taken)."""
+    return (F.dayofweek(moment) - 1).isin(5, 6)
+
+
+def feature_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per accident: children are aggregated before they are joined, so that no join multiplies rows."""
+    own = vehicles(spark, sf_dir)
+    base = accidents(spark, sf_dir).withColumns(
+        {
+            "hour": F.hour("datetime").cast("long"), "dow": (F.dayofweek("datetime") - 1).cast("long"), "month": F.month("datetime").cast("long"), "year": F.year("datetime").cast("long"),
+            "is_weekend": is_weekend(F.col("datetime")), "is_holiday": fixed_holiday(F.col("datetime")), "is_highway": F.coalesce(F.trim("roads") != "", F.lit(False)),
+        }
+    )
+    joined = base
+    for part in (vehicle_features_of(own), dominant_mark_of(own), people_features_of(participants(spark, sf_dir))):
+        joined = joined.join(part.withColumnRenamed("accident_id", "id"), "id", "left")
+    joined = top_or_other(joined.withColumn("mark", F.coalesce("mark", F.lit("unknown"))), "mark", 15)
+    out = joined.drop("datetime", "k", "roads", "lon", "lat", *LEAKING)
+    if leaked := LEAKING & set(out.columns):
+        raise AssertionError(f"leaking columns: {sorted(leaked)}")
+    return out
+
+
+@query(with_roles("accidents", "vehicles", "participants") + "," + VEHICLE_SQL + "," + MARK_SQL + "," + PEOPLE_SQL + """,
+marked as (select id, coalesce(mark, 'unknown') as mark from accidents left join marks on id = accident_id),
+top as (select mark from marked group by mark order by count(*) desc, mark limit 15)
+select a.id, np, place, parent_region, em_type, light_type, severity, is_in_region, hour(datetime) as hour, dayofweek(datetime) as dow, month(datetime) as month, year(datetime) as year,
+       dayofweek(datetime) in (5, 6) as is_weekend,
+       (month(datetime) = 1 and day(datetime) <= 8) or (month(datetime), day(datetime)) in ((2, 23), (3, 8), (5, 1), (5, 9), (6, 12), (11, 4)) as is_holiday,
+       coalesce(trim(roads) <> '', false) as is_highway, n_vehicles, rhd_share, classified, mean_year, has_moto, has_truck_or_bus, coalesce(top.mark, 'other') as mark,
+       drunk_share, med_known, unbelted_share, mean_age
+from accidents a join marked m on a.id = m.id left join top on m.mark = top.mark left join vehicle_features v on a.id = v.accident_id left join people_features p on a.id = p.accident_id""")
+def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feature_frame(spark, sf_dir)
+
+
+@query("".join(f"{' union all' if i else ''} select '{c}' as feature, count(*) as n, round(100e0 * count(*) filter (where {c} is null) / count(*), 4) as pct_null, count(distinct {c}) as n_unique, count(distinct {c}) <= 1 as is_constant from part" for i, c in enumerate(("p_brand", "p_type", "p_size", "p_retailprice"))))
+def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nulls and distinct values per column, from one aggregate turned on its side."""
+    names = ("p_brand", "p_type", "p_size", "p_retailprice")
+    n = F.count(F.lit(1))
+    stats = [F.struct(F.lit(c).alias("feature"), n.alias("n"), F.round(share(F.count_if(F.col(c).isNull()), n) * 100.0, 4).alias("pct_null"), F.count_distinct(c).alias("n_unique")) for c in names]
+    return table(spark, sf_dir, "part").agg(F.array(*stats).alias("rows")).select(F.inline("rows")).withColumn("is_constant", F.col("n_unique") <= 1)
+
+
+@query("""
+select min(p_size) as low, max(p_size) as high, round(quantile_cont(p_size, 0.05), 4) as p05, round(quantile_cont(p_size, 0.95), 4) as p95, round(median(p_size), 4) as middle,
+       (select p_brand from part group by p_brand order by count(*) desc, p_brand limit 1) as usual_brand from part""")
+def form_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges and defaults of a form's fields; the usual value is the smallest of the most frequent."""
+    q = lambda p: F.round(F.percentile("p_size", F.lit(p)), 4)
+    return table(spark, sf_dir, "part").agg(F.min("p_size").alias("low"), F.max("p_size").alias("high"), q(0.05).alias("p05"), q(0.95).alias("p95"), q(0.5).alias("middle"), F.mode("p_brand", True).alias("usual_brand"))
+
+
+@query("select floor(l_quantity / 5)::bigint as bin, count(*) as n, floor(8 * log2(1 + max(l_extendedprice)))::bigint as log_bin_max from lineitem group by 1")
+def histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts in bins of equal width, and the logarithmic bin of each bin's largest price."""
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.floor(F.col("l_quantity") / 5).alias("bin"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.floor(8 * F.log2(1 + F.max("l_extendedprice"))).alias("log_bin_max"))
+
+
+@query("""
+select c_mktsegment as class, count(*) as n, round(count(*) * 1e0 / sum(count(*)) over (), 6) as share, round(sum(count(*)) over () * 1e0 / (count(*) over () * count(*)), 6) as weight
+from customer group by c_mktsegment""")
+def class_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class shares and balanced weights total / (classes * count)."""
+    every = Window.partitionBy()
+    counts = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(every)
+    return counts.select("class", "n", F.round(F.col("n") / total, 6).alias("share"), F.round(total / (F.count(F.lit(1)).over(every) * F.col("n")), 6).alias("weight"))

@@ -1 +1,200 @@
-"""To come."""
+"""Points and places: radius profiles, containment, nearest roads, hotspots, countermeasures."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from incidence.functions.geo import METRES_PER_DEGREE, haversine, haversine_sql, inside, inside_sql, project
+from incidence.model import accidents, lon_lat, table, with_roles
+from incidence.operators.clustering import dbscan
+from incidence.operators.recommend import profile, profile_sql, recommend, recommend_sql
+from incidence.plans.registry import query
+
+ACCIDENTS = with_roles("accidents")
+CENTRES = ((0, 43.11, 131.92), (1, 43.18, 132.01), (2, 43.26, 132.12), (3, 40.0, 120.0))
+#: An octagon around (132.2, 43.3).
+RING = [(131.95, 43.2), (132.1, 43.05), (132.3, 43.05), (132.45, 43.2), (132.45, 43.4), (132.3, 43.55), (132.1, 43.55), (131.95, 43.4)]
+PLACES = (("north", 43.52, 132.52), ("middle", 43.3, 132.2), ("south", 43.1, 131.9))
+POINTS_SQL = """
+points as (
+  select c_custkey as id, 131.9e0 + (c_custkey % 7)::double * 0.1e0 + (c_custkey * c_custkey * 31 % 1009) / 1009e0 * ((c_custkey * c_custkey * 31 % 1009) / 1009e0) * ((c_custkey * c_custkey * 31 % 1009) / 1009e0) * 0.08e0 as lon,
+         43.1e0 + (c_custkey % 7)::double * 0.07e0 + (c_custkey * c_custkey * 57 % 1013) / 1013e0 * ((c_custkey * c_custkey * 57 % 1013) / 1013e0) * ((c_custkey * c_custkey * 57 % 1013) / 1013e0) * 0.08e0 as lat
+  from customer)"""
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One point per customer."""
+    lon, lat = lon_lat(F.col("c_custkey"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), lon.alias("lon"), lat.alias("lat"))
+
+
+def within(df: DataFrame, centres: DataFrame, radius: float) -> DataFrame:
+    """Rows of `df` (lat, lon) with the centres at most `radius` metres away: a join on grid cells, then the distance."""
+    step_lat = radius / METRES_PER_DEGREE
+    cell_lat = lambda c: F.floor(F.col(c) / step_lat).cast("long")
+    wide = centres.withColumn("_cell", F.explode(F.array(*[cell_lat("c_lat") + i for i in (-1, 0, 1)])))
+    near = df.withColumn("_cell", cell_lat("lat")).join(wide, "_cell")
+    return near.withColumn("distance", haversine(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon"))).where(F.col("distance") <= radius).drop("_cell")
+
+
+def _centres(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(CENTRES), "centre int, c_lat double, c_lon double")
+
+
+CENTRES_SQL = "centres as (select * from (values " + ", ".join(f"({i}, {lat}e0, {lon}e0)" for i, lat, lon in CENTRES) + ") t(centre, c_lat, c_lon))"
+
+
+@query(ACCIDENTS + ", " + CENTRES_SQL + ", near as (select * from accidents, centres where " + haversine_sql("lat", "lon", "c_lat", "c_lon") + " <= 1500), " + profile_sql("near", "centre") + " select * from profile")
+def spot_profile_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile of each centre: shares, most frequent values and flags over the accidents within 1500 metres."""
+    return profile(within(accidents(spark, sf_dir), _centres(spark), 1500.0), "centre")
+
+
+@query(ACCIDENTS + ", " + CENTRES_SQL + ", near as (select * from accidents, centres where " + haversine_sql("lat", "lon", "c_lat", "c_lon") + " <= 1500), " + profile_sql("near", "centre") + ", " + recommend_sql("centre", 5))
+def recommend_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best five countermeasures of each centre with ten accidents at least."""
+    return recommend(profile(within(accidents(spark, sf_dir), _centres(spark), 1500.0), "centre"), "centre", 5)
+
+
+@query(ACCIDENTS + ", towns as (select *, k % 7 as town from accidents), " + profile_sql("towns", "town") + ", " + recommend_sql("town", 3))
+def recommend_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recommend(profile(accidents(spark, sf_dir).withColumn("town", F.col("k") % 7), "town"), "town", 3)
+
+
+@query("with " + POINTS_SQL + f" select {inside_sql('lon', 'lat', RING)} as is_inside, count(*) as n, round(avg(lon), 6) as lon, round(avg(lat), 6) as lat from points group by 1")
+def spatial_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = points(spark, sf_dir).withColumn("is_inside", inside(F.col("lon"), F.col("lat"), RING))
+    return rows.groupBy("is_inside").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("lon"), 6).alias("lon"), F.round(F.avg("lat"), 6).alias("lat"))
+
+
+#: Metres per degree of latitude, and of longitude at the region's middle latitude, for distances to short segments.
+M_LAT, M_LON = 111_194.93, 80_923.6
+
+
+def roads(df: DataFrame) -> DataFrame:
+    """A road edge from every fifth point to another point of its town."""
+    end = df.select((F.col("id") - 7).alias("road_id"), F.col("lon").alias("x2"), F.col("lat").alias("y2"))
+    return df.where("id % 5 = 0").select(F.col("id").alias("road_id"), F.col("lon").alias("x1"), F.col("lat").alias("y1")).join(end, "road_id")
+
+
+def snapped(df: DataFrame, edges: DataFrame, reach: float = 50.0, step: float = 0.005) -> DataFrame:
+    """Each point with its nearest road within `reach` metres: distance, road and the place on it, else unchanged.
+
+    An edge is dealt to all grid cells that its box, widened by the reach, touches; points meet edges of their cell.
+    """
+    pad_x, pad_y = reach / M_LON, reach / M_LAT
+    span = lambda a, b, pad: F.sequence(F.floor((F.least(a, b) - pad) / step).cast("long"), F.floor((F.greatest(a, b) + pad) / step).cast("long"))
+    dealt = edges.withColumn("_cx", F.explode(span("x1", "x2", pad_x))).withColumn("_cy", F.explode(span("y1", "y2", pad_y)))
+    cells = df.withColumns({"_cx": F.floor(F.col("lon") / step).cast("long"), "_cy": F.floor(F.col("lat") / step).cast("long")})
+    dx, dy = (F.col("x2") - F.col("x1")) * M_LON, (F.col("y2") - F.col("y1")) * M_LAT
+    px, py = (F.col("lon") - F.col("x1")) * M_LON, (F.col("lat") - F.col("y1")) * M_LAT
+    along = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(px * dx + py * dy, dx * dx + dy * dy), F.lit(0.0))))
+    met = cells.join(dealt, ["_cx", "_cy"]).withColumn("t", along)
+    met = met.withColumn("distance", F.sqrt(F.pow(px - F.col("t") * dx, 2) + F.pow(py - F.col("t") * dy, 2))).where(F.col("distance") <= reach)
+    place = F.struct("distance", "road_id", (F.col("x1") + F.col("t") * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + F.col("t") * (F.col("y2") - F.col("y1"))).alias("y"))
+    best = met.groupBy("id").agg(F.min(place).alias("best"))
+    out = df.join(best, "id", "left")
+    method = F.when(F.col("best").isNotNull(), "osm_road").otherwise("unchanged")
+    return out.select("id", method.alias("snap_method"), F.col("best.distance").alias("snap_distance_m"), F.col("best.road_id").alias("snap_road_id"), F.coalesce("best.x", "lon").alias("snapped_lon"), F.coalesce("best.y", "lat").alias("snapped_lat"))
+
+
+SNAP_SQL = "with " + POINTS_SQL + f""",
+edges as (select a.id as road_id, a.lon as x1, a.lat as y1, b.lon as x2, b.lat as y2 from points a join points b on b.id = a.id + 7 where a.id % 5 = 0),
+flat as (select p.id, road_id, (x2 - x1) * {M_LON}e0 as dx, (y2 - y1) * {M_LAT}e0 as dy, (lon - x1) * {M_LON}e0 as px, (lat - y1) * {M_LAT}e0 as py from points p, edges),
+along as (select *, greatest(0e0, least(1e0, coalesce((px * dx + py * dy) / nullif(dx * dx + dy * dy, 0), 0e0))) as t from flat),
+far as (select id, road_id, sqrt(pow(px - t * dx, 2) + pow(py - t * dy, 2)) as distance from along),
+best as (select *, row_number() over (partition by id order by distance, road_id) as place from far where distance <= 50),
+snaps as (select points.id, case when best.id is null then 'unchanged' else 'osm_road' end as snap_method, distance, road_id from points left join best on points.id = best.id and place = 1)
+"""
+
+
+@query(SNAP_SQL + "select id, snap_method, round(distance, 3) as snap_distance_m, road_id as snap_road_id from snaps")
+def snap_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = points(spark, sf_dir)
+    return snapped(own, roads(own)).select("id", "snap_method", F.round("snap_distance_m", 3).alias("snap_distance_m"), "snap_road_id")
+
+
+@query(SNAP_SQL + """select snap_method, count(*) as n, round(quantile_cont(distance, 0.5), 3) as p50, round(quantile_cont(distance, 0.9), 3) as p90, round(quantile_cont(distance, 0.99), 3) as p99,
+round(avg(distance), 2) as mean, round(max(distance), 3) as most from snaps group by snap_method""")
+def snap_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = points(spark, sf_dir)
+    q = lambda p: F.round(F.percentile("snap_distance_m", F.lit(p)), 3)
+    rows = snapped(own, roads(own)).groupBy("snap_method")
+    return rows.agg(F.count(F.lit(1)).alias("n"), q(0.5).alias("p50"), q(0.9).alias("p90"), q(0.99).alias("p99"), F.round(F.avg("snap_distance_m"), 2).alias("mean"), F.round(F.max("snap_distance_m"), 3).alias("most"))
+
+
+@query("with " + POINTS_SQL + ", places as (select * from (values " + ", ".join(f"('{n}', {a}e0, {b}e0)" for n, a, b in PLACES) + """) t(place, p_lat, p_lon)),
+far as (select id, place, """ + haversine_sql("lat", "lon", "p_lat", "p_lon") + """ as d from points, places),
+best as (select id, arg_min(place, d) as place, min(d) as d from far group by id)
+select place, case when d < 500 then 'at' when d < 2000 then 'near' else 'far' end as band, count(*) as n from best group by all""")
+def known_place_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each point's nearest known place, as a least over the few places, and the band of its distance."""
+    each = F.array(*[F.struct(haversine(F.col("lat"), F.col("lon"), F.lit(a), F.lit(b)).alias("d"), F.lit(n).alias("place")) for n, a, b in PLACES])
+    best = points(spark, sf_dir).select(F.array_min(each).alias("best"))
+    band = F.when(F.col("best.d") < 500, "at").when(F.col("best.d") < 2000, "near").otherwise("far")
+    return best.groupBy(F.col("best.place").alias("place"), band.alias("band")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    x, y = project(F.col("lat"), F.col("lon"), 43.3, 132.2)
+    return df.select("id", "lat", "lon", x.alias("x"), y.alias("y"))
+
+
+DBSCAN_SQL = "with recursive " + POINTS_SQL + """,
+angles as (select id, lat, lon, radians(lat) as p, radians(43.3e0) as p0, radians(lon - 132.2e0) as d from points),
+arcs as (select *, acos(least(1e0, sin(p0) * sin(p) + cos(p0) * cos(p) * cos(d))) as c from angles),
+flat as (select id, lat, lon, 6371000e0 * (case when c = 0 then 1e0 else c / sin(c) end) * cos(p) * sin(d) as x,
+  6371000e0 * (case when c = 0 then 1e0 else c / sin(c) end) * (cos(p0) * sin(p) - sin(p0) * cos(p) * cos(d)) as y from arcs),
+pairs as (select a.id as a, b.id as b from flat a join flat b on (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 300e0 * 300e0),
+cores as (select a as id from pairs group by a having count(*) >= 15),
+links as (select a, b from pairs where a in (select id from cores) and b in (select id from cores)),
+walk as (select id, id as seen from cores union select walk.id, links.b from walk join links on walk.seen = links.a),
+labels as (select id, min(seen) as label from walk group by id),
+nearest as (select a as id, min(label) as cluster from pairs join labels on b = labels.id group by a),
+found as (select flat.id, lat, lon, coalesce(l.label, n.cluster, -1) as cluster, case when l.id is not null then 'core' when n.id is not null then 'border' else 'noise' end as kind
+  from flat left join labels l on flat.id = l.id left join nearest n on flat.id = n.id)
+"""
+
+
+@query(DBSCAN_SQL + "select id, cluster, kind from found")
+def dbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dbscan(_flat(points(spark, sf_dir)), 300.0, 15)
+
+
+@query(DBSCAN_SQL + """
+select cluster, row_number() over (order by count(*) desc, cluster) as place, count(*) as n_points, round(avg(lat), 6) as lat, round(avg(lon), 6) as lon, round(max(lat) - min(lat), 6) as height,
+       round(max(lon) - min(lon), 6) as width from found where cluster >= 0 group by cluster""")
+def hotspot_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters by size, with centre and extent."""
+    own = _flat(points(spark, sf_dir))
+    rows = dbscan(own, 300.0, 15).where("cluster >= 0").join(own.select("id", "lat", "lon"), "id").groupBy("cluster")
+    sums = rows.agg(F.count(F.lit(1)).alias("n_points"), F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon"), F.round(F.max("lat") - F.min("lat"), 6).alias("height"), F.round(F.max("lon") - F.min("lon"), 6).alias("width"))
+    return sums.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_points"), "cluster")).cast("long"))
+
+
+def eps_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters, their largest and the share of noise for four reaches."""
+    own, out = _flat(points(spark, sf_dir)), None
+    for eps in (100.0, 200.0, 300.0, 500.0):
+        sizes = dbscan(own, eps, 15).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+        row = sizes.agg(F.lit(eps).alias("eps"), F.count_if(F.col("cluster") >= 0).alias("n_clusters"), F.max(F.when(F.col("cluster") >= 0, F.col("n"))).alias("largest"), F.round(F.sum(F.when(F.col("cluster") < 0, F.col("n")).otherwise(0)) / F.sum("n"), 4).alias("noise_share"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+query()(eps_sweep)
+
+
+@query("with " + POINTS_SQL + """,
+towns as (select id % 7 as town, avg(lon) as lon, avg(lat) as lat, count(*) as n from points where id % 3 = 0 group by 1),
+spots as (select id % 50 as spot, avg(lon) as lon, avg(lat) as lat, count(*) as n from points where id % 3 <> 0 group by 1)
+select spot, n from spots s where n >= 8 and not exists (select 1 from towns t where abs(s.lon - t.lon) < 0.014 and abs(s.lat - t.lat) < 0.01) order by n desc, spot limit 30""")
+def hotspot_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spots with no town hotspot in a small box around them."""
+    own = points(spark, sf_dir)
+    centre = (F.avg("lon").alias("lon"), F.avg("lat").alias("lat"), F.count(F.lit(1)).alias("n"))
+    towns = own.where("id % 3 = 0").groupBy((F.col("id") % 7).alias("town")).agg(*centre).select(F.col("lon").alias("t_lon"), F.col("lat").alias("t_lat"))
+    spots = own.where("id % 3 <> 0").groupBy((F.col("id") % 50).alias("spot")).agg(*centre)
+    close = (F.abs(F.col("lon") - F.col("t_lon")) < 0.014) & (F.abs(F.col("lat") - F.col("t_lat")) < 0.01)
+    return spots.where("n >= 8").join(towns, close, "left_anti").orderBy(F.desc("n"), "spot").limit(30).select("spot", "n")

@@ -1 +1,95 @@
-"""To come."""
+"""Posts and accidents: entities, scored matches, ages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from incidence.functions import entities
+from incidence.model import accidents, vehicles, with_roles
+from incidence.operators.matching import assign_ages, match_posts, quality_of, settled
+from incidence.plans.registry import query
+
+POSTS = [
+    (1, "В 23:20 на 599 км автодороги 63-летний водитель Toyota Corolla допустил столкновение, погиб на месте. Стаж вождения 5 лет."),
+    (2, "Около 23.45 на улице Шилкинская 23-летняя женщина, наезд на пешехода, госпитализирована. В возрасте 47 лет мужчина получил травмы."),
+    (3, "По ст. 12.27 КоАП; на 82 км и 120 км автомобиль Нисан совершил опрокидывание. 25:00 и 12:75 не время. Водительский стаж составляет 28 лет."),
+    (4, ""),
+    (5, "8 лет мальчик и 35-летний водитель Honda Fit на проспекте Океанский, съехал в кювет, скончался."),
+]
+
+
+def posts(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(POSTS, "post_id long, text string")
+
+
+@query()
+def ner_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entities of each post, in one projection."""
+    text = F.col("text")
+    return posts(spark).select(
+        "post_id", entities.ages(text).alias("ages"), entities.brands(text).alias("vehicles"), entities.times(text).alias("times"), entities.experience(text).alias("experience"), entities.kilometres(text).alias("kilometers"),
+        entities.streets(text).alias("streets"), entities.expected_em_type(text).alias("em_type"), entities.expected_severity(text).alias("severity"),
+    )
+
+
+@query()
+def ner_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of brands and age contexts over the posts."""
+    rows = posts(spark).select(entities.ages(F.col("text")).alias("a"), entities.brands(F.col("text")).alias("v"))
+    part = lambda field, items: rows.select(F.explode(items).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n")).select(F.lit(field).alias("field"), "value", "n")
+    return part("brand", F.col("v.brand")).unionByName(part("context", F.col("a.context")))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts made from every fiftieth accident, a day or two late, against all accidents."""
+    marks = vehicles(spark, sf_dir).groupBy("accident_id").agg(F.sort_array(F.collect_set("mark")).alias("vehicle_marks"))
+    rows = accidents(spark, sf_dir).join(marks, F.col("id") == F.col("accident_id"), "left")
+    rows = rows.select("id", "datetime", "np", (F.col("k") % 100).alias("road_km"), F.concat(F.lit("ul "), "place").alias("street"), "severity", "em_type", F.coalesce("vehicle_marks", F.array().cast("array<string>")).alias("vehicle_marks"))
+    told = rows.where("id % 50 = 0").select(
+        F.col("id").alias("post_id"), F.date_add(F.to_date("datetime"), (F.col("id") % 3).cast("int")).alias("post_date"), F.array("np").alias("post_locations"), F.array(F.col("road_km") + 1).alias("post_kilometers"),
+        F.array("street").alias("post_streets"), F.slice("vehicle_marks", 1, 2).alias("post_brands"), F.substring("em_type", 3, 20).alias("post_em_type"), F.col("severity").alias("post_severity"),
+    )
+    return match_posts(told, rows)
+
+
+MATCH_SQL = with_roles("accidents", "vehicles") + """,
+marks as (select accident_id, list_sort(list_distinct(list(mark))) as marks from vehicles group by accident_id),
+acc as (select id, datetime, np, k % 100 as road_km, place as street, severity, em_type, coalesce(marks, []) as marks from accidents left join marks on id = accident_id),
+post as (select id as post_id, datetime::date + (id % 3)::int as post_date, np as p_np, road_km + 1 as p_km, street as p_street, marks[1:2] as p_marks, substr(em_type, 3, 20) as p_em, severity as p_sev from acc where id % 50 = 0),
+pairs as (
+  select post_id, id, post_date - datetime::date as day_offset, case when np = p_np then 30 else 0 end + case when contains(lower(street), lower(p_street)) or contains(lower(p_street), lower(street)) then 30 else 0 end
+    + case when contains(lower(em_type), lower(p_em)) then 20 else 0 end + case when replace(severity, '_multiple', '') = replace(p_sev, '_multiple', '') then 15 else 0 end
+    + least(len(list_intersect(marks, p_marks)) * 25, 50) + case when abs(p_km - road_km) <= 2 then 10 else 0 end as score
+  from post join acc on datetime::date between post_date - 3 and post_date),
+kept as (select *, row_number() over (partition by post_id order by score desc, day_offset, id) as place from pairs where score >= 30)
+"""
+
+
+@query(MATCH_SQL + "select post_id, id, day_offset::int as day_offset, score::int as score, place::int as place from kept where place <= 3")
+def match_posts_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best accidents of each post."""
+    return _pairs(spark, sf_dir).where("place <= 3").select("post_id", "id", "day_offset", "score", "place")
+
+
+@query(MATCH_SQL + "select (score // 10 * 10)::bigint as bucket, case when score >= 90 then 'gold' when score >= 60 then 'high' else 'low' end as quality, count(*) as n from kept where place = 1 group by all")
+def match_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top scores by tens and quality."""
+    top = _pairs(spark, sf_dir).where("place = 1")
+    return top.groupBy((F.floor(F.col("score") / 10) * 10).alias("bucket"), quality_of(F.col("score")).alias("quality")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def match_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each criterion gave points in the best matches."""
+    top = _pairs(spark, sf_dir).where("place = 1").select(F.explode("score_breakdown").alias("criterion", "points"))
+    return top.groupBy("criterion").agg(F.count(F.lit(1)).alias("n"), F.sum("points").alias("points"))
+
+
+@query()
+def age_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ages of the posts given to participants of a small fixture."""
+    told = posts(spark).select("post_id", F.posexplode(entities.ages(F.col("text"))).alias("nr", "a")).withColumn("c", entities.context_of(F.col("a.context")))
+    told = told.select("post_id", "nr", F.col("a.age").alias("age"), F.col("c.category").alias("category"), F.col("c.sex").alias("sex"))
+    people = [(1, 11, "driver", "M"), (1, 12, "passenger", "F"), (2, 21, "pedestrian", "F"), (2, 22, "driver", "M"), (5, 51, "pedestrian", "M"), (5, 52, "driver", None)]
+    return settled(assign_ages(told, spark.createDataFrame(people, "post_id long, participant_id long, role string, sex string")))

@@ -40,13 +40,23 @@ class Block:
     lines: np.ndarray | None  # of each text: number of newlines
 
 
-def _powers(n: int, held: list = [np.ones(1, np.uint64)]) -> np.ndarray:  # noqa: B006
-    if len(held[0]) < n:
-        held[0] = np.cumprod(np.r_[np.uint64(1), np.full(max(n, 2 * len(held[0])) - 1, _FACTOR, np.uint64)], dtype=np.uint64)
-    return held[0]
+class _Powers:
+    """FACTOR^0, FACTOR^1, ... modulo 2^64 and their inverses, as far as they were needed."""
 
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
 
-def blocks(texts: pa.Array | pa.ChunkedArray, separators: np.ndarray = WHITE, lower: bool = False, with_lines: bool = False, limit: int = 1 << 20) -> Iterator[Block]:
+    def reach(self, n: int) -> None:
+        if len(self.up) < n:
+            n = max(n, 2 * len(self.up))
+            factors = (int(_FACTOR), pow(int(_FACTOR), -1, 1 << 64))
+            self.up, self.down = (np.cumprod(np.r_[np.uint64(1), np.full(n - 1, f, np.uint64)], dtype=np.uint64) for f in factors)
+
+
+_POWERS = _Powers()
+
+
+def blocks(texts: pa.Array | pa.ChunkedArray, separators: np.ndarray = WHITE, lower: bool = False, with_lines: bool = False, limit: int = 1 << 17) -> Iterator[Block]:
     """Blocks of about `limit` bytes (a longer text is one block); null texts must have been filled.
 
     Words are runs of bytes that are no separators (separators are ASCII, so UTF-8 characters stay whole); equal words
@@ -71,15 +81,14 @@ def _block(first: int, blob: np.ndarray, cuts: np.ndarray, separators: np.ndarra
     starts_flag[1:] &= ~inside[:-1]
     heads = cuts[:-1][cuts[:-1] < len(blob)]
     starts_flag[heads] = inside[heads]  # a text starts a word of its own
-    place = np.flatnonzero(inside)
-    starts = np.flatnonzero(starts_flag)
-    if len(starts):
-        first_in = np.searchsorted(place, starts)
-        word_len = np.diff(np.r_[first_in, len(place)])
-        within = np.arange(len(place)) - np.repeat(first_in, word_len)
-        hashes = splitmix(np.add.reduceat(values[blob[place]] * _powers(int(word_len.max()))[within], first_in))
-    else:
-        hashes = np.zeros(0, np.uint64)
+    ends_flag = inside.copy()
+    ends_flag[:-1] &= starts_flag[1:] | ~inside[1:]
+    starts, ends = np.flatnonzero(starts_flag), np.flatnonzero(ends_flag)
+    # A word's polynomial: the sum over its bytes of value * factor^place, moved to place 0.
+    _POWERS.reach(len(blob))
+    sums = np.cumsum(values[blob] * _POWERS.up[: len(blob)], dtype=np.uint64)
+    before = np.where(starts > 0, sums[starts - 1], np.uint64(0)) if len(starts) else sums[:0]
+    hashes = splitmix((sums[ends] - before) * _POWERS.down[starts])
     line = lines = None
     if with_lines:
         count = np.r_[0, np.cumsum(blob == NEWLINE)]

@@ -14,17 +14,20 @@ from incidence.llm.bytewords import Block, blocks
 from incidence.llm.common import lists, materialize, splitmix
 
 #: Buckets of the word count sketch, which the driver and every task hold as one byte each.
-BUCKETS = 1 << 23
+BUCKETS = 1 << 22
 #: Buckets in a row of the sketch table.
 SLICE = 1 << 16
 #: Steps of the logarithmic rarity classes per doubling.
 STEPS = 8
 #: Lines per word beyond which a word's postings are dealt out as pairs of chunks.
-CHUNK = 4096
+CHUNK = 1 << 16
 #: Earliest candidates of a line that a group names at first; lines that none of them settles get all theirs in a second round.
 NAMED = 8
-_HASH_BITS, _PLACE_BITS = 40, 15
-_LIMIT = 1 << 17
+_HASH_BITS, _PLACE_BITS = 40, 28
+#: Documents of which all lines are read again one by one; beyond, a bit table tells which lines are wanted.
+FEW_DOCUMENTS = 1 << 13
+#: Bits of the table that tells which lines are wanted again, and the most of them for which it is used.
+WANTED_BITS, WANTED_MOST = 1 << 26, 1 << 23
 _BUCKET_MASK = np.uint64(BUCKETS - 1)
 
 
@@ -59,10 +62,13 @@ def line_tokens(block: Block, classes: np.ndarray) -> LineTokens:
     """Lines with words of a block. A word's id is its rarity class and 40 bits of its hash; sid stands for a line's set."""
     row = np.repeat(np.arange(len(block.bounds) - 1), np.diff(block.bounds))
     before = np.r_[0, np.cumsum(block.lines + 1)]
-    names, line = np.unique(before[row] + block.line, return_inverse=True)
+    line = before[row] + block.line  # ascending, as words come in order
+    fresh = np.r_[True, line[1:] != line[:-1]] if len(line) else np.zeros(0, bool)
+    names, line = line[fresh], np.cumsum(fresh) - 1
     ids = (classes[block.hashes & _BUCKET_MASK].astype(np.uint64) << np.uint64(_HASH_BITS)) | (block.hashes >> np.uint64(64 - _HASH_BITS))
     if len(names) <= 1 << 16:
-        key = np.unique((line.astype(np.uint64) << np.uint64(48)) | ids)
+        key = np.sort((line.astype(np.uint64) << np.uint64(48)) | ids)
+        key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
         line, ids = (key >> np.uint64(48)).astype(np.int64), key & np.uint64((1 << 48) - 1)
     else:
         order = np.lexsort((ids, line))
@@ -81,37 +87,65 @@ def _sketch(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int32)
+        held: list[np.ndarray] = []
         for batch in batches:
-            for block in blocks(batch["_text"], limit=_LIMIT):
-                np.add.at(counts, (block.hashes & _BUCKET_MASK).astype(np.int64), 1)
+            for block in blocks(batch["_text"]):
+                held.append((block.hashes & _BUCKET_MASK).astype(np.int32))
+                if sum(map(len, held)) > 1 << 20:
+                    counts += np.bincount(np.concatenate(held), minlength=BUCKETS).astype(np.int32)
+                    held.clear()
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=BUCKETS).astype(np.int32)
         used = [i for i in range(0, BUCKETS, SLICE) if counts[i : i + SLICE].any()]
         packed = [np.minimum(counts[i : i + SLICE], 65535).astype("<u2").tobytes() for i in used]
-        yield pa.RecordBatch.from_arrays([pa.array([i // SLICE for i in used], pa.int32()), pa.array(packed, pa.binary())], ["slice", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([i // SLICE for i in used], pa.int32()), pa.array(packed, pa.binary())], ["slice", "part"])
 
     def total(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLICE, np.int64)
         for batch in batches:
-            for x in batch["counts"].to_pylist():
+            for x in batch["part"].to_pylist():
                 counts += np.frombuffer(x, "<u2")
         classes = np.minimum(255, np.round(STEPS * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([classes.tobytes()], pa.binary())], ["slice", "classes"])
+        yield _slice(key, classes)
 
-    parts = docs.select("_text").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(total, "slice int, classes binary")
-    classes = np.zeros(BUCKETS, np.uint8)
-    for r in parts.collect():  # BUCKETS bytes at most
-        classes[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["classes"], np.uint8)
-    return classes
+    return _table(docs.select("_text").mapInArrow(count, "slice int, part binary").groupBy("slice").applyInArrow(total, "slice int, part binary"), BUCKETS, SLICE)
+
+
+def _slice(key: tuple, values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([values.tobytes()], pa.binary())], ["slice", "part"])
+
+
+def _table(slices: DataFrame, size: int, step: int) -> np.ndarray:
+    """A byte table of fixed size on the driver, from its slices."""
+    table = np.zeros(size, np.uint8)
+    for r in slices.collect():
+        table[r["slice"] * step : (r["slice"] + 1) * step] = np.frombuffer(r["part"], np.uint8)
+    return table
+
+
+def _wanted_bits(sids: DataFrame) -> np.ndarray:
+    """A bit table (WANTED_BITS) in which every sid has its bit set; others may by chance."""
+    step = WANTED_BITS // 256
+
+    def mark(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(step, bool)
+        for batch in batches:
+            bits[batch["sid"].to_numpy() & (step - 1)] = True
+        yield _slice(key, np.packbits(bits, bitorder="little"))
+
+    keyed = sids.select("sid", F.shiftright("sid", (step - 1).bit_length()).bitwiseAND(255).cast("int").alias("slice"))
+    return _table(keyed.groupBy("slice").applyInArrow(mark, "slice int, part binary"), WANTED_BITS // 8, step // 8)
 
 
 def _pairs(limit: Threshold, named: int | None):
-    """Batches sorted by group, order and sid -> for each line its earlier candidates in the group (the first `named`) and if there are more."""
+    """Batches sorted by group -> for each line its earlier candidates in the group (the first `named`) and if there are more."""
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
             table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            token, cell = table["token"].to_numpy(), table["cell"].to_numpy()
-            cuts = np.flatnonzero((token[1:] != token[:-1]) | (cell[1:] != cell[:-1])) + 1
+            key = table["group"].to_numpy()
+            cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
             at = int(cuts[-1]) if len(cuts) else 0
             rest = table.slice(at)
             if at:
@@ -121,21 +155,21 @@ def _pairs(limit: Threshold, named: int | None):
 
     def search(table: pa.Table) -> pa.RecordBatch:
         get = {c: table[c].to_numpy() for c in table.column_names}
-        group = np.cumsum(np.r_[0, (get["token"][1:] != get["token"][:-1]) | (get["cell"][1:] != get["cell"][:-1])])
-        keep = np.bincount(group)[group] > 1
-        rows = np.flatnonzero(keep)
+        group = np.cumsum(np.r_[0, get["group"][1:] != get["group"][:-1]])
+        rows = np.flatnonzero(np.bincount(group)[group] > 1)
+        rows = rows[np.lexsort((get["number"][rows], get["doc"][rows], group[rows]))]
         _, first = np.unique(splitmix(group[rows].astype(np.uint64)) ^ get["sid"][rows].view(np.uint64), return_index=True)
-        keep[:] = False
-        keep[rows[first]] = True  # the earliest row of a set in a group
-        keep &= np.bincount(group[keep], minlength=group[-1] + 1)[group] > 1
+        keep = rows[np.sort(first)]  # the earliest row of a set in a group
+        keep = keep[np.bincount(group[keep], minlength=group[-1] + 1)[group[keep]] > 1]
         get, group = {c: v[keep] for c, v in get.items()}, group[keep]
-        size, place, bits, side = get["size"].astype(np.int64), get["place"].astype(np.int64), get["bits"].view(np.uint64), get["side"]
+        size, mark, bits = get["meta"] >> 32, get["meta"] & 0xFFFFFFFF, np.stack([get["bits"], get["more_bits"]], axis=1).view(np.uint64)
+        place, first_side, inner = mark >> 2, mark >> 1 & 1, mark & 1 == 1
         met = np.zeros(len(group), np.int64)
         xs, ys = [], []
         ends = np.searchsorted(group, group, side="right")
         starts = np.searchsorted(group, group, side="left")
         rows = np.arange(len(group))
-        alive = rows[(ends - starts > 1) & get["open"]]
+        alive = rows[(ends - starts > 1) & (get["open"] if "open" in get else True)]
         step = 0
         while len(alive):  # line x against the step-th earliest of its group
             y = starts[alive] + step
@@ -143,8 +177,8 @@ def _pairs(limit: Threshold, named: int | None):
             need = limit.shared(size[alive] + size[y])
             reach = np.minimum(size[alive] - place[alive], size[y] - place[y])  # at the first word in common
             ok = (np.minimum(size[alive], size[y]) >= need) & (reach >= need)
-            ok &= np.bitwise_count(bits[alive] ^ bits[y]) <= size[alive] + size[y] - 2 * need
-            ok &= (side[alive] != side[y]) | get["inner"][alive]
+            ok &= np.bitwise_count(bits[alive] ^ bits[y]).sum(axis=1) <= size[alive] + size[y] - 2 * need
+            ok &= (first_side[alive] != first_side[y]) | inner[alive]
             ok &= (get["doc"][alive] != get["doc"][y]) | (get["number"][alive] != get["number"][y])
             if named is not None:
                 met[alive[ok]] += 1
@@ -161,49 +195,64 @@ def _pairs(limit: Threshold, named: int | None):
     return candidates
 
 
+def _deal(ids: np.ndarray, place: np.ndarray, sids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(copies of each posting, groups, marks): a word's lines are a group, or, if there may be many, pairs of chunks of them.
+
+    A mark is place, whether the line is in the first chunk of the pair, and whether both chunks are the same.
+    """
+    chunks = np.maximum(1, np.ceil(2.0 ** ((ids >> np.uint64(_HASH_BITS)) / STEPS) / CHUNK)).astype(np.int64)
+    own = (sids.view(np.uint64) % chunks.astype(np.uint64)).astype(np.int64)
+    other = np.arange(chunks.sum()) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+    own, ids, place = np.repeat(own, chunks), np.repeat(ids, chunks), np.repeat(place, chunks)
+    low, high = np.minimum(own, other), np.maximum(own, other)
+    groups = splitmix(ids ^ splitmix((low.astype(np.uint64) << np.uint64(32)) | high.astype(np.uint64)))
+    place = np.minimum(place, (1 << _PLACE_BITS) - 1)  # a lower place only rules out less
+    return chunks, groups.view(np.int64), (place << 2 | (own == low).astype(np.int64) << 1 | (low == high)).astype(np.int32)
+
+
 def _postings(lines: DataFrame) -> DataFrame:
-    """A row per line and prefix word, dealt to the word's group; groups of frequent words are pairs of chunks."""
-    each = lines.where("prefix is not null").select("sid", "_key", "number", "size", "bits", F.posexplode("prefix").alias("at", "word"))
-    each = each.withColumn("token", F.shiftright("word", _PLACE_BITS)).withColumn("place", F.col("word").bitwiseAND((1 << _PLACE_BITS) - 1).cast("int"))
-    count = F.pow(F.lit(2.0), F.shiftright("token", _HASH_BITS) / F.lit(STEPS))
-    each = each.withColumn("_g", F.greatest(F.lit(1), F.ceil(count / CHUNK).cast("int"))).withColumn("side", F.pmod(F.xxhash64("sid"), F.col("_g")).cast("int"))
-    each = each.withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
-    low, high = F.least("side", "_t").cast("long"), F.greatest("side", "_t").cast("long")
-    return each.select("token", (F.shiftleft(low, 32) + high).alias("cell"), (low == high).alias("inner"), "side", "sid", F.col("_key").alias("doc"), "number", "size", "place", "bits")
+    """A row per line and group that it is dealt to."""
+    rows = lines.where("groups is not null").select("sid", F.col("_key").alias("doc"), "number", "size", "bits", "more_bits", F.inline(F.arrays_zip("groups", "marks")))
+    return rows.select(F.col("groups").alias("group"), "doc", "number", "sid", "bits", "more_bits", (F.shiftleft(F.col("size").cast("long"), 32) + F.col("marks")).alias("meta"))
 
 
 def _candidates(postings: DataFrame, limit: Threshold, named: int | None) -> DataFrame:
-    rows = postings.repartition("token", "cell").sortWithinPartitions("token", "cell", "doc", "number", "sid")
+    rows = postings.repartition("group").sortWithinPartitions("group")
     return rows.mapInArrow(_pairs(limit, named), "x long, x_doc long, y long, y_doc long, more boolean")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes, limit: Threshold) -> DataFrame:
     """x of the pairs whose lines have the similarity, by their whole word sets, read again from the texts."""
-    wanted = pairs.select(F.explode(F.array(F.struct(F.col("x_doc").alias("_key"), F.col("x").alias("sid")), F.struct(F.col("y_doc").alias("_key"), F.col("y").alias("sid")))).alias("w"))
-    wanted = wanted.select("w.*").groupBy("_key").agg(F.collect_set("sid").alias("sids"))
+    ends = F.array(F.struct(F.col("x_doc").alias("_key"), F.col("x").alias("sid")), F.struct(F.col("y_doc").alias("_key"), F.col("y").alias("sid")))
+    wanted = materialize(pairs.select(F.inline(ends)).distinct(), "wanted-lines")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             sids, words = [], []
-            known = batch["sids"]
-            for block in blocks(batch["_text"], with_lines=True, limit=_LIMIT):
+            for block in blocks(batch["_text"], with_lines=True):
                 found = line_tokens(block, classes.value)
                 heads = np.r_[0, np.cumsum(found.sizes)]
-                for i, (row, sid) in enumerate(zip(found.rows.tolist(), found.sids.tolist(), strict=True)):
-                    if sid in (held := _set_of(known, row)):
-                        held.discard(sid)
-                        sids.append(sid)
-                        words.append(found.ids[heads[i] : heads[i + 1]].astype(np.int64))
+                place = found.sids & (WANTED_BITS - 1)
+                hit = bits.value[place >> 3] >> (place & 7) & 1 if bits else np.ones(len(place))
+                for i in np.flatnonzero(hit):
+                    sid = int(found.sids[i])
+                    if sid in seen:
+                        continue
+                    seen.add(sid)
+                    sids.append(sid)
+                    words.append(found.ids[heads[i] : heads[i + 1]].astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), lists(words, pa.int64())], ["sid", "words"])
 
-    memo: dict = {}
-
-    def _set_of(known: pa.Array, row: int) -> set:
-        if memo.get("of") is not known or memo.get("row") != row:
-            memo.update(of=known, row=row, held=set(known[row].values.to_pylist()))
-        return memo["held"]
-
-    words = docs.join(wanted, "_key").select("_text", "sids").mapInArrow(sets, "sid long, words array<long>").dropDuplicates(["sid"])
+    # A line of the set may be read from any document that has it: from the few documents wanted, or else from all,
+    # where a bit table of the sids tells most lines apart if it is sparse enough.
+    bits, documents = None, materialize(wanted.select("_key").distinct(), "wanted-documents")
+    if FEW_DOCUMENTS < documents.count() and wanted.count() <= WANTED_MOST:
+        bits = docs.sparkSession.sparkContext.broadcast(_wanted_bits(wanted.select("sid")))
+        texts = docs.select("_text")
+    else:
+        texts = docs.join(documents, "_key", "left_semi").select("_text")
+    words = texts.mapInArrow(sets, "sid long, words array<long>").join(wanted.select("sid").distinct().hint("merge"), "sid", "left_semi").dropDuplicates(["sid"])
     both = pairs.select("x", "y").join(words.select(F.col("sid").alias("x"), F.col("words").alias("a")), "x").join(words.select(F.col("sid").alias("y"), F.col("words").alias("b")), "y")
     shared = F.size(F.array_intersect("a", "b"))
     return both.where(shared * (limit.num + limit.den) >= (F.size("a") + F.size("b")) * limit.num).select("x").distinct()
@@ -232,13 +281,14 @@ def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", simil
         best: dict[int, tuple[int, int]] = {}  # a set's postings go out once per task, or again for an earlier line
         for batch in batches:
             keys = batch["_key"].to_numpy()
-            for block in blocks(batch["_text"], with_lines=True, limit=_LIMIT):
+            for block in blocks(batch["_text"], with_lines=True):
                 found = line_tokens(block, classes.value)
                 if not len(found.sizes):
                     continue
                 long = found.sizes >= min_words
                 heads = np.r_[0, np.cumsum(found.sizes)[:-1]]
-                bits = np.bitwise_xor.reduceat(np.uint64(1) << (found.ids & np.uint64(63)), heads).view(np.int64)
+                flags, high = np.uint64(1) << (found.ids & np.uint64(63)), (found.ids & np.uint64(64)) > 0
+                bits, more_bits = (np.bitwise_xor.reduceat(np.where(high == h, flags, np.uint64(0)), heads).view(np.int64) for h in (False, True))
                 docs_, fresh = keys[found.rows], np.zeros(len(long), bool)
                 for i in np.flatnonzero(long):
                     order, sid = (docs_[i], found.numbers[i]), found.sids[i]
@@ -248,31 +298,31 @@ def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", simil
                     best.clear()
                 alone = found.ids >> np.uint64(_HASH_BITS) == 0  # a word of one line only meets no other
                 chosen = fresh[found.line] & (found.place < limit.prefix(found.sizes)[found.line]) & ~alone
-                words = (found.ids[chosen].astype(np.int64) << _PLACE_BITS) | np.minimum(found.place[chosen], (1 << _PLACE_BITS) - 1)  # a lower place only rules out less
-                sizes = np.bincount(found.line[chosen], minlength=len(long))
-                offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
-                prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(words))
-                table = pa.table({"_key": docs_, "_row": found.rows, "number": found.numbers.astype(np.int32), "sid": found.sids, "size": found.sizes.astype(np.int32), "bits": bits, "prefix": prefix}).filter(pa.array(long))
-                names = ["_key", "_id", "number", "sid", "size", "bits", "prefix"]
-                ids = batch["_id"].take(table["_row"])
-                yield from pa.table([table["_key"], ids, *(table[c] for c in names[2:])], names=names).to_batches()
+                copies, groups, marks = _deal(found.ids[chosen], found.place[chosen], found.sids[found.line[chosen]])
+                sizes = np.bincount(np.repeat(found.line[chosen], copies), minlength=len(long))
+                offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+                columns = {"_key": docs_, "number": found.numbers.astype(np.int32), "sid": found.sids, "size": found.sizes.astype(np.int32), "bits": bits, "more_bits": more_bits}
+                columns |= {"groups": pa.ListArray.from_arrays(offsets, pa.array(groups)), "marks": pa.ListArray.from_arrays(offsets, pa.array(marks))}
+                table = pa.table(columns | {"_id": batch["_id"].take(pa.array(found.rows))}).filter(pa.array(long))
+                yield from table.select(["_key", "_id", "number", "sid", "size", "bits", "more_bits", "groups", "marks"]).to_batches()
 
     with_ids = docs.withColumn("_id", F.xxhash64("_text"))
-    lines = materialize(with_ids.mapInArrow(tokens_of, "_key long, _id long, number int, sid long, size int, bits long, prefix array<long>"), "lines")
+    lines = materialize(with_ids.mapInArrow(tokens_of, "_key long, _id long, number int, sid long, size int, bits long, more_bits long, groups array<long>, marks array<int>"), "lines")
     postings = _postings(lines)
-    named = materialize(_candidates(postings.withColumn("open", F.lit(True)), limit, NAMED).groupBy("x", "y").agg(F.min("x_doc").alias("x_doc"), F.min("y_doc").alias("y_doc"), F.max("more").alias("more")), "line-pairs")
+    named = materialize(_candidates(postings, limit, NAMED).groupBy("x", "y").agg(F.min("x_doc").alias("x_doc"), F.min("y_doc").alias("y_doc"), F.max("more").alias("more")), "line-pairs")
     similar = materialize(_verified(named, docs, classes, limit), "similar-lines")
     unsettled = named.where("more").select(F.col("x").alias("sid")).distinct().join(similar.select(F.col("x").alias("sid")), "sid", "left_anti")
     unsettled = materialize(unsettled, "open-lines")
     if not unsettled.isEmpty():
-        marked = postings.join(unsettled.withColumn("open", F.lit(True)), "sid", "left").withColumn("open", F.coalesce("open", F.lit(False)))
-        groups = marked.where("open").select("token", "cell").distinct()
-        rest = _candidates(marked.join(groups, ["token", "cell"], "left_semi"), limit, None).groupBy("x", "y").agg(F.min("x_doc").alias("x_doc"), F.min("y_doc").alias("y_doc"))
+        groups = materialize(_postings(lines.join(unsettled, "sid")).select("group").distinct(), "open-groups")
+        marked = postings.join(groups, "group", "left_semi").join(unsettled.withColumn("open", F.lit(True)), "sid", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        rest = _candidates(marked, limit, None).groupBy("x", "y").agg(F.min("x_doc").alias("x_doc"), F.min("y_doc").alias("y_doc"))
         similar = similar.unionByName(_verified(materialize(rest, "line-pairs"), docs, classes, limit)).distinct()
     order = F.struct("_key", "number")
-    first = lines.groupBy("sid").agg(F.min(order).alias("_first"))
-    again = lines.select("_key", "_id", "number", "sid").join(first.join(similar.withColumn("_similar", F.lit(True)), first["sid"] == similar["x"], "left").select("sid", "_first", "_similar"), "sid")
-    gone = again.where((order > F.col("_first")) | F.col("_similar").isNotNull())
+    first = lines.groupBy("sid").agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    marked = similar.select(F.col("x").alias("sid"), F.lit(True).alias("_similar"))
+    first = materialize(first.join(marked, "sid", "left").where("_n > 1 or _similar").drop("_n"), "line-sets")
+    gone = lines.select("_key", "_id", "number", "sid").join(first.hint("merge"), "sid").where((order > F.col("_first")) | F.col("_similar").isNotNull())
     return gone.groupBy(F.col("_key").alias(key), "_id").agg(F.sort_array(F.collect_set("number")).alias("removed"))
 
 
@@ -286,5 +336,5 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", similari
     """The rows and columns of `df`, with `text` freed of repeated lines (see `repeated_lines`). Null texts stay null."""
     gone = repeated_lines(df, key, text, similarity, min_words).withColumnsRenamed({key: "_gone_key", "_id": "_gone_id", "removed": "_gone"})
     hashed = F.xxhash64(F.coalesce(df[text], F.lit("")))
-    joined = df.join(gone, (df[key].cast("long") == gone["_gone_key"]) & (hashed == gone["_gone_id"]), "left")
+    joined = df.join(gone.hint("merge"), (df[key].cast("long") == gone["_gone_key"]) & (hashed == gone["_gone_id"]), "left")
     return joined.select(*[without_lines(df[c], F.col("_gone")).alias(c) if c == text else df[c] for c in df.columns])

@@ -64,7 +64,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     gone = lines.repeated_lines(docs).select("doc_id", "_id", "removed")
     text = F.coalesce("text", F.lit(""))
-    whole = docs.withColumn("_id", F.xxhash64(text)).join(gone, ["doc_id", "_id"], "left")
+    whole = docs.withColumn("_id", F.xxhash64(text)).join(gone.hint("merge"), ["doc_id", "_id"], "left")
     kept = lines.without_lines(text, F.col("removed"))
     return whole.select("doc_id", F.coalesce("removed", F.array().cast("array<int>")).alias("removed_lines"), F.sha2(kept, 256).alias("kept_sha256"))
 

@@ -16,7 +16,11 @@ from incidence.llm.common import materialize, splitmix
 from incidence.llm.components import connected_components
 
 #: Members of a block group that one task compares with each other; larger groups are dealt out as pairs of chunks.
-CHUNK = 1024
+CHUNK = 4096
+#: Members of a group that chance may put together, on average.
+BY_CHANCE = 4096
+#: Rows that a group's comparison takes at a time.
+ROWS = 256
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -61,22 +65,34 @@ def fingerprints(df: DataFrame, key: str, text: str, shingle: int = 4, block_shi
 
 
 def _labels(fp: np.ndarray, sig: np.ndarray, side: np.ndarray, bits: int, wide_bits: int) -> np.ndarray:
-    """For each member of a group the first member of its component in the group; members of one side meet those of the other (0 and 1), or all meet (all 0)."""
-    n = len(fp)
-    close = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= bits
-    if side.any():
-        close &= side[:, None] != side[None, :]
-    if sig.shape[1]:
-        i, j = np.nonzero(close)
-        close[i, j] = np.bitwise_count(sig[i] ^ sig[j]).sum(axis=1) <= wide_bits
-    np.fill_diagonal(close, True)
-    label = np.arange(n)
-    while True:
-        lower = np.where(close, label[None, :], n).min(axis=1)
-        lower = lower[lower]
-        if (lower == label).all():
-            return label
-        label = lower
+    """For each member of a group the first member of its component in the group; members of one side meet those of the other (0 and 1), or all meet (all 0).
+
+    Some rows at a time are compared with all before them, and the pairs found are merged at once, so that a dense
+    group needs no room for its pairs.
+    """
+    label = np.arange(len(fp))
+    apart = side.any()
+    for a in range(0, len(fp), ROWS):
+        b = min(a + ROWS, len(fp))
+        i, j = np.nonzero(np.bitwise_count(fp[a:b, None] ^ fp[None, :b]) <= bits)
+        i += a
+        keep = j < i
+        if apart:
+            keep &= side[i] != side[j]
+        i, j = i[keep], j[keep]
+        if sig.shape[1] and len(i):
+            keep = np.bitwise_count(sig[i] ^ sig[j]).sum(axis=1) <= wide_bits
+            i, j = i[keep], j[keep]
+        while len(i):
+            x, y = label[i], label[j]
+            differ = x != y
+            if not differ.any():
+                break
+            x, y = x[differ], y[differ]
+            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+            while (label[label] != label).any():
+                label = label[label]
+    return label
 
 
 def _linked(bits: int, wide_bits: int):
@@ -126,10 +142,10 @@ def _masks(bits: int, n: int) -> list[int]:
     """Masks of which one at least leaves two fingerprints equal that differ in `bits` bits at most.
 
     With bits + r blocks, r of them are free of any difference. r grows with the number of fingerprints, so that chance
-    puts about 64 into a group at most.
+    puts about BY_CHANCE into a group at most.
     """
     r = 1
-    while r < 8 and 2 ** (64 * r / (bits + r)) < n / 64:
+    while r < 8 and 2 ** (64 * r / (bits + r)) < n / BY_CHANCE:
         r += 1
     m = bits + r
     edges = [64 * k // m for k in range(m + 1)]
@@ -192,7 +208,7 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", similari
     """
     marked = near_duplicates(df, key, text, bits, shingle, 1, wide, bits_apart(similarity, 64 * wide))
     first = materialize(marked.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("_kept")).count(), "kept")
-    out = df.join(first.select("_kept"), df[key].eqNullSafe(F.col("_kept")), "left_semi")
+    out = df.join(first.select("_kept").hint("merge"), df[key].eqNullSafe(F.col("_kept")), "left_semi")
     return out if first.where("count > 1").isEmpty() else out.dropDuplicates([key])
 
 

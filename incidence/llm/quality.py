@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from incidence.llm.common import WHITES, let
+from incidence.llm.common import WHITES, let, materialize
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = "#*$%&|<>"
@@ -136,7 +136,7 @@ def fit_rules(sample: DataFrame, max_rules: int = 8, max_conditions: int = 3, mi
     folds holds; its rows leave both. No or one-sided labels: no rules.
     """
     named = features()
-    rows = sample.select("low", F.pmod(F.hash(*STATS), F.lit(3)).alias("fold"), *[c.alias(k) for k, c in named.items()])
+    rows = materialize(sample.select("low", F.pmod(F.hash(*STATS), F.lit(3)).alias("fold"), *[c.alias(k) for k, c in named.items()]), "labelled")
     points = rows.groupBy("low").agg(*[F.percentile_approx(k, list(QUANTILES), 10_000).alias(k) for k in named]).collect()
     found = {k: sorted({float(x) for r in points for x in r[k] or []}) for k in named}
     cuts = {k: sorted({*v, *((a + b) / 2 for a, b in zip(v, v[1:], strict=False))}) for k, v in found.items()}

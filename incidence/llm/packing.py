@@ -131,7 +131,8 @@ def pack(
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     slots = plan_slots(minimum_slack_plan(counts, capacity))
     table = df.sparkSession.createDataFrame(slots, "length long, slots array<struct<lo:long,sequence:long,offset:long>>")
-    placed = ranked(pieces, "length", ["_key", "piece", "start", "ids_crc32"]).join(F.broadcast(table), "length")
+    parts = max(256, sum(counts.values()) // 1_000_000)  # about a million rows of the most frequent length each
+    placed = ranked(pieces, "length", ["_key", "piece", "start", "ids_crc32"], parts).join(F.broadcast(table), "length")
     slot = last_at(F.col("slots"), F.col("_rank"))
     placed = placed.withColumn("_slot", slot)
     return placed.select(

@@ -21,11 +21,14 @@ SLICE = 1 << 16
 STEPS = 8
 #: Lines per word beyond which a word's postings are dealt out as pairs of chunks.
 CHUNK = 1 << 16
-#: Earliest candidates of a line that a group names at first; lines that none of them settles get all theirs in a second round.
-NAMED = 8
+#: Earliest candidates of a line that a group names at first, where one of them is close for sure, and where none is.
+#: Lines that none of them settles get all their candidates in a second round.
+NAMED, NAMED_WEAK = 4, 16
+#: Words of a line up to which the bitmap tells nearly all differences.
+EXACT_BITS = 40
 _HASH_BITS, _PLACE_BITS = 40, 28
-#: Documents of which all lines are read again one by one; beyond, a bit table tells which lines are wanted.
-FEW_DOCUMENTS = 1 << 13
+#: Documents that are told to every task (a megabyte of keys) to read only their lines again; beyond, a bit table tells which lines are wanted.
+FEW_DOCUMENTS = 1 << 17
 #: Bits of the table that tells which lines are wanted again, and the most of them for which it is used.
 WANTED_BITS, WANTED_MOST = 1 << 26, 1 << 23
 _BUCKET_MASK = np.uint64(BUCKETS - 1)
@@ -163,32 +166,37 @@ def _pairs(limit: Threshold, named: int | None):
         keep = keep[np.bincount(group[keep], minlength=group[-1] + 1)[group[keep]] > 1]
         get, group = {c: v[keep] for c, v in get.items()}, group[keep]
         size, mark, bits = get["meta"] >> 32, get["meta"] & 0xFFFFFFFF, np.stack([get["bits"], get["more_bits"]], axis=1).view(np.uint64)
-        place, first_side, inner = mark >> 2, mark >> 1 & 1, mark & 1 == 1
-        met = np.zeros(len(group), np.int64)
+        first_side, inner, after = mark >> 1 & 1, mark & 1 == 1, size - (mark >> 2)  # words from the one in common on
+        shared = limit.shared(np.arange(2 * int(size.max(initial=0)) + 1))
+        # The smaller line of a pair must have the common word early; groups without such a line have no pair.
+        early = np.bincount(group, weights=after >= shared[2 * size], minlength=1) > 0
+        met, close = np.zeros(len(group), np.int64), np.zeros(len(group), bool)
+        most = lambda x: np.where(close[x], named, max(named, NAMED_WEAK))
         xs, ys = [], []
-        ends = np.searchsorted(group, group, side="right")
         starts = np.searchsorted(group, group, side="left")
         rows = np.arange(len(group))
-        alive = rows[(ends - starts > 1) & (get["open"] if "open" in get else True)]
+        alive = rows[early[group] & (rows > starts) & (get["open"] if "open" in get else True)]
         step = 0
-        while len(alive):  # line x against the step-th earliest of its group
+        while len(alive):  # each line against the step-th earliest of its group
             y = starts[alive] + step
-            alive, y = alive[y < alive], y[y < alive]
-            need = limit.shared(size[alive] + size[y])
-            reach = np.minimum(size[alive] - place[alive], size[y] - place[y])  # at the first word in common
-            ok = (np.minimum(size[alive], size[y]) >= need) & (reach >= need)
-            ok &= np.bitwise_count(bits[alive] ^ bits[y]).sum(axis=1) <= size[alive] + size[y] - 2 * need
-            ok &= (first_side[alive] != first_side[y]) | inner[alive]
-            ok &= (get["doc"][alive] != get["doc"][y]) | (get["number"][alive] != get["number"][y])
-            if named is not None:
-                met[alive[ok]] += 1
-                ok &= met[alive] <= named
-            xs.append(alive[ok])
-            ys.append(y[ok])
+            total = size[alive] + size[y]
+            near = np.flatnonzero(np.minimum(after[alive], after[y]) >= shared[total])
+            if len(near):
+                x, y, apart = alive[near], y[near], total[near] - 2 * shared[total[near]]
+                differ = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1)
+                ok = differ <= apart
+                ok &= (first_side[x] != first_side[y]) | inner[x]
+                ok &= (get["doc"][x] != get["doc"][y]) | (get["number"][x] != get["number"][y])
+                if named is not None:
+                    met[x[ok]] += 1
+                    ok &= met[x] <= most(x)
+                    close[x[ok & ((2 * differ <= apart) | (size[x] <= EXACT_BITS))]] = True
+                xs.append(x[ok])
+                ys.append(y[ok])
             step += 1
-            alive = alive[(starts[alive] + step < alive) & ((met[alive] <= named) if named is not None else True)]
+            alive = alive[(starts[alive] + step < alive) & ((met[alive] <= most(alive)) if named is not None else True)]
         x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
-        more = met[x] > named if named is not None else np.zeros(len(x), bool)
+        more = met[x] > most(x) if named is not None else np.zeros(len(x), bool)
         columns = [get["sid"][x], get["doc"][x], get["sid"][y], get["doc"][y], more]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["x", "x_doc", "y", "y_doc", "more"])
 
@@ -247,11 +255,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes, limit: Threshold) -> D
     # A line of the set may be read from any document that has it: from the few documents wanted, or else from all,
     # where a bit table of the sids tells most lines apart if it is sparse enough.
     bits, documents = None, materialize(wanted.select("_key").distinct(), "wanted-documents")
-    if FEW_DOCUMENTS < documents.count() and wanted.count() <= WANTED_MOST:
+    few = documents.count() <= FEW_DOCUMENTS
+    if not few and wanted.count() <= WANTED_MOST:
         bits = docs.sparkSession.sparkContext.broadcast(_wanted_bits(wanted.select("sid")))
         texts = docs.select("_text")
     else:
-        texts = docs.join(documents, "_key", "left_semi").select("_text")
+        texts = docs.join(F.broadcast(documents) if few else documents, "_key", "left_semi").select("_text")
     words = texts.mapInArrow(sets, "sid long, words array<long>").join(wanted.select("sid").distinct().hint("merge"), "sid", "left_semi").dropDuplicates(["sid"])
     both = pairs.select("x", "y").join(words.select(F.col("sid").alias("x"), F.col("words").alias("a")), "x").join(words.select(F.col("sid").alias("y"), F.col("words").alias("b")), "y")
     shared = F.size(F.array_intersect("a", "b"))
@@ -269,8 +278,9 @@ def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", simil
 
     Word frequencies come from a sketch of all texts, which orders words from rare to frequent in a table of fixed
     size. Equal sets count once. Lines meet in groups of equal prefix words, where length, position and a bitmap of the
-    words rule out most; of what is left the earliest NAMED per group are verified on whole sets, and lines that none
-    of them settles are compared with all their candidates in a second round, so that dense groups stay linear.
+    words rule out most; of what is left the earliest NAMED per group (NAMED_WEAK, if the bitmaps leave it open whether
+    one of them is similar) are verified on whole sets, and lines that none of them settles are compared with all
+    their candidates in a second round, so that dense groups stay linear.
     """
     limit = Threshold(*similarity)
     docs = df.select(df[key].cast("long").alias("_key"), F.coalesce(df[text], F.lit("")).alias("_text")).where("_key is not null")

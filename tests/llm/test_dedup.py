@@ -91,8 +91,10 @@ def lines_by_hand(rows, least=5):
 @pytest.mark.parametrize("seed, named", [(1, 8), (2, 1), (3, 1)])
 def test_lines(spark, monkeypatch, seed, named):
     monkeypatch.setattr(lines, "NAMED", named)
+    monkeypatch.setattr(lines, "NAMED_WEAK", named)
     monkeypatch.setattr(lines, "CHUNK", 4 if seed == 3 else lines.CHUNK)
-    monkeypatch.setattr(lines, "FEW_DOCUMENTS", 0 if seed == 1 else lines.FEW_DOCUMENTS)
+    monkeypatch.setattr(lines, "FEW_DOCUMENTS", 0 if seed < 3 else lines.FEW_DOCUMENTS)
+    monkeypatch.setattr(lines, "WANTED_MOST", 0 if seed == 2 else lines.WANTED_MOST)
     rows = corpus(seed, docs=80, vocabulary=15, copies=40)
     df = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA + ", removed string")
     want = lines_by_hand(rows)

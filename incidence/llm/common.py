@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
@@ -11,17 +10,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words are runs of anything but space and the control whites tab to carriage return.
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: The separators of WORD, as characters.
+#: Words are runs of anything but these: space and the control characters tab to carriage return.
 WHITES = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only in local mode, where none is set."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.incidence.shared.dir", None)
     if not folder:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         folder = "file://" + tempfile.mkdtemp(prefix="incidence-")
         spark.conf.set("spark.incidence.shared.dir", folder)
     return folder.rstrip("/")

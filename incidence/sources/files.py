@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or a temporary one where none is set (local runs)."""
+    """The folder in spark.checkpoint.dir, or a temporary one in local mode where none is set."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.incidence.folder", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         folder = "file://" + tempfile.mkdtemp(prefix="incidence-")
         spark.conf.set("spark.incidence.folder", folder)
     return folder.rstrip("/")

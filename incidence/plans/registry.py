@@ -25,6 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 from incidence.plans import (  # noqa: E402, F401  the modules register their queries
+    endpoints,
     features,
     forecast,
     learning,

@@ -300,10 +300,10 @@ def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", simil
                 flags, high = np.uint64(1) << (found.ids & np.uint64(63)), (found.ids & np.uint64(64)) > 0
                 bits, more_bits = (np.bitwise_xor.reduceat(np.where(high == h, flags, np.uint64(0)), heads).view(np.int64) for h in (False, True))
                 docs_, fresh = keys[found.rows], np.zeros(len(long), bool)
-                for i in np.flatnonzero(long):
-                    order, sid = (docs_[i], found.numbers[i]), found.sids[i]
-                    if sid not in best or order < best[sid]:
-                        best[sid], fresh[i] = order, True
+                names = zip(docs_.tolist(), found.numbers.tolist(), found.sids.tolist(), long.tolist(), strict=True)
+                for i, (doc, number, sid, counts) in enumerate(names):
+                    if counts and ((known := best.get(sid)) is None or (doc, number) < known):
+                        best[sid], fresh[i] = (doc, number), True
                 if len(best) > 2_000_000:
                     best.clear()
                 alone = found.ids >> np.uint64(_HASH_BITS) == 0  # a word of one line only meets no other

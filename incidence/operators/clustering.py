@@ -2,38 +2,43 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from incidence.sources.files import materialize
 
 
-def neighbours(points: DataFrame, eps: float) -> DataFrame:
-    """(a, b) of ids at most `eps` apart, a point and itself too: a join of each grid cell with the nine around it.
+def _near(left: DataFrame, right: DataFrame, eps: float) -> DataFrame:
+    """Rows of `left` (a, ax, ay, cx, cy) with those of `right` (x, y, cx, cy, ...) at most `eps` apart.
 
-    Points carry id, x, y. Each point's cell is a key; the other side repeats its row for nine cells, so no pair of
-    far points meets.
+    Cells have the side eps / sqrt(2), so a row looks at the five by five cells around its own: it repeats for them, and
+    the rows meet by cell.
     """
-    cell = lambda c: F.floor(F.col(c) / eps).cast("long")
-    left = points.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("cx"), cell("y").alias("cy"))
-    around = F.array(*[F.struct((cell("x") + i).alias("cx"), (cell("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    right = points.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.inline(around))
-    apart = (F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by"))
-    return left.join(right, ["cx", "cy"]).where(apart <= eps * eps).select("a", "b")
+    around = F.array(*[F.struct((F.col("cx") + i).alias("nx"), (F.col("cy") + j).alias("ny")) for i in range(-2, 3) for j in range(-2, 3) if abs(i) + abs(j) < 4])
+    spread = left.select("*", F.inline(around)).drop("cx", "cy").withColumnsRenamed({"nx": "cx", "ny": "cy"})
+    apart = (F.col("ax") - F.col("x")) * (F.col("ax") - F.col("x")) + (F.col("ay") - F.col("y")) * (F.col("ay") - F.col("y"))
+    return spread.join(right, ["cx", "cy"]).where(apart <= eps * eps)
 
 
 def smallest_reachable(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, label): the smallest id in each node's component. `edges` (a, b) hold both directions.
 
-    Each round takes the smallest label next to a node and then the label of that label, so that chains shorten by
-    half; labels are cut to files per round.
+    Each round every link offers the far end's grandparent to the near end and to the near end's parent, and every
+    node goes to its own grandparent; whole trees hook onto each other, so the rounds grow with the logarithm of the
+    longest chain. Labels are cut to files per round.
     """
     labels = nodes.select("id", F.col("id").alias("label"))
     while True:
-        near = edges.join(labels.withColumnsRenamed({"id": "b", "label": "near"}), "b").groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
-        stepped = labels.join(near, "id", "left").select("id", "label", F.least("label", "near").alias("near"))
-        jump = labels.select(F.col("id").alias("near"), F.col("label").alias("far"))
-        moved = materialize(stepped.join(jump, "near", "left").select("id", F.least("near", "far").alias("label"), (F.least("near", "far") != F.col("label")).alias("changed")))
+        up = labels.select(F.col("id").alias("label"), F.col("label").alias("grand"))
+        both = labels.join(up, "label").select("id", "label", "grand")
+        far = both.select(F.col("id").alias("b"), F.col("grand").alias("offer"))
+        near = labels.select(F.col("id").alias("a"), F.col("label").alias("parent"))
+        offers = edges.join(far, "b").join(near, "a")
+        told = offers.select(F.inline(F.array(F.struct(F.col("a").alias("id"), "offer"), F.struct(F.col("parent").alias("id"), "offer"))))
+        best = told.unionByName(both.select("id", F.col("grand").alias("offer"))).groupBy("id").agg(F.min("offer").alias("offer"))
+        moved = materialize(labels.join(best, "id").select("id", F.least("label", "offer").alias("label"), (F.col("offer") < F.col("label")).alias("changed")))
         labels = moved.select("id", "label")
         if moved.where("changed").isEmpty():
             return labels
@@ -43,15 +48,26 @@ def dbscan(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     """id, cluster, kind (core, border, noise): points with `min_samples` points within `eps` (themselves too) are cores.
 
     A cluster's name is its smallest core id; a border point goes to the smallest such cluster in reach, noise has -1.
+    All points of a cell are within `eps` of each other: cells with `min_samples` points hold cores only and need no
+    comparison, and cores link cell by cell, so the labels to be spread are as many as there are cells.
     """
-    pairs = materialize(neighbours(points, eps))
-    cores = materialize(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_samples).select(F.col("a").alias("id")))
-    core_b = cores.select(F.col("id").alias("b"))
-    reach = pairs.join(core_b, "b", "left_semi")
-    labels = smallest_reachable(reach.join(cores.select(F.col("id").alias("a")), "a", "left_semi"), cores)
-    nearest = reach.join(labels.withColumnsRenamed({"id": "b"}), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("cluster"))
-    own = labels.select("id", F.col("label").alias("core"))
-    out = points.select("id").join(own, "id", "left").join(nearest, "id", "left")
+    side = eps / math.sqrt(2)
+    cell = lambda c: F.floor(F.col(c) / side).cast("long")
+    own = points.select("id", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
+    dense = own.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_samples).select("cx", "cy")
+    asking = lambda df: df.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), "cx", "cy")
+    lonely = _near(asking(own.join(dense, ["cx", "cy"], "left_anti")), own.select("x", "y", "cx", "cy"), eps)
+    found = lonely.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_samples).select(F.col("a").alias("id"))
+    cores = own.join(dense, ["cx", "cy"], "left_semi").unionByName(own.join(found, "id", "left_semi").select("cx", "cy", "id", "x", "y"), allowMissingColumns=False)
+    heads = cores.groupBy("cx", "cy").agg(F.min("id").alias("head"))
+    cores = materialize(cores.join(heads, ["cx", "cy"]))
+    met = _near(cores.select(F.col("head").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), "cx", "cy"), cores.select("x", "y", "cx", "cy", F.col("head").alias("b")), eps)
+    links = materialize(met.where("a <> b").select("a", "b").distinct())
+    labels = smallest_reachable(links, cores.select(F.col("head").alias("id")).distinct())
+    named = materialize(cores.join(labels.select(F.col("id").alias("head"), "label"), "head").select("id", "x", "y", "cx", "cy", "label"))
+    rest = own.join(named.select("id"), "id", "left_anti")
+    border = _near(asking(rest), named.select("x", "y", "cx", "cy", "label"), eps).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("cluster"))
+    out = points.select("id").join(named.select("id", F.col("label").alias("core")), "id", "left").join(border, "id", "left")
     kind = F.when(F.col("core").isNotNull(), "core").when(F.col("cluster").isNotNull(), "border").otherwise("noise")
     return out.select("id", F.coalesce("core", "cluster", F.lit(-1).cast("long")).alias("cluster"), kind.alias("kind"))
 

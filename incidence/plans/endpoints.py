@@ -9,7 +9,7 @@ from incidence.model import accidents, table
 from incidence.operators.clustering import dbscan
 from incidence.operators.recommend import profile, recommend
 from incidence.plans.forecast import dense_daily, fit_forecast
-from incidence.plans.registry import query
+from incidence.plans.base import query
 from incidence.plans.spatial import _flat, points, within
 from incidence.plans.statistics import listing, page
 from incidence.plans.text import dot, unit

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from incidence.functions.stats import share
 from incidence.model import accidents, participants, table, vehicles, with_roles
-from incidence.plans.registry import query
+from incidence.plans.base import query
 from incidence.plans.statistics import category, fixed_holiday
 
 VEHICLES = with_roles("vehicles")

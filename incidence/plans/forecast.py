@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from incidence.model import table
-from incidence.plans.registry import query
+from incidence.plans.base import query
 
 
 def dense_daily(df: DataFrame, moment: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from incidence.functions import entities
 from incidence.model import accidents, vehicles, with_roles
 from incidence.operators.matching import assign_ages, match_posts, quality_of, settled
-from incidence.plans.registry import query
+from incidence.plans.base import query
 
 POSTS = [
     (1, "В 23:20 на 599 км автодороги 63-летний водитель Toyota Corolla допустил столкновение, погиб на месте. Стаж вождения 5 лет."),

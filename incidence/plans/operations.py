@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from incidence.model import table
-from incidence.plans.registry import query
+from incidence.plans.base import query
 from incidence.sources.files import new_rows, upserted
 from incidence.streaming.daily import run_daily_counts
 

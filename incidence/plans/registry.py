@@ -1,30 +1,7 @@
 """Every registered query of the analytics engine with its SQL twin."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-FLAGSHIP = "dangerous_roads"
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name, with the SQL that gives the same rows."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-from incidence.plans import (  # noqa: E402, F401  the modules register their queries
+from incidence.plans.base import QUERIES, SQL  # noqa: F401
+from incidence.plans import (  # noqa: F401  the modules register their queries
     endpoints,
     features,
     forecast,
@@ -35,3 +12,5 @@ from incidence.plans import (  # noqa: E402, F401  the modules register their qu
     statistics,
     text,
 )
+
+FLAGSHIP = "dangerous_roads"

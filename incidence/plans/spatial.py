@@ -9,7 +9,7 @@ from incidence.functions.geo import METRES_PER_DEGREE, haversine, haversine_sql,
 from incidence.model import accidents, lon_lat, table, with_roles
 from incidence.operators.clustering import dbscan
 from incidence.operators.recommend import profile, profile_sql, recommend, recommend_sql
-from incidence.plans.registry import query
+from incidence.plans.base import query
 
 ACCIDENTS = with_roles("accidents")
 CENTRES = ((0, 43.11, 131.92), (1, 43.18, 132.01), (2, 43.26, 132.12), (3, 40.0, 120.0))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from incidence.functions.stats import erfc, erfc_sql, percent, share
 from incidence.model import accidents, participants, table, vehicles, with_roles
-from incidence.plans.registry import query
+from incidence.plans.base import query
 
 ACCIDENTS = with_roles("accidents")
 GROUP_FIELDS = ("light_type", "place", "parent_region")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from incidence.functions.text import NEGATIVE, STRONG, WEAK, keyword_filter, normalized
 from incidence.model import table
-from incidence.plans.registry import query
+from incidence.plans.base import query
 
 _ANY = lambda words: "(" + " or ".join(f"contains(lower(text), '{w}')" for w in words) + ")"
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from incidence.functions.text import NEGATIVE, STRONG, WEAK, keyword_filter, normalized
 from incidence.model import table
+from incidence.operators.vectors import nearest
 from incidence.plans.base import query
 
 _ANY = lambda words: "(" + " or ".join(f"contains(lower(text), '{w}')" for w in words) + ")"
@@ -86,6 +87,16 @@ def vector_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sims.withColumn("place", place.cast("long")).where("place <= 10")
 
 
+@query("""
+with q as (select vec_id as query_id, embedding as q from embeddings where vec_id % 100 = 0),
+sims as (select query_id, vec_id, round(list_cosine_similarity(embedding::double[], q::double[]), 5) as similarity from embeddings, q where vec_id <> query_id)
+select query_id, vec_id, place, similarity from (select *, row_number() over (partition by query_id order by similarity desc, vec_id) as place from sims) where place <= 10""")
+def vector_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors by cosine of every vector whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 @query("""
 with parts as (select label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings),
 centres as (select label, i, avg(x) as x from parts group by all)

@@ -44,6 +44,10 @@ class Threshold(NamedTuple):
         """Rarest words of which a similar line must share one."""
         return size - -(-self.num * size // self.den) + 1
 
+    def joins(self, size):
+        """Whether lines of `size` words can be similar to one with other words: it has a word more or less then."""
+        return size * (self.den - self.num) >= self.num
+
     def shared(self, total):
         """Words that lines of `total` words together must share."""
         return -(-self.num * total // (self.num + self.den))
@@ -307,7 +311,7 @@ def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", simil
                 if len(best) > 2_000_000:
                     best.clear()
                 alone = found.ids >> np.uint64(_HASH_BITS) == 0  # a word of one line only meets no other
-                chosen = fresh[found.line] & (found.place < limit.prefix(found.sizes)[found.line]) & ~alone
+                chosen = fresh[found.line] & (found.place < limit.prefix(found.sizes)[found.line]) & limit.joins(found.sizes)[found.line] & ~alone
                 copies, groups, marks = _deal(found.ids[chosen], found.place[chosen], found.sids[found.line[chosen]])
                 sizes = np.bincount(np.repeat(found.line[chosen], copies), minlength=len(long))
                 offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))

@@ -62,7 +62,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    gone = lines.repeated_lines(docs).select("doc_id", "_id", "removed")
+    gone = lines.repeated_lines(docs, min_words=1).select("doc_id", "_id", "removed")
     text = F.coalesce("text", F.lit(""))
     whole = docs.withColumn("_id", F.xxhash64(text)).join(gone.hint("merge"), ["doc_id", "_id"], "left")
     kept = lines.without_lines(text, F.col("removed"))

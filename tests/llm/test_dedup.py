@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from incidence.llm import lines, packing, queries, simhash, substring
 from tests.compare import connect, same
 
@@ -105,6 +106,23 @@ def test_lines(spark, monkeypatch, seed, named):
     assert any(want.values()) and lines.dedup_lines(df).columns == df.columns and lines.dedup_lines(df).count() == len(rows)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_short_lines(spark, seed):
+    r = random.Random(seed)
+    rows = [(i, "\n".join(" ".join(r.choice("abcdef") for _ in range(r.randint(0, 7))) for _ in range(6))) for i in range(40)]
+    got = {r["doc_id"]: r["removed"] for r in lines.repeated_lines(spark.createDataFrame(rows, SCHEMA), min_words=1).collect()}
+    assert got == {k: gone for (k, _), gone in lines_by_hand(rows, 1).items() if gone}
+
+
+def test_queries_take_short_lines(spark, tmp_path):
+    text = "All rights reserved.\nsome other words here\n\nagain"
+    spark.createDataFrame([(1, text), (2, text), (3, "some other words here today")], SCHEMA).withColumn("n_chars", F.length("text").cast("long")).write.parquet(f"{tmp_path}/documents.parquet")
+    gone = {r["doc_id"]: r["removed_lines"] for r in queries.QUERIES["op8_line_dedup"](spark, str(tmp_path)).collect()}
+    assert gone == {1: [], 2: [0, 1, 3], 3: [0]}
+    kept = corpus_pipeline.line_dedup(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()
+    assert {r["doc_id"]: r["text"] for r in kept} == {1: text, 2: "", 3: ""}
+
+
 def test_lines_of_no_rows(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert lines.dedup_lines(df).count() == 0

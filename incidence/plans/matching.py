@@ -6,39 +6,67 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from incidence.functions import entities
-from incidence.model import accidents, vehicles, with_roles
+from incidence.model import accidents, table, vehicles, with_roles
 from incidence.operators.matching import assign_ages, match_posts, quality_of, settled
 from incidence.plans.base import query
 
-POSTS = [
-    (1, "В 23:20 на 599 км автодороги 63-летний водитель Toyota Corolla допустил столкновение, погиб на месте. Стаж вождения 5 лет."),
-    (2, "Около 23.45 на улице Шилкинская 23-летняя женщина, наезд на пешехода, госпитализирована. В возрасте 47 лет мужчина получил травмы."),
-    (3, "По ст. 12.27 КоАП; на 82 км и 120 км автомобиль Нисан совершил опрокидывание. 25:00 и 12:75 не время. Водительский стаж составляет 28 лет."),
-    (4, ""),
-    (5, "8 лет мальчик и 35-летний водитель Honda Fit на проспекте Океанский, съехал в кювет, скончался."),
-]
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per lineitem: post_id (the accident's id), participant_id, nr, role, sex, age, car, km, hurt."""
+    names = F.array(*[F.lit(b) for b in entities.BRANDS])
+    nr = F.col("l_linenumber")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("post_id"), (F.col("l_orderkey") * 8 + nr).alias("participant_id"), nr.alias("nr"), F.when(nr % 3 == 1, "driver").when(nr % 3 == 2, "passenger").otherwise("pedestrian").alias("role"),
+        F.when(F.col("l_suppkey") % 2 == 0, "M").otherwise("F").alias("sex"), (F.lit(16) + F.col("l_quantity").cast("int")).alias("age"), F.get(names, (F.col("l_partkey") % len(entities.BRANDS)).cast("int")).alias("car"),
+        (F.col("l_suppkey") % 1000).alias("km"), (F.col("l_returnflag") == "R").alias("hurt"),
+    )
 
 
-def posts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(POSTS, "post_id long, text string")
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """post_id, text: a report of every accident, with a sentence for each of its participants; from the fourth on they are named by sex."""
+    man = F.col("sex") == "M"
+    noun = F.when(F.col("nr") > 3, F.when(man, "мужчина").otherwise("женщина")).when(F.col("role") == "driver", "водитель").when(F.col("role") == "passenger", "пассажир").otherwise("пешеход")
+    said = F.concat("age", F.when(man, F.lit("-летний ")).otherwise(F.lit("-летняя ")), noun, F.lit(", автомобиль "), "car", F.lit(", на "), "km", F.when(F.col("hurt"), F.lit(" км, госпитализирован.")).otherwise(F.lit(" км.")))
+    told = people(spark, sf_dir).groupBy("post_id").agg(F.array_sort(F.collect_list(F.struct("nr", said.alias("said")))).alias("parts"))
+    return told.select("post_id", F.concat(F.lit("Столкновение. "), F.array_join("parts.said", " ")).alias("text"))
 
 
-@query()
-def ner_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All entities of each post, in one projection."""
+def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source, post_id, turn, text: every document, every turn of a conversation and a report of every accident."""
+    none = F.lit(None).cast("long")
+    documents = table(spark, sf_dir, "documents").select(F.lit("document").alias("source"), F.col("doc_id").alias("post_id"), none.alias("turn"), "text")
+    turns = table(spark, sf_dir, "conversations").select(F.lit("conversation").alias("source"), F.col("conv_id").alias("post_id"), "turn", "text")
+    told = reports(spark, sf_dir).select(F.lit("report").alias("source"), "post_id", none.alias("turn"), "text")
+    return documents.unionByName(turns).unionByName(told)
+
+
+def entities_of(rows: DataFrame) -> DataFrame:
+    """All entities of each `text`, in one projection; other columns stay."""
     text = F.col("text")
-    return posts(spark).select(
-        "post_id", entities.ages(text).alias("ages"), entities.brands(text).alias("vehicles"), entities.times(text).alias("times"), entities.experience(text).alias("experience"), entities.kilometres(text).alias("kilometers"),
+    return rows.select(
+        *[c for c in rows.columns if c != "text"], entities.ages(text).alias("ages"), entities.brands(text).alias("vehicles"), entities.times(text).alias("times"), entities.experience(text).alias("experience"), entities.kilometres(text).alias("kilometers"),
         entities.streets(text).alias("streets"), entities.expected_em_type(text).alias("em_type"), entities.expected_severity(text).alias("severity"),
     )
 
 
+def ages_of(rows: DataFrame) -> DataFrame:
+    """post_id, nr, age, category, sex: the ages in each `text`, in order."""
+    told = rows.select("post_id", F.posexplode(entities.ages(F.col("text"))).alias("nr", "a")).withColumn("c", entities.context_of(F.col("a.context")))
+    return told.select("post_id", "nr", F.col("a.age").alias("age"), F.col("c.category").alias("category"), F.col("c.sex").alias("sex"))
+
+
+@query()
+def ner_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entities of each text."""
+    return entities_of(posts(spark, sf_dir))
+
+
 @query()
 def ner_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of brands and age contexts over the posts."""
-    rows = posts(spark).select(entities.ages(F.col("text")).alias("a"), entities.brands(F.col("text")).alias("v"))
-    part = lambda field, items: rows.select(F.explode(items).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n")).select(F.lit(field).alias("field"), "value", "n")
-    return part("brand", F.col("v.brand")).unionByName(part("context", F.col("a.context")))
+    """Counts of brands and age contexts over all texts."""
+    rows = posts(spark, sf_dir).select(entities.ages(F.col("text")).alias("a"), entities.brands(F.col("text")).alias("v"))
+    named = lambda field, items: F.transform(items, lambda x: F.struct(F.lit(field).alias("field"), x.alias("value")))
+    found = rows.select(F.inline(F.concat(named("brand", F.col("v.brand")), named("context", F.col("a.context")))))
+    return found.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,8 +116,5 @@ def match_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def age_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ages of the posts given to participants of a small fixture."""
-    told = posts(spark).select("post_id", F.posexplode(entities.ages(F.col("text"))).alias("nr", "a")).withColumn("c", entities.context_of(F.col("a.context")))
-    told = told.select("post_id", "nr", F.col("a.age").alias("age"), F.col("c.category").alias("category"), F.col("c.sex").alias("sex"))
-    people = [(1, 11, "driver", "M"), (1, 12, "passenger", "F"), (2, 21, "pedestrian", "F"), (2, 22, "driver", "M"), (5, 51, "pedestrian", "M"), (5, 52, "driver", None)]
-    return settled(assign_ages(told, spark.createDataFrame(people, "post_id long, participant_id long, role string, sex string")))
+    """Ages of the accidents' reports given to their participants."""
+    return settled(assign_ages(ages_of(reports(spark, sf_dir)), people(spark, sf_dir).select("post_id", "participant_id", "role", "sex")))

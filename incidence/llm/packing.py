@@ -2,56 +2,105 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from incidence.llm.common import materialize
+from incidence.llm.common import lists, materialize
+
+
+class Vocabulary:
+    """Token ids of texts by the `tokenizers` library, each text as bytes of little-endian unsigned 32-bit ids.
+
+    Texts are cut before every space that follows a character which is no white space: byte-level vocabularies never
+    join across such a place, so the ids of the parts are those of the text. A part's ids are asked of the library
+    once and kept, for parts of at most LONGEST characters and KEPT parts at a time.
+    """
+
+    LONGEST, KEPT = 64, 1 << 19
+    # U+180E is white space to some versions of Unicode.
+    _CUT, _RARE = re.compile(r"(?<=[^\s\u180e])(?= )"), re.compile(r"[\s\u180e] |\0")
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        if getattr(self.library.pre_tokenizer, "add_prefix_space", True) or self.library.normalizer is not None:
+            raise ValueError("texts can be cut at spaces for byte-level vocabularies without prefix space and normalizer only")
+        self.known: dict[str, bytes] = {}
+
+    def _parts(self, text: str) -> list[str]:
+        return self._CUT.split(text) if text[:1] == " " or self._RARE.search(text) else text.replace(" ", "\0 ").split("\0")
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        cut = [self._parts(t) for t in texts]
+        parts = set(chain.from_iterable(cut))
+        asked = list(parts.difference(self.known))
+        if len(self.known) + len(asked) > self.KEPT:
+            self.known.clear()
+            asked = list(parts)
+        found = self.library.encode_batch_fast(asked, add_special_tokens=False)
+        self.known.update((p, array("I", e.ids).tobytes()) for p, e in zip(asked, found, strict=True))
+        out = [b"".join(map(self.known.__getitem__, parts)) for parts in cut]
+        for p in asked:
+            if len(p) > self.LONGEST:
+                del self.known[p]
+        return out
 
 
 @lru_cache(maxsize=2)
-def byte_bpe(path: str):
-    """The byte-level BPE whose ranks are at `path`; its end-of-text string is one token, as in the JSON form of it."""
-    import base64
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
 
-    import public_tokenizers
-    import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
+#: Characters of text that are tokenized at a time; a longer text is taken alone.
+CHARACTERS = 1 << 20
 
 
 def token_pieces(df: DataFrame, key: str, text: str, path: str, capacity: int, end_id: int, with_ids: bool = False) -> DataFrame:
     """key, piece, start, length, ids_crc32 (and ids): the documents' tokens with `end_id` after them, cut if over `capacity`.
 
-    All pieces but the first are full. A null text is empty and has the end id alone. Whole texts are tokenized.
+    All pieces but the first are full. A null text is empty and has the end id alone. Whole texts are tokenized. Keys
+    of any type, null too, pass as they are.
     """
-
-    def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = byte_bpe(path)
-        for frame in frames:
-            rows, ids_out = [], []
-            for at, body in enumerate(frame["_text"]):
-                ids = np.array([*bpe.encode(body or "", allowed_special="all"), end_id], "<u4")
-                cut = len(ids) % capacity or capacity
-                for k, start in enumerate([0, *range(cut, len(ids), capacity)]):
-                    own = ids[start : start + (capacity if k else cut)]
-                    rows.append((at, k, start, len(own), zlib.crc32(own.tobytes())))
-                    if with_ids:
-                        ids_out.append(own.astype(np.int32))
-            table = np.array(rows, np.int64).reshape(-1, 5)
-            out = pd.DataFrame({"_key": frame["_key"].take(table[:, 0]), "piece": table[:, 1].astype(np.int32), "start": table[:, 2], "length": table[:, 3], "ids_crc32": table[:, 4]})
-            yield out.assign(ids=ids_out) if with_ids else out
+    kinds = {"row": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
+    end = np.array([end_id], "<u4").tobytes()
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = vocabulary(path)
+        for batch in batches:
+            texts = batch["_text"].fill_null("").to_pylist()
+            bounds, held = [0], 0
+            for i, t in enumerate(texts, 1):
+                held += len(t)
+                if held >= CHARACTERS or i == len(texts):
+                    bounds.append(i)
+                    held = 0
+            for first, last in pairwise(bounds):
+                rows, own = [], []
+                for at, ids in enumerate(words.ids(texts[first:last]), first):
+                    ids += end
+                    n = len(ids) // 4
+                    cut = n % capacity or capacity
+                    for k, start in enumerate([0, *range(cut, n, capacity)]):
+                        part = ids[4 * start : 4 * (start + (capacity if k else cut))]
+                        rows.append((at, k, start, len(part) // 4, zlib.crc32(part)))
+                        own += [np.frombuffer(part, "<u4")] * with_ids
+                columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds.values(), strict=True)]
+                out = [batch["_key"].take(columns[0]), *columns[1:], *[lists(own, pa.int32())] * with_ids]
+                yield pa.RecordBatch.from_arrays(out, ["_key", *list(kinds)[1:], *["ids"] * with_ids])
 
     rows = df.select(df[key].alias("_key"), df[text].alias("_text"))
     kind = dict(rows.dtypes)["_key"]
-    return rows.mapInPandas(pieces, f"_key {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(pieces, f"_key {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def minimum_slack_plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:

@@ -36,7 +36,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token pieces and their places in packed sequences."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), capacity=1024, end_id=2)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
 STAGES = [

@@ -1,9 +1,11 @@
 """Templates, archives, packing, sharding, rules and decontamination."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -179,6 +181,43 @@ def test_urls(spark):
     assert urls.filter_urls(pages.limit(0), urls.mine_rules(urls.page_labels(pages, labels.limit(0))), queries.URL_RULES).count() == 0
 
 
+def rules_by_hand(rows, base, least=5, confidence=0.5, lift=1.5, z=1.28):
+    """Apriori over all token combinations: rows are (tokens, blocked, held)."""
+    fitted, held = [r for r in rows if not r[2]], [r for r in rows if r[2]]
+    share = sum(b for _, b, _ in fitted) / len(fitted)
+    found = {}
+    for tokens, _, _ in fitted:
+        for n in range(1, len(tokens) + 1):
+            for c in combinations(sorted(tokens), n):
+                found[frozenset(c)] = None
+    good = {}
+    for rule in found:
+        own = [b for t, b, _ in fitted if rule <= set(t)]
+        if sum(own) >= least and sum(own) / len(own) >= confidence and sum(own) / len(own) / share >= lift:
+            seen = [b for t, b, _ in held if rule <= set(t)]
+            if seen:
+                p, n = sum(seen) / len(seen), len(seen)
+                low = (p + z * z / n / 2 - z * math.sqrt(p * (1 - p) / n + z * z / n / (4 * n))) / (1 + z * z / n)
+                if p >= confidence and low > base:
+                    good[rule] = sum(own) / len(own)
+    return {(tuple(sorted(r)), round(c, 9)) for r, c in good.items() if not any(s < r and d >= c for s, d in good.items())}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_rules_are_those_of_apriori(spark, seed):
+    r = random.Random(seed)
+    rows = [(i, ["host:a", "path:x" if i % 12 < 2 else "path:y" if i % 12 < 4 else f"path:z{i % 3}"], i % 12 < 4) for i in range(360)]
+    rows += [(i, r.sample([f"path:{c}" for c in "bcdefg"], r.randint(0, 4)), None) for i in range(360, 800)]
+    rows = [(i, sorted(t), r.random() < (0.9 if {"path:b", "path:c"} <= set(t) else 0.7 if "path:d" in t else 0.15) if b is None else b) for i, t, b in rows]
+    df = spark.createDataFrame(rows, "sample_key long, tokens array<string>, blocked boolean")
+    known = [tuple(x) for x in df.where(F.size("tokens") > 0).select("tokens", "blocked", urls.held_out(df)).collect()]
+    held = [b for _, b, h in known if h]
+    mined = urls.mine_rules(df, min_rows=5).collect()
+    assert {(tuple(x["rule_tokens"]), round(x["confidence"], 9)) for x in mined} == rules_by_hand(known, sum(held) / len(held))
+    assert {("path:x",), ("path:y",)} <= {tuple(x["rule_tokens"]) for x in mined} and all(x["anchor"] in x["rule_tokens"] for x in mined)
+    assert urls.mine_rules(df.where("blocked is null")).count() == urls.mine_rules(df.where("not blocked")).count() == 0
+
+
 def test_wand_finds_all():
     r = random.Random(5)
     words = [f"w{i}" for i in range(120)]

@@ -160,13 +160,43 @@ def test_near_duplicates(spark, monkeypatch, chunk, chance):
     assert len(set(names.values())) < len(names)
 
 
+def test_keys_beside_null(spark):
+    rows = [(None, "a b"), (2**60 + 1, "one two three"), (2**60 + 3, "ONE two\nthree"), (None, "one two three"), (None, None), (2**60 + 5, "")]
+    out = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()), key=str)
+    assert out == sorted([(None, None), (2**60 + 1, 2**60 + 1), (2**60 + 3, 2**60 + 1), (None, 2**60 + 1), (None, 2**60 + 5), (2**60 + 5, 2**60 + 5)], key=str)
+
+
 def test_one_of_each(spark):
     base = " ".join(f"word{i}" for i in range(300))
-    rows = [(5, base), (2, base.replace("word7 ", "other ")), (9, base.upper()), (1, "something else entirely " * 9), (1, "something else entirely " * 9), (7, None), (8, "")]
-    df = spark.createDataFrame([(*r, "k") for r in rows], SCHEMA + ", _kept string")
-    out = simhash.one_of_each(df.withColumnRenamed("_kept", "kind"))
-    assert sorted(r["doc_id"] for r in out.collect()) == [1, 2, 7] and out.columns == ["doc_id", "text", "kind"]
-    assert simhash.one_of_each(df.drop("_kept").limit(0)).count() == 0
+    rows = [(5, base), (2, base.replace("word7 ", "other ")), (9, base.upper()), (1, "something else entirely " * 9), (1, "something else entirely " * 9), (1, "quite another text with a key in use"), (7, None), (8, ""), (None, base), (None, "only a null key here")]
+    df = spark.createDataFrame([(*r, "k", i) for i, r in enumerate(rows)], SCHEMA + ", _kept string, _key int")
+    out = simhash.one_of_each(df)
+    assert out.columns == df.columns
+    assert sorted((r["doc_id"] for r in out.collect()), key=str) == [1, 1, 2, 7, None]
+    assert {tuple(r) for r in out.collect()} == {tuple(r) for r in simhash.one_of_each(df.orderBy("_key", ascending=False)).collect()}
+    assert simhash.one_of_each(df.limit(0)).count() == 0
+
+
+def shingles(words, n=5):
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
+
+
+@pytest.mark.parametrize("length, vocabulary", [(100, 5000), (2000, 300), (3000, 100000)])
+def test_near_copies_are_found(spark, length, vocabulary):
+    """Pairs of a similarity of 0.8 and a little more, of which nine in ten at least must be found; far ones must stay."""
+    r, rows, close = random.Random(length), [], 0
+    for i in range(40):
+        base = [f"w{r.randrange(vocabulary)}" for _ in range(length)]
+        near, far = list(base), list(base)
+        for at in r.sample(range(length), max(1, length // 50)):
+            near[at] = f"new{i}x{at}"
+        for at in r.sample(range(length), length // 10):
+            far[at] = f"far{i}x{at}"
+        a, b = shingles(base), shingles(near)
+        close += len(a & b) / len(a | b) >= 0.8
+        rows += [(3 * i, " ".join(base)), (3 * i + 1, " ".join(near)), (3 * i + 2, " ".join(far))]
+    kept = {x["doc_id"] for x in simhash.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert close >= 36 and {k for k, _ in rows if k % 3 != 1} <= kept and sum(k % 3 == 1 for k in kept) <= 40 - 0.9 * close
 
 
 def test_plan_fills_bins():

@@ -8,7 +8,7 @@ import struct
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame
@@ -120,24 +120,30 @@ def write_archives(
     later = F.col("_first").isNotNull() & F.coalesce(F.col("_key") > F.col("_first"), F.lit(True))
     rows = rows.join(first, "_digest", "left").select("_key", "_url", "_payload", "_digest", F.when(later, F.col("_first").cast("string")).alias("_refers"))
 
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bundle = None
+    kind = dict(rows.dtypes)["_key"]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bundle, keys = None, None
         names = ["_key", "record_id", "bundle", "frame", "offset", "length"]
-        for frame in frames:
-            for at, link, text, digest, refers in frame.itertuples(index=False):
+
+        def index() -> pa.RecordBatch:
+            places = [pa.array(c, t) for c, t in zip(zip(*bundle.close(), strict=True), (keys, pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
+            return pa.RecordBatch.from_arrays(places, names)
+
+        for batch in batches:
+            keys = batch["_key"].type
+            for at, link, text, digest, refers in zip(*(batch[c].to_pylist() for c in ("_key", "_url", "_payload", "_digest", "_refers")), strict=True):
                 bundle = bundle or BundleWriter(folder, level)
-                number = None if pd.isna(at) else at
-                bundle.add(number, warc_record(number, link, text.encode("utf-8", "surrogatepass"), digest, None if pd.isna(refers) else refers, date))
+                bundle.add(at, warc_record(at, link, text.encode(), digest, refers, date))
                 if len(bundle.frame) >= frame_bytes:
                     bundle.end_frame()
                     if bundle.written >= bundle_bytes:
-                        yield pd.DataFrame(bundle.close(), columns=names)
+                        yield index()
                         bundle = None
         if bundle:
-            yield pd.DataFrame(bundle.close(), columns=names)
+            yield index()
 
-    kind = dict(rows.dtypes)["_key"]
-    return materialize(rows.mapInPandas(write, INDEX.format(kind=kind)), "warc-index").withColumnRenamed("_key", key)
+    return materialize(rows.mapInArrow(write, INDEX.format(kind=kind)), "warc-index").withColumnRenamed("_key", key)
 
 
 def read_archives(index: DataFrame, key: str = "page_id", with_payload: bool = False) -> DataFrame:
@@ -148,22 +154,25 @@ def read_archives(index: DataFrame, key: str = "page_id", with_payload: bool = F
     """
     kind = dict(index.dtypes)[key]
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, bundle = "", None
-        for frame in frames:
-            rows = []
-            for wanted, number, at, length, name in zip(frame["bundle"], frame["frame"], frame["offset"], frame["length"], frame["record_id"], strict=True):
+        for batch in batches:
+            found = {"payload_bytes": [], "payload_digest": [], "record_type": [], "refers_to": [], "payload": []}
+            for wanted, number, at, length, name in zip(*(batch[c].to_pylist() for c in ("bundle", "frame", "offset", "length", "record_id")), strict=True):
                 if wanted != path:
                     path, bundle = wanted, BundleReader(wanted)
                 warc, http, payload = parse_record(bundle.frame(number)[at : at + length])
                 digest, revisit = warc["warc-payload-digest"].removeprefix("sha256:"), warc["warc-type"] == "revisit"
                 if warc["warc-record-id"] != name or not revisit and hashlib.sha256(payload).hexdigest() != digest:
                     raise ValueError(f"{name} isn't what the index says")
-                rows.append((int(http["content-length"]), digest, warc["warc-type"], warc.get("x-refers-to-key"), None if revisit else payload))
-            out = pd.DataFrame(rows, columns=["payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
-            yield out.assign(_key=frame["_key"].to_numpy(), record_id=frame["record_id"].to_numpy()).drop(columns=[] if with_payload else ["payload"])
+                row = (int(http["content-length"]), digest, warc["warc-type"], warc.get("x-refers-to-key"), None if revisit else payload)
+                for column, value in zip(found.values(), row, strict=True):
+                    column.append(value)
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary())
+            out = {"_key": batch["_key"], "record_id": batch["record_id"]} | {c: pa.array(v, t) for (c, v), t in zip(found.items(), kinds, strict=True) if with_payload or c != "payload"}
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     rows = index.withColumnRenamed(key, "_key").repartition("bundle").sortWithinPartitions("bundle", "frame", "offset")
     schema = f"_key {kind}, record_id string, payload_bytes long, payload_digest string, record_type string, refers_to string" + ", payload binary" * with_payload
-    out = rows.mapInPandas(read, schema)
+    out = rows.mapInArrow(read, schema)
     return out.select(F.col("_key").alias(key), "record_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), *["payload"] * with_payload)

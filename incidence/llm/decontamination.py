@@ -8,92 +8,119 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from incidence.llm.bytewords import PUNCTUATION, Block, blocks
+from incidence.llm.common import lists, materialize
 
 MATCH = "item_id long, start int, score double, overlap double, question_overlap double, answer_overlap double"
-#: Postings of a block, which share one bound.
-POSTINGS = 32
+#: Units (by number) of a block, which have one bound per word.
+BLOCK = 8
 #: Words in a row that count as shared text.
 GRAM = 5
 
 
+def item_units(texts: pa.Array, unit: int = 64) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, word hashes) of the units of items: runs of at most `unit` words, the last of which ends with the item."""
+    for block in blocks(texts, PUNCTUATION, lower=True):
+        for i, (s, e) in enumerate(pairwise(block.bounds)):
+            words = block.hashes[s:e]
+            for at in [*range(0, max(len(words) - unit, 0), unit), max(len(words) - unit, 0)] if len(words) else ():
+                yield block.first + i, words[at : at + unit]
+
+
 class ItemIndex:
-    """Test items as units of at most `unit` words, with BM25 impacts divided by the unit's score for its own words.
+    """Units of test items with BM25 impacts divided by the unit's score for its own words, in blocks by unit number.
 
-    A score of 1 thus means that a passage has all words of a unit, and one threshold serves units of any length. An
-    item of more words is several units, the last of which ends with the item. The last quarter of a unit's words is
-    taken as its answer and the rest as its question, since items come as one text.
+    A score of 1 thus means that a passage has all words of a unit, and one threshold serves units of any length. The
+    last quarter of a unit's words is taken as its answer and the rest as its question, since items come as one text.
+    Counts of units per word, the number of units and their mean length are those of all items, of which this index may
+    hold a part. Units of fewer than GRAM words are apart: they match only texts that say nothing else.
     """
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float, unit: int = 64, min_words: int = GRAM, k1: float = 1.2, b: float = 0.75):
+    def __init__(self, units: list[tuple[int, np.ndarray]], threshold: float, counts: dict[int, int], n: int, mean: float, unit: int = 64, k1: float = 1.2, b: float = 0.75):
         self.threshold, self.unit = threshold, unit
-        texts = pa.array([t or "" for _, t in items], pa.string())
-        owners, parts = [], []
-        for block in blocks(texts, PUNCTUATION, lower=True):
-            for i, (s, e) in enumerate(pairwise(block.bounds)):
-                words = block.hashes[s:e]
-                for at in [*range(0, max(len(words) - unit, 0), unit), max(len(words) - unit, 0)] if len(words) >= min_words else ():
-                    owners.append(items[block.first + i][0])
-                    parts.append(words[at : at + unit])
-        self.owners = owners
+        self.short: dict[tuple, list[int]] = {}
+        for owner, words in units:
+            if len(words) < GRAM:
+                self.short.setdefault(tuple(words.tolist()), []).append(owner)
+        units = [u for u in units if len(u[1]) >= GRAM]
+        self.owners = [owner for owner, _ in units]
+        parts = [words for _, words in units]
         self.vocabulary = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-        self.units = [np.searchsorted(self.vocabulary, p) for p in parts]
+        self.units = [np.searchsorted(self.vocabulary, p).astype(np.int32) for p in parts]
         self.near = np.zeros(1 << 16, bool)  # low bits of the vocabulary, to pass over other words fast
         self.near[(self.vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
-        self._score(k1, b)
+        df = np.array([counts[w] for w in self.vocabulary.tolist()], np.float64)
+        self._score(np.log1p((n - df + 0.5) / (df + 0.5)), mean, k1, b)
 
-    def _score(self, k1: float, b: float) -> None:
+    def _score(self, idf: np.ndarray, mean: float, k1: float, b: float) -> None:
         size, n = len(self.vocabulary), len(self.units)
-        held = [np.unique(u, return_counts=True) for u in self.units]
-        df = np.bincount(np.concatenate([t for t, _ in held]), minlength=size) if n else np.zeros(size)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        mean = sum(map(len, self.units)) / max(n, 1)
-        self.postings: list[tuple[list[int], list[float], list[float]]] = [([], [], []) for _ in range(size)]
-        for u, (terms, tf) in enumerate(held):
-            impact = idf[terms] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(self.units[u]) / mean))
-            for t, x in zip(terms.tolist(), (impact / impact.sum()).tolist(), strict=True):
-                self.postings[t][0].append(u)
-                self.postings[t][1].append(x)
-        for _, impacts, bounds in self.postings:
-            bounds += [max(impacts[i : i + POSTINGS]) for i in range(0, len(impacts), POSTINGS)]
-        self.bound = np.array([max(p[1]) for p in self.postings])
+        terms, owners, impacts = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0)]
+        for u, words in enumerate(self.units):
+            t, tf = np.unique(words, return_counts=True)
+            impact = idf[t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(words) / mean))
+            terms.append(t)
+            owners.append(np.full(len(t), u, np.int32))
+            impacts.append(impact / impact.sum())
+        terms, owners, impacts = np.concatenate(terms), np.concatenate(owners), np.concatenate(impacts)
+        order = np.argsort(terms, kind="stable")  # units ascend within a term
+        terms, self.flat_units, self.flat_impacts = terms[order], owners[order], impacts[order]
+        self.starts = np.searchsorted(terms, np.arange(size + 1))
+        self.bound = np.maximum.reduceat(self.flat_impacts, self.starts[:-1]) if size else np.zeros(0)
+        # A word's largest impact in each block that has it.
+        cell = terms.astype(np.int64) * (n // BLOCK + 1) + self.flat_units // BLOCK
+        heads = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
+        self.block_of, self.block_bound = self.flat_units[heads] // BLOCK, np.maximum.reduceat(self.flat_impacts, heads) if len(heads) else np.zeros(0)
+        self.block_starts = np.searchsorted(terms[heads], np.arange(size + 1))
         # Frequent words give a unit u at most spare[u] together, less than the threshold: the rest must come from others.
-        self.spare, frequent = np.zeros(n), np.zeros(size, bool)
-        for t in np.argsort(-df, kind="stable"):
-            units, impacts = self.postings[t][0], self.postings[t][1]
-            if (self.spare[units] + impacts).max() > self.threshold / 2:
+        spare, frequent = np.zeros(n), np.zeros(size, bool)
+        for t in np.argsort(-np.diff(self.starts), kind="stable"):
+            units, own = self.posting(t)
+            if (spare[units] + own).max() > self.threshold / 2:
                 break
-            self.spare[units] += impacts
+            spare[units] += own
             frequent[t] = True
         self.telling = ~frequent
-        self.starts = np.r_[0, np.cumsum([len(p[0]) for p in self.postings])].astype(np.int64)
-        self.flat_units = np.concatenate([np.array(p[0], np.int64) for p in self.postings]) if size else np.zeros(0, np.int64)
-        self.flat_impacts = np.concatenate([np.array(p[1]) for p in self.postings]) if size else np.zeros(0)
+        self.spare = np.maximum.reduceat(spare, np.arange(0, n, BLOCK)) if n else spare
 
-    def promising(self, passage: np.ndarray, term: np.ndarray) -> np.ndarray:
-        """Passages for which some unit can reach the threshold, from pairs (passage, telling term)."""
-        size, n = len(self.vocabulary), len(self.units)
+    def posting(self, term: int) -> tuple[np.ndarray, np.ndarray]:
+        """Units and impacts of a word."""
+        s = slice(self.starts[term], self.starts[term + 1])
+        return self.flat_units[s], self.flat_impacts[s]
+
+    def live_blocks(self, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, block), sorted: the blocks whose bounds for a passage's words reach the threshold, from pairs (passage, telling word).
+
+        The bounds are a word's largest impact in the block, and for all frequent words together the block's spare.
+        """
+        size, n = len(self.vocabulary), len(self.spare)
         pairs = np.unique(passage * size + term)
         passage, term = pairs // size, pairs % size
-        lengths = self.starts[term + 1] - self.starts[term]
-        at = np.repeat(self.starts[term] - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
-        cell = np.repeat(passage, lengths) * n + self.flat_units[at]
+        lengths = self.block_starts[term + 1] - self.block_starts[term]
+        at = np.repeat(self.block_starts[term] - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
+        cell = np.repeat(passage, lengths) * n + self.block_of[at]
         order = np.argsort(cell, kind="stable")
         cell, heads = np.unique(cell[order], return_index=True)
         if not len(cell):
-            return cell
-        gained = np.add.reduceat(self.flat_impacts[at][order], heads)
-        return np.unique(cell[gained >= self.threshold - self.spare[cell % n] - 1e-6] // n)
+            return cell, cell
+        cell = cell[np.add.reduceat(self.block_bound[at][order], heads) >= self.threshold - self.spare[cell % n] - 1e-6]
+        return cell // n, cell % n
 
-    def search(self, terms: list[int]) -> list[tuple[int, float]]:
-        """All (unit, score) with a score of the threshold at least, by block-max WAND."""
+    def search(self, terms: list[int], live: list[int]) -> list[tuple[int, float]]:
+        """All (unit, score) with a score of the threshold at least, by block-max WAND; `live` are the blocks that can have some."""
         least, found = self.threshold - 1e-9, []
-        cursors = [[self.postings[t][0][0], 0, t] for t in terms]  # unit, place, term
+        cursors = []  # unit, place, word, units, impacts
+        for t in terms:
+            units, impacts = self.posting(t)
+            cursors.append([0, 0, t, units, impacts])
+        cursors = self._move(cursors, len(cursors) - 1, live[0] * BLOCK) if live else []
+        for c in cursors:
+            c[0] = int(c[3][c[1]])
         while cursors:
-            cursors.sort()
+            cursors.sort(key=lambda c: c[0])
             total, pivot = 0.0, -1
             for i, c in enumerate(cursors):
                 total += self.bound[c[2]]
@@ -105,18 +132,13 @@ class ItemIndex:
             unit = cursors[pivot][0]
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == unit:
                 pivot += 1
-            local, ends = 0.0, []
-            for c in cursors[: pivot + 1]:
-                units, _, bounds = self.postings[c[2]]
-                block = bisect_left(units, unit, c[1]) // POSTINGS
-                if block < len(bounds):
-                    local += bounds[block]
-                    ends.append(units[min((block + 1) * POSTINGS, len(units)) - 1] + 1)
-            if local < least:  # no unit up to the end of these blocks will do
-                after = [cursors[pivot + 1][0]] if pivot + 1 < len(cursors) else []
-                cursors = self._move(cursors, pivot, max(unit + 1, min(ends + after)))
+            place = bisect_left(live, unit // BLOCK)
+            if place == len(live):
+                break
+            if live[place] != unit // BLOCK:  # no unit will do before the next live block
+                cursors = self._move(cursors, pivot, live[place] * BLOCK)
             elif cursors[0][0] == unit:
-                score = sum(self.postings[c[2]][1][c[1]] for c in cursors[: pivot + 1])
+                score = float(sum(c[4][c[1]] for c in cursors[: pivot + 1]))
                 if score >= least:
                     found.append((unit, score))
                 cursors = self._move(cursors, pivot, unit + 1)
@@ -128,12 +150,11 @@ class ItemIndex:
         """The first cursors moved to `unit` or beyond; those at their end go."""
         out = cursors[pivot + 1 :]
         for c in cursors[: pivot + 1]:
-            units = self.postings[c[2]][0]
             if c[0] < unit:
-                c[1] = bisect_left(units, unit, c[1])
-                if c[1] == len(units):
+                c[1] = int(np.searchsorted(c[3], unit))
+                if c[1] == len(c[3]):
                     continue
-                c[0] = units[c[1]]
+                c[0] = int(c[3][c[1]])
             out.append(c)
         return out
 
@@ -163,26 +184,39 @@ def _passages(bounds: np.ndarray, unit: int) -> tuple[np.ndarray, np.ndarray, np
 
 def find_matches(index: ItemIndex, block: Block, min_overlap: float, min_part: float) -> Iterator[tuple[int, dict]]:
     """(text, {item: match}) of a block's texts that overlap an item."""
-    if not len(index.vocabulary) or not len(block.hashes):
-        return
+    found: dict[int, dict] = {}
+    if index.short:
+        for t in np.flatnonzero((np.diff(block.bounds) > 0) & (np.diff(block.bounds) < GRAM)):
+            words = tuple(block.hashes[block.bounds[t] : block.bounds[t + 1]].tolist())
+            for item in index.short.get(words, ()):
+                found.setdefault(int(t), {})[item] = {"item_id": item, "start": 0, "score": 1.0, "overlap": 1.0, "question_overlap": 1.0, "answer_overlap": 1.0}
+    if len(index.vocabulary) and len(block.hashes):
+        _search(index, block, min_overlap, min_part, found)
+    for t, items in sorted(found.items()):
+        yield block.first + t, items
+
+
+def _search(index: ItemIndex, block: Block, min_overlap: float, min_part: float, found: dict[int, dict]) -> None:
+    """Adds to `found` the matches of all passages of a block's texts."""
     ids = np.full(len(block.hashes), -1)
     maybe = np.flatnonzero(index.near[(block.hashes & np.uint64(0xFFFF)).astype(np.int64)])
     at = np.minimum(np.searchsorted(index.vocabulary, block.hashes[maybe]), len(index.vocabulary) - 1)
     hit = index.vocabulary[at] == block.hashes[maybe]
     ids[maybe[hit]] = at[hit]
     text, start, end = _passages(block.bounds, index.unit)
-    found: dict[int, dict] = {}
     telling = np.flatnonzero((ids >= 0) & index.telling[ids])
     last = np.searchsorted(start, telling, side="right") - 1  # a word lies in the last passage that starts before it, and maybe in the one before
     earlier = np.maximum(last - 1, 0)
     twice = (last > 0) & (telling < end[earlier])
-    for p in index.promising(np.r_[last, earlier[twice]], np.r_[ids[telling], ids[telling[twice]]]):
+    passages, live = index.live_blocks(np.r_[last, earlier[twice]], np.r_[ids[telling], ids[telling[twice]]])
+    heads = np.flatnonzero(np.r_[True, passages[1:] != passages[:-1]]) if len(passages) else passages
+    for p, own_live in zip(passages[heads], np.split(live, heads[1:]), strict=True) if len(heads) else ():
         own = ids[start[p] : end[p]]
         terms = np.unique(own[own >= 0])
         runs = None
-        for unit, score in index.search(terms.tolist()):
-            runs = {n: set(zip(*(own[i:].tolist() for i in range(n)), strict=False)) for n in {min(GRAM, len(u)) for u in index.units}} if runs is None else runs
-            whole, question, answer = index.overlaps(unit, runs[min(GRAM, len(index.units[unit]))], _grams)
+        for unit, score in index.search(terms.tolist(), own_live.tolist()):
+            runs = set(_grams(own.tolist())) if runs is None else runs
+            whole, question, answer = index.overlaps(unit, runs, _grams)
             if whole < min_overlap or min(question, answer) < min_part:
                 continue
             t, item = int(text[p]), index.owners[unit]
@@ -190,36 +224,52 @@ def find_matches(index: ItemIndex, block: Block, min_overlap: float, min_part: f
             best = found.setdefault(t, {}).get(item)
             if best is None or (match["overlap"], match["score"]) > (best["overlap"], best["score"]):
                 found[t][item] = match
-    for t, items in sorted(found.items()):
-        yield block.first + t, items
 
 
-def _indexes(items: DataFrame, item_key: str, item_text: str, threshold: float, max_bytes: int) -> list:
-    """Broadcast indexes of the items: one, or, beyond `max_bytes` of text, one per hash part of about that size."""
+def _indexes(items: DataFrame, item_key: str, item_text: str, threshold: float, max_bytes: int) -> Iterator:
+    """Broadcast indexes of the items, one at a time: of all units, or, beyond `max_bytes` of words, of parts of that size.
+
+    Word counts, the number of units and their mean length come from one aggregate over all items, whatever the parts.
+    """
+
+    def units_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list(item_units(batch["text"]))
+            rows = pa.array([row for row, _ in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["id"].take(rows), lists([w.view(np.int64) for _, w in found], pa.int64())], ["id", "words"])
+
     rows = items.select(items[item_key].cast("long").alias("id"), F.coalesce(items[item_text], F.lit("")).alias("text")).where("id is not null")
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(1, -(-total // max_bytes))
-    context = items.sparkSession.sparkContext
-    out = []
+    units = materialize(rows.mapInArrow(units_of, "id long, words array<long>").distinct(), "item-units")
+    whole = units.where(F.size("words") >= GRAM)
+    n, mean, words = whole.agg(F.count(F.lit(1)), F.avg(F.size("words")), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
+    counts = materialize(whole.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").count(), "item-words")
+    parts = max(1, -(-8 * words // max_bytes))
     for k in range(parts):
-        part = rows.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k).orderBy("id", "text").collect()
-        out.append(context.broadcast(ItemIndex([(r["id"], r["text"]) for r in part], threshold)))
-    return out
+        part = units.where(F.pmod(F.xxhash64("id", "words"), F.lit(parts)) == k)
+        own = counts.join(part.select(F.explode("words").alias("word")).distinct(), "word", "left_semi").toArrow()
+        held = dict(zip(own["word"].to_numpy().view(np.uint64).tolist(), own["count"].to_pylist(), strict=True))
+        table = part.orderBy("id", "words").toArrow()
+        sizes = np.r_[0, np.cumsum(pc.list_value_length(table["words"]).to_numpy())].astype(np.int64)
+        flat = table["words"].combine_chunks().flatten().to_numpy().view(np.uint64) if table.num_rows else np.zeros(0, np.uint64)
+        index = ItemIndex([(i, flat[a:b]) for i, (a, b) in zip(table["id"].to_pylist(), pairwise(sizes), strict=True)], threshold, held, n, mean or 1.0)
+        yield parts, items.sparkSession.sparkContext.broadcast(index)
 
 
 def contamination(
-    df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = 0.5, min_overlap: float = 0.8, min_part: float = 0.5, max_bytes: int = 16 << 20
+    df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = 0.5, min_overlap: float = 0.8, min_part: float = 0.5, max_bytes: int = 64 << 20
 ) -> DataFrame:
     """key and the fields of MATCH: one row per row of `df` and test item that it holds; clean rows have none.
 
     Words are runs of letters and digits, A-Z lower-cased. Every passage of every whole text is looked up: all units
     whose BM25 score is `threshold` of their own at least are checked for runs of five words, of which the passage must
     have `min_overlap` of all and `min_part` of those of the question and of the answer. Items of fewer than five words
-    and null items are not looked for. Null texts hold nothing. An index has at most about `max_bytes` of item texts.
+    are found only where a text consists of nothing else, as such runs are in many clean texts. Null and empty items
+    are not looked for. Null texts hold nothing. An index has at most about `max_bytes` of word hashes; more items are
+    searched for in several such blocks, one after the other, with the same scores.
     """
     rows = df.select(df[key].alias("_key"), F.coalesce(df[text], F.lit("")).alias("_text"))
     found = None
-    for index in _indexes(items, item_key, item_text, threshold, max_bytes):
+    for parts, index in _indexes(items, item_key, item_text, threshold, max_bytes):
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -233,15 +283,21 @@ def contamination(
                 yield pa.RecordBatch.from_arrays([keys, *(pa.array([m[f] for m in out], kind) for f, kind in fields.items())], ["_key", *fields])
 
         part = rows.mapInArrow(search, f"_key {dict(rows.dtypes)['_key']}, {MATCH}")
+        if parts > 1:
+            part = materialize(part, "item-matches")
+            index.unpersist()
         found = part if found is None else found.unionByName(part)
+    if parts > 1:  # units of one item may lie in different parts
+        best = F.max_by(F.struct(*[f for f in found.columns if f != "_key"]), F.struct("overlap", "score"))
+        found = found.withColumn("_item", F.col("item_id")).groupBy("_key", "_item").agg(best.alias("_best")).select("_key", "_best.*")
     return found.withColumnRenamed("_key", key)
 
 
 def without_contaminated(
-    df: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = 0.5, min_overlap: float = 0.8, min_part: float = 0.5, max_bytes: int = 16 << 20
+    df: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = 0.5, min_overlap: float = 0.8, min_part: float = 0.5, max_bytes: int = 64 << 20
 ) -> DataFrame:
     """The rows of `df`, all columns, that hold no test item, as `contamination` finds them; without any shuffle."""
-    for index in _indexes(items, item_key, item_text, threshold, max_bytes):
+    for parts, index in _indexes(items, item_key, item_text, threshold, max_bytes):
 
         def clean(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -252,4 +308,7 @@ def without_contaminated(
                 yield batch.filter(pa.array(keep))
 
         df = df.mapInArrow(clean, df.schema)
+        if parts > 1:
+            df = materialize(df, "clean")
+            index.unpersist()
     return df

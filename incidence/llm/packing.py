@@ -17,42 +17,58 @@ from pyspark.sql import functions as F
 from incidence.llm.common import lists, materialize
 
 
+_LATIN, _MARKS = "A-Za-zÀ-ÖØ-öø-ɏ", r"!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~"
+
+
 class Vocabulary:
     """Token ids of texts by the `tokenizers` library, each text as bytes of little-endian unsigned 32-bit ids.
 
-    Texts are cut before every space that follows a character which is no white space: byte-level vocabularies never
-    join across such a place, so the ids of the parts are those of the text. A part's ids are asked of the library
-    once and kept, for parts of at most LONGEST characters and KEPT parts at a time.
+    Texts are cut where byte-level vocabularies never join: around runs of Latin letters, of digits and of marks, around
+    single newlines, and else before a space that follows a character which is no white space. So the ids of the parts
+    are those of the text. A part's ids are asked of the library and kept; the KEPT parts used last, each of at most
+    LONGEST characters, are known, in two generations.
     """
 
     LONGEST, KEPT = 64, 1 << 19
-    # U+180E is white space to some versions of Unicode.
-    _CUT, _RARE = re.compile(r"(?<=[^\s\u180e])(?= )"), re.compile(r"[\s\u180e] |\0")
+    # A mark followed by a letter starts no contraction, as apostrophes are not among the marks; U+180E is white space
+    # to some versions of Unicode.
+    _PARTS = re.compile(
+        rf" ?[{_LATIN}]+(?=[ \n{_MARKS}]|\Z)| ?[{_MARKS}]+(?=[{_LATIN} \n0-9]|\Z)| ?[0-9]+(?=[{_LATIN} \n{_MARKS}]|\Z)|\n(?=[^\s᠎])|.+?(?=(?<=[^\s᠎]) |\Z)", re.S
+    )
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         if getattr(self.library.pre_tokenizer, "add_prefix_space", True) or self.library.normalizer is not None:
-            raise ValueError("texts can be cut at spaces for byte-level vocabularies without prefix space and normalizer only")
-        self.known: dict[str, bytes] = {}
+            raise ValueError("texts can be cut for byte-level vocabularies without prefix space and normalizer only")
+        names = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        self.special = re.compile(f"({'|'.join(names)})") if names else None
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _parts(self, text: str) -> list[str]:
-        return self._CUT.split(text) if text[:1] == " " or self._RARE.search(text) else text.replace(" ", "\0 ").split("\0")
+        if not self.special or not self.special.search(text):
+            return self._PARTS.findall(text)
+        pieces = self.special.split(text)  # the library looks for these strings first
+        return [p for i, x in enumerate(pieces) for p in ([x] if i % 2 else self._PARTS.findall(x))]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         cut = [self._parts(t) for t in texts]
-        parts = set(chain.from_iterable(cut))
-        asked = list(parts.difference(self.known))
-        if len(self.known) + len(asked) > self.KEPT:
-            self.known.clear()
-            asked = list(parts)
+        asked = []
+        for p in set(chain.from_iterable(cut)).difference(self.young):
+            if (known := self.old.get(p)) is None:
+                asked.append(p)
+            else:
+                self.young[p] = known
         found = self.library.encode_batch_fast(asked, add_special_tokens=False)
-        self.known.update((p, array("I", e.ids).tobytes()) for p, e in zip(asked, found, strict=True))
-        out = [b"".join(map(self.known.__getitem__, parts)) for parts in cut]
+        self.young.update((p, array("I", e.ids).tobytes()) for p, e in zip(asked, found, strict=True))
+        out = [b"".join(map(self.young.__getitem__, parts)) for parts in cut]
         for p in asked:
             if len(p) > self.LONGEST:
-                del self.known[p]
+                del self.young[p]
+        if len(self.young) > self.KEPT // 2:
+            self.old, self.young = self.young, {}
         return out
 
 

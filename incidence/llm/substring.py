@@ -1,15 +1,16 @@
 """Substring dedup by seed and extend over word sequences.
 
 Seeds are winnowed anchors: of every `window` words the k-gram with the smallest hash, so that equal windows have equal
-anchors. Documents meet on anchors that more than one of them has. Each shared anchor is extended both ways to all
-windows that hold it; a window that also starts in a document with a smaller key is a repeat, and overlapping repeats
-merge into maximal spans.
+anchors. Documents meet on anchors that more than one of them has. Each place of a shared anchor is extended both ways,
+word by word, along a place of the same anchor in a document with a smaller key; matches of at least `window` words are
+repeats, and overlapping repeats merge into maximal spans.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import pairwise
 from typing import NamedTuple
 
@@ -82,6 +83,143 @@ class Seeder:
         return prefix, at, grams[at].view(np.int64)
 
 
+#: Places of an anchor that one task extends; more are first extended along their smallest one, in parts.
+CHUNK = 4096
+#: Parts that the places of such an anchor are dealt to.
+PARTS = 64
+#: Contexts that are compared at a time.
+ROWS = 1 << 14
+_OCCURRENCE = "seed long, _key long, _id binary, place int, context binary"
+
+
+def _equal_words(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each row the number of equal words at the start; 0 is no word."""
+    differ = (a != b) | (a == 0)
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
+
+
+def _grown(left: np.ndarray, right: np.ndarray, row: np.ndarray, along: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words by which the places `row` can be extended to the left and to the right along the places `along`."""
+    parts = [slice(i, i + ROWS) for i in range(0, len(row), ROWS)]
+    return tuple(np.concatenate([_equal_words(side[row[p]], side[along[p]]) for p in parts] or [np.zeros(0, np.int64)]) for side in (left, right))
+
+
+def _branches(group: np.ndarray, left: np.ndarray, right: np.ndarray, l: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:  # noqa: E741
+    """(position, group): the groups in which places may grow beyond l and r along others of their group.
+
+    Two places that grow along the smallest one by different numbers of words on a side are equal there for the lesser
+    number only, which the smallest one has told already. So only places with the same number and the same next word
+    on that side must meet again.
+    """
+    at, groups = [], []
+    for side, (words, n) in enumerate(((left, l), (right, r))):
+        open_ = np.flatnonzero(n < words.shape[1])
+        following = words[open_, n[open_]]
+        open_, following = open_[following != 0], following[following != 0]
+        at.append(open_)
+        groups.append(splitmix(splitmix(group[open_] ^ following) + (2 * n[open_] + side + 1).astype(np.uint64)))
+    return np.concatenate(at), np.concatenate(groups)
+
+
+def extend(group: np.ndarray, key: np.ndarray, left: np.ndarray, right: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, l, r): the repeats of `window` words at least that places make with smaller keys, l words before and r after their anchor.
+
+    Rows are sorted by group and key. A group's places are extended along its first one, and where some of them may
+    agree with each other beyond that, in branches of the group, until nothing is left to compare.
+    """
+    found = []
+    row = np.arange(len(group))
+    while len(row):
+        fresh = np.r_[True, group[1:] != group[:-1]]
+        head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+        first, last = key[row[head]], np.maximum.reduceat(key[row], np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
+        useful = (first < last) & (np.arange(len(row)) != head)
+        row, group, along = row[useful], group[useful], row[head][useful]
+        l, r = _grown(left, right, row, along)  # noqa: E741
+        hit = (key[row] > key[along]) & (l + gram + r >= window)
+        found.append((row[hit], l[hit], r[hit]))
+        at, branch = _branches(group, left[row], right[row], l, r)
+        order = np.lexsort((row[at], branch))
+        row, group = row[at][order], branch[order]
+    return tuple(np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in range(3))
+
+
+def _contexts(column: pa.Array, before: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words before an anchor (nearest first) and after it, from the bytes of a context."""
+    words = np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(len(column), -1) if len(column) else np.zeros((0, 2 * before), np.uint64)
+    return words[:, :before], words[:, before:]
+
+
+def _spans(table: pa.Table | pa.RecordBatch, row: np.ndarray, l: np.ndarray, r: np.ndarray, gram: int) -> pa.RecordBatch:  # noqa: E741
+    place = table["place"].to_numpy()[row]
+    at = pa.array(row)
+    columns = [table["_key"].take(at), table["_id"].take(at), pa.array((place - l).astype(np.int32)), pa.array((place + gram + r).astype(np.int32))]
+    return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], ["_key", "_id", "from", "to"])
+
+
+def _extended(gram: int, window: int):
+    """Batches sorted by seed and key -> the repeats of their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+            seed = table["seed"].to_numpy()
+            cuts = np.flatnonzero(seed[1:] != seed[:-1])
+            at = int(cuts[-1]) + 1 if len(cuts) else 0
+            rest = table.slice(at)
+            if at:
+                yield one(table.slice(0, at))
+        if rest is not None and rest.num_rows:
+            yield one(rest)
+
+    def one(table: pa.Table) -> pa.RecordBatch:
+        left, right = _contexts(table["context"], window - gram)
+        return _spans(table, *extend(table["seed"].to_numpy().view(np.uint64), table["_key"].to_numpy(), left, right, gram, window), gram)
+
+    return run
+
+
+def _split_hot(rows: DataFrame, gram: int, window: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(places, repeats): places of anchors that have too many of them, told apart into branches of at most CHUNK.
+
+    All places of an anchor are extended along its smallest one, which is dealt to the parts of its group. Places that
+    agree with it over their whole context are done then.
+    """
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = _contexts(batch["context"], window - gram)
+            along = _contexts(batch["first"].field("context"), window - gram)
+            l, r = _equal_words(left, along[0]), _equal_words(right, along[1])  # noqa: E741
+            hit = (batch["_key"].to_numpy() > batch["first"].field("_key").to_numpy()) & (l + gram + r >= window)
+            at, branch = _branches(batch["seed"].to_numpy().view(np.uint64), left, right, l, r)
+            order = np.argsort(at, kind="stable")
+            counts = np.bincount(at, minlength=batch.num_rows)
+            branches = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(branch[order].view(np.int64)))
+            place = batch["place"].to_numpy()
+            start, end = pa.array((place - l).astype(np.int32), mask=~hit), pa.array((place + gram + r).astype(np.int32), mask=~hit)
+            names = ["_key", "_id", "place", "context", "from", "to", "branches"]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names[:4]), start, end, branches], names)
+
+    cool, found = [], []
+    while True:
+        first = rows.groupBy("seed").agg(F.min(F.struct("_key", "_id", "place", "context")).alias("first"))
+        first = materialize(first, "first-places").select("seed", "first", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part"))
+        dealt = rows.withColumn("_part", F.pmod(F.xxhash64("_id", "place"), F.lit(PARTS)).cast("int")).join(first, ["seed", "_part"])
+        dealt = dealt.where((F.col("first._key") != F.col("_key")) | (F.col("first._id") != F.col("_id")) | (F.col("first.place") != F.col("place")))
+        out = materialize(dealt.select("seed", "_key", "_id", "place", "context", "first").mapInArrow(step, "_key long, _id binary, place int, context binary, from int, to int, branches array<long>"), "branches")
+        found.append(out.where("from is not null").select("_key", "_id", "from", "to"))
+        again = out.select(F.explode("branches").alias("seed"), "_key", "_id", "place", "context")
+        sizes = again.groupBy("seed").agg(F.count(F.lit(1)).alias("_n"), F.min("_key").alias("_a"), F.max("_key").alias("_b")).where("_n > 1 and _a < _b")
+        sizes = materialize(sizes.select("seed", "_n"), "branch-sizes")
+        cool.append(again.join(sizes.where(F.col("_n") <= CHUNK).select("seed"), "seed"))
+        if sizes.where(F.col("_n") > CHUNK).isEmpty():
+            break
+        rows = materialize(again.join(sizes.where(F.col("_n") > CHUNK).select("seed"), "seed"), "places")
+    return reduce(DataFrame.unionByName, cool), found
+
+
 def documents(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
     """(row, word hashes) of a batch's texts."""
     for block in blocks(batch["_text"]):
@@ -110,67 +248,99 @@ def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window:
 
     Keys are long; a document with a null key neither loses words nor takes them from others. Rows with the same key
     are one document as to what is smaller. Of equal texts those with larger keys are wholly repeated (if they have a
-    window at all) without being compared; their text is null in spans. Null texts have no words. Texts move once, and
-    those of documents with shared anchors once more. Hot anchors and windows are pre-aggregated and their rows joined
-    with the few that are shared, in joins that Spark can split.
+    window at all) without being compared; their text is null in spans. Null texts have no words. Anchors and what is
+    around them are compared by 64-bit hashes of every single word, the anchor itself by two of the run. Places of an
+    anchor are gathered in groups of at most CHUNK; of anchors that have more, the places are first told apart along
+    the smallest one.
     """
     docs = df.select(df[key].cast("long").alias("_key"), F.coalesce(df[text], F.lit("")).alias("_text"), text_id(df[text]).alias("_id"))
+    around = window - gram
 
     def seeds_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeder = Seeder(window, gram)
         for batch in batches:
-            sizes, found = [], []
+            sizes, found, counts = [], [], []
             for _, words in documents(batch):
+                seeds, n = np.unique(seeder.seeds(words)[2], return_counts=True)
                 sizes.append(len(words))
-                found.append(np.unique(seeder.seeds(words)[2]))
+                found.append(seeds)
+                counts.append(n)
             digests = [hashlib.sha256(b" ".join(t.split())).hexdigest() for t in batch["_text"].cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["_key"], batch["_id"], pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), lists(found, pa.int64())], ["_key", "_id", "n_words", "words_sha256", "seeds"])
+            columns = [batch["_key"], batch["_id"], pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), lists(found, pa.int64()), lists(counts, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["_key", "_id", "n_words", "words_sha256", "seeds", "counts"])
 
-    def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def places_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeder = Seeder(window, gram)
+        offsets = np.r_[np.arange(-1, -around - 1, -1), np.arange(gram, window)] + around
+        edge = np.zeros(window, np.uint64)
         for batch in batches:
-            places, ones, twos = [], [], []
             known = batch["shared"]
+            rows, seeds, places, contexts, held = [], [], [], [], 0
             for row, words in documents(batch):
-                prefix, at, hashes = seeder.seeds(words)
-                starts = at[np.isin(hashes, known[row].values.to_numpy())]
-                marks = np.zeros(len(words) + 2, np.int32)  # windows that hold a shared anchor
-                np.add.at(marks, np.maximum(starts - (window - gram), 0), 1)
-                np.add.at(marks, np.minimum(starts, len(words) - window) + 1, -1)
-                held = np.flatnonzero(np.cumsum(marks) > 0)
-                places.append(held)
-                ones.append(seeder.one.runs(prefix, window)[held].view(np.int64))
-                twos.append((seeder.two.runs(seeder.two.prefix(words), window)[held] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-            columns = [batch["_key"], batch["_id"], batch["_text"], lists(places, pa.int32()), lists(ones, pa.int64()), lists(twos, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["_key", "_id", "_text", "places", "one", "two"])
-
-    seeds = materialize(docs.mapInArrow(seeds_of, "_key long, _id binary, n_words long, words_sha256 string, seeds array<long>"), "anchors")
+                _, at, hashes = seeder.seeds(words)
+                own = np.isin(hashes, known[row].values.to_numpy())
+                at, hashes = at[own], hashes[own]
+                second = seeder.two.runs(seeder.two.prefix(words), gram)[at]
+                padded = np.r_[edge[:around], words, edge]
+                for i in range(0, len(at), ROWS):
+                    part = slice(i, i + ROWS)
+                    rows.append(np.full(len(at[part]), row))
+                    seeds.append(splitmix(hashes[part].view(np.uint64) + second[part]).view(np.int64))
+                    places.append(at[part])
+                    contexts.append(padded[at[part][:, None] + offsets])
+                    held += len(at[part])
+                    if held >= ROWS:
+                        yield places_batch(batch, rows, seeds, places, contexts)
+                        rows, seeds, places, contexts, held = [], [], [], [], 0
+            if held:
+                yield places_batch(batch, rows, seeds, places, contexts)
+
+    def places_batch(batch: pa.RecordBatch, rows: list, seeds: list, places: list, contexts: list) -> pa.RecordBatch:
+        at, blob = pa.array(np.concatenate(rows)), np.concatenate(contexts).astype("<u8")
+        cuts = np.arange(len(blob) + 1, dtype=np.int32) * (16 * around)
+        column = pa.Array.from_buffers(pa.binary(), len(blob), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(blob))])
+        columns = [pa.array(np.concatenate(seeds)), batch["_key"].take(at), batch["_id"].take(at), pa.array(np.concatenate(places).astype(np.int32)), column]
+        return pa.RecordBatch.from_arrays(columns, ["seed", "_key", "_id", "place", "context"])
+
+    seeds = materialize(docs.mapInArrow(seeds_of, "_key long, _id binary, n_words long, words_sha256 string, seeds array<long>, counts array<int>"), "anchors")
     whole = seeds.where(F.col("_key").isNotNull() & (F.col("n_words") >= window))
     first = materialize(whole.groupBy("_id").agg(F.min("_key").alias("_first"), F.max("_key").alias("_last")).where("_first < _last").select("_id", "_first"), "copies")
-    copied = whole.select("_key", "_id", "n_words", "seeds").join(first, "_id", "left").withColumn("_copy", F.coalesce(F.col("_key") > F.col("_first"), F.lit(False)))
-    alone = copied.where("not _copy").select("_key", "_id", F.explode("seeds").alias("seed"))
-    shared = materialize(alone.groupBy("seed").agg(F.min("_key").alias("a"), F.max("_key").alias("b")).where("a < b").select("seed"), "shared-anchors")
-    known = alone.join(shared, "seed").groupBy("_key", "_id").agg(F.collect_set("seed").alias("shared"))
-    windows = docs.join(known, ["_key", "_id"]).mapInArrow(windows_of, "_key long, _id binary, _text string, places array<int>, one array<long>, two array<int>")
-    windows = materialize(windows, "windows")
-
-    each = windows.select("_key", "_id", F.inline(F.arrays_zip("places", "one", "two")))
-    owner = each.groupBy("one", "two").agg(F.min("_key").alias("_first"), F.max("_key").alias("_last")).where("_first < _last").select("one", "two", "_first")
-    owner = materialize(owner, "owners")
-    repeats = each.join(owner, ["one", "two"]).where("_key > _first").groupBy("_key", "_id").agg(F.sort_array(F.collect_set("places")).alias("places"))
-    spans = windows.select("_key", "_id", "_text").join(repeats, ["_key", "_id"]).dropDuplicates(["_key", "_id"])
-    spans = spans.select("_key", "_id", "_text", merged_spans(F.col("places"), window).alias("spans"))
+    copied = whole.select("_key", "_id", "n_words", "seeds", "counts").join(first, "_id", "left").withColumn("_copy", F.coalesce(F.col("_key") > F.col("_first"), F.lit(False)))
+    alone = copied.where("not _copy").select("_key", "_id", F.inline(F.arrays_zip("seeds", "counts"))).withColumnRenamed("seeds", "seed")
+    shared = alone.groupBy("seed").agg(F.min("_key").alias("a"), F.max("_key").alias("b"), F.sum("counts").alias("n")).where("a < b").select("seed", (F.col("n") > CHUNK).alias("hot"))
+    shared = materialize(shared, "shared-anchors")
+
+    def places(anchors: DataFrame) -> DataFrame:
+        known = alone.join(anchors.select("seed"), "seed").groupBy("_key", "_id").agg(F.collect_set("seed").alias("shared"))
+        return docs.join(known, ["_key", "_id"]).mapInArrow(places_of, _OCCURRENCE)
+
+    hot = shared.where("hot")
+    rows, found = places(shared.where("not hot")), []
+    if not hot.isEmpty():
+        cool, found = _split_hot(materialize(places(hot), "places"), gram, window)
+        rows = rows.unionByName(cool)
+    rows = rows.repartition("seed").sortWithinPartitions("seed", "_key")
+    found.append(rows.mapInArrow(_extended(gram, window), "_key long, _id binary, from int, to int"))
+    merged = reduce(DataFrame.unionByName, found).groupBy("_key", "_id").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("parts"))
+    merged = merged.select("_key", "_id", merged_spans(F.col("parts")).alias("spans"))
+    texts = docs.select("_key", "_id", F.col("_text").alias("text")).join(merged, ["_key", "_id"]).dropDuplicates(["_key", "_id"])
     gone = copied.where("_copy").dropDuplicates(["_key", "_id"])
-    gone = gone.select("_key", "_id", F.lit(None).cast("string").alias("_text"), F.array(F.struct(F.lit(0).alias("from"), F.col("n_words").cast("int").alias("to"))).alias("spans"))
-    spans = spans.unionByName(gone).select(F.col("_key").alias(key), "_id", F.col("_text").alias("text"), "spans")
+    gone = gone.select("_key", "_id", F.lit(None).cast("string").alias("text"), F.array(F.struct(F.lit(0).alias("from"), F.col("n_words").cast("int").alias("to"))).alias("spans"))
+    spans = texts.unionByName(gone).select(F.col("_key").alias(key), "_id", "text", "spans")
     return Repeats(spans, seeds.select(F.col("_key").alias(key), "_id", "n_words", "words_sha256"))
 
 
-def merged_spans(places: Column, window: int) -> Column:
-    """Sorted window starts -> array of maximal struct(from, to)."""
-    heads = F.filter(places, lambda p, i: (i == 0) | (p > F.get(places, i - 1) + window))
-    tails = F.filter(places, lambda p, i: (i == F.size(places) - 1) | (F.get(places, i + 1) > p + window))
-    return F.zip_with(heads, tails, lambda a, b: F.struct(a.alias("from"), (b + window).alias("to")))
+def merged_spans(parts: Column) -> Column:
+    """Sorted struct(from, to) -> array of the maximal ones that they make together."""
+    span = lambda a, b: F.struct(a.alias("from"), b.alias("to"))
+    state = lambda done, a, b: F.struct(done.alias("done"), a.alias("from"), b.alias("to"))
+    first = parts[0]
+    return F.aggregate(
+        parts,
+        state(F.array().cast("array<struct<from:int,to:int>>"), first["from"], first["to"]),
+        lambda s, p: F.when(p["from"] <= s["to"], state(s["done"], s["from"], F.greatest(s["to"], p["to"]))).otherwise(state(F.array_append(s["done"], span(s["from"], s["to"])), p["from"], p["to"])),
+        lambda s: F.array_append(s["done"], span(s["from"], s["to"])),
+    )
 
 
 def removed_words(spans: Column) -> Column:

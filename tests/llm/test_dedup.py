@@ -50,9 +50,11 @@ def cut_by_hand(rows, window):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_substrings(spark, seed):
-    rows = corpus(seed, vocabulary=6 if seed == 3 else 40)
+@pytest.mark.parametrize("seed, chunk, vocabulary", [(1, 4096, 40), (2, 2, 40), (3, 4096, 6), (4, 3, 3), (5, 8, 2)])
+def test_substrings(spark, monkeypatch, seed, chunk, vocabulary):
+    monkeypatch.setattr(substring, "CHUNK", chunk)
+    monkeypatch.setattr(substring, "ROWS", 7)
+    rows = corpus(seed, vocabulary=vocabulary)
     df = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA + ", spans string")
     found = substring.find_repeats(df, window=8, gram=3)
     kept = F.sha2(substring.without_spans(F.col("text"), F.col("spans")), 256)

@@ -5,9 +5,11 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import zstandard
@@ -89,14 +91,24 @@ def test_archives(spark):
     assert warc.read_archives(warc.write_archives(df.limit(0))).count() == 0
 
 
+def test_archive_keys_beside_null(spark):
+    body = "x" * 200
+    rows = [(None, "u", "y"), (2**60 + 3, "u", body), (2**60 + 1, "u", body), (5, "u", "z"), (None, "u", body)]
+    index = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+    assert {(r["page_id"], r["record_id"]) for r in index.collect()} == {(k, warc.record_id(k)) for k, _, _ in rows}
+    out = sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read_archives(index).collect()), key=str)
+    first = 2**60 + 1
+    assert out == sorted([(None, "response", None), (first + 2, "revisit", first), (first, "response", None), (5, "response", None), (None, "revisit", first)], key=str)
+
+
 def test_cut_texts_have_the_ids_of_whole_ones(monkeypatch):
     path = public_tokenizers.path("byte_bpe_50k.json")
     bpe, ours = Tokenizer.from_file(path), packing.Vocabulary(path)
     monkeypatch.setattr(packing.Vocabulary, "KEPT", 500)
     r = np.random.default_rng(0)
-    odd = ["", "<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|> <|endoftext|>b", "  \n\t x", " a  b ", "it's IT'S 's", "a" * 3000, "\x00\x85", "\u180e a\u180e  b", "a\u200b b\x1c c\xa0 d"]
+    odd = ["", "<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|> <|endoftext|>b", "  \n\t x", " a  b ", "it's IT'S 's", "a" * 3000, "\x00\x85", "\u180e a\u180e  b", "ab\u03b1 a.\u0300b", "x's.'s-'t 'll", "a\nb\n\nc\n d \n\ne", "<|endoftext|", "1\u00b2 \u0661 12a", "a\u200b b\x1c c\xa0 d"]
     pool = [*range(32, 127), *[32] * 30, 9, 10, 0x1C, 0x85, 0xA0, 0xE9, 0x180E, 0x2003, 0x200B, 0x3000, 0x4E2D, 0x1F600, 0x300, 0xB2]
-    odd += ["".join(map(chr, r.choice(pool, 50))) for _ in range(3000)]
+    odd += ["".join(map(chr, r.choice(pool, 50))) for _ in range(3000)] + ["".join(r.choice([*"ab'..sl 1\n\u00e9\u03b1\u0300 <|", "<|endoftext|>"], 12)) for _ in range(20000)]
     for i in range(0, len(odd), 100):
         some = odd[i : i + 100]
         assert [np.frombuffer(x, "<u4").tolist() for x in ours.ids(some)] == [bpe.encode(t, add_special_tokens=False).ids for t in some]
@@ -222,15 +234,19 @@ def test_wand_finds_all():
     r = random.Random(5)
     words = [f"w{i}" for i in range(120)]
     items = [(i, " ".join(r.choice(words) for _ in range(r.randint(5, 90)))) for i in range(400)]
-    index = decontamination.ItemIndex(items, 0.3)
+    units = [(items[row][0], words) for row, words in decontamination.item_units(pa.array([t for _, t in items]))]
+    counts = Counter(w for _, u in units for w in set(u.tolist()))
+    index = decontamination.ItemIndex(units, 0.3, counts, len(units), sum(len(u) for _, u in units) / len(units))
     for _ in range(50):
         terms = sorted(r.sample(range(len(index.vocabulary)), r.randint(5, 60)))
         want = {}
         for t in terms:
-            for u, x in zip(index.postings[t][0], index.postings[t][1], strict=True):
+            for u, x in zip(*index.posting(t), strict=True):
                 want[u] = want.get(u, 0) + x
         want = {u: x for u, x in want.items() if x >= 0.3 - 1e-9}
-        assert dict(index.search(terms)) == pytest.approx(want)
+        telling = [t for t in terms if index.telling[t]]
+        live = index.live_blocks(np.zeros(len(telling), np.int64), np.array(telling, np.int64))[1]
+        assert dict(index.search(terms, live.tolist())) == pytest.approx(want)
 
 
 @pytest.mark.parametrize("limit", [1 << 24, 2000])
@@ -247,10 +263,13 @@ def test_decontamination(spark, limit):
             body[at:at] = [w.upper() + "," for w in items[i // 5][1].split()]
             dirty.add((i, i // 5))
         rows.append((i, " ".join(body)))
-    docs = spark.createDataFrame([(*x, "s") for x in [*rows, (900, None), (901, "")]], "doc_id long, text string, score string")
-    bench = spark.createDataFrame([*items, (77, None), (78, "two words"), (None, "a b c d e f")], "item_id long, text string")
-    got = {(x["doc_id"], x["item_id"]) for x in decontamination.contamination(docs, bench, max_bytes=limit).collect()}
-    assert got == dirty
+    docs = spark.createDataFrame([(*x, "s") for x in [*rows, (900, None), (901, ""), (902, "two words and more"), (903, "two, words")]], "doc_id long, text string, score string")
+    dirty.add((903, 78))
+    bench = spark.createDataFrame([*items, (77, None), (78, "Two words!"), (79, ""), (None, "a b c d e f")], "item_id long, text string")
+    found = decontamination.contamination(docs, bench, max_bytes=limit).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in found} == dirty and len(found) == len(dirty)
+    scores = {(x["doc_id"], x["item_id"]): x["score"] for x in decontamination.contamination(docs, bench).collect()}
+    assert {(x["doc_id"], x["item_id"]): x["score"] for x in found} == pytest.approx(scores)
     clean = decontamination.without_contaminated(docs, bench, max_bytes=limit)
-    assert {x["doc_id"] for x in clean.collect()} == {x[0] for x in [*rows, (900,), (901,)]} - {d for d, _ in dirty} and clean.columns == docs.columns
+    assert {x["doc_id"] for x in clean.collect()} == {x[0] for x in [*rows, (900,), (901,), (902,)]} - {d for d, _ in dirty} and clean.columns == docs.columns
     assert decontamination.contamination(docs.limit(0), bench).count() == decontamination.contamination(docs, bench.limit(0)).count() == 0

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from incidence.llm.bytewords import Block, blocks
-from incidence.llm.common import lists, materialize, splitmix
+from incidence.llm.common import lists, materialize, splitmix, unused
 
 #: Buckets of the word count sketch, which the driver and every task hold as one byte each.
 BUCKETS = 1 << 22
@@ -21,6 +21,10 @@ SLICE = 1 << 16
 STEPS = 8
 #: Lines per word beyond which a word's postings are dealt out as pairs of chunks.
 CHUNK = 1 << 16
+#: Lines of a group beyond which it is dealt out as pairs of chunks in the second round, where all are compared.
+SPLIT = 512
+#: Sets that a task remembers to have told.
+REMEMBERED = 1 << 19
 #: Earliest candidates of a line that a group names at first, where one of them is close for sure, and where none is.
 #: Lines that none of them settles get all their candidates in a second round.
 NAMED, NAMED_WEAK = 4, 16
@@ -54,12 +58,17 @@ class Threshold(NamedTuple):
 
 
 class LineTokens(NamedTuple):
-    """Distinct words of a block's lines, rarest first: row and number of each line, and line, id and place of each word."""
+    """Distinct words of a block's lines, rarest first: row and number of each line, and line, id and place of each word.
+
+    sids and checks are two independent hashes of a line's set of words; starts is where its words start in the block.
+    """
 
     rows: np.ndarray
     numbers: np.ndarray
     sizes: np.ndarray
     sids: np.ndarray
+    checks: np.ndarray
+    starts: np.ndarray
     line: np.ndarray
     ids: np.ndarray
     place: np.ndarray
@@ -71,7 +80,10 @@ def line_tokens(block: Block, classes: np.ndarray) -> LineTokens:
     before = np.r_[0, np.cumsum(block.lines + 1)]
     line = before[row] + block.line  # ascending, as words come in order
     fresh = np.r_[True, line[1:] != line[:-1]] if len(line) else np.zeros(0, bool)
-    names, line = line[fresh], np.cumsum(fresh) - 1
+    names, line, starts = line[fresh], np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+    # The least and the greatest of the words' second hashes: no matter how often a word comes.
+    second = splitmix(block.hashes + np.uint64(0xA0761D6478BD642F))
+    checks = splitmix(np.minimum.reduceat(second, starts) ^ splitmix(np.maximum.reduceat(second, starts))) if len(starts) else second
     ids = (classes[block.hashes & _BUCKET_MASK].astype(np.uint64) << np.uint64(_HASH_BITS)) | (block.hashes >> np.uint64(64 - _HASH_BITS))
     if len(names) <= 1 << 16:
         key = np.sort((line.astype(np.uint64) << np.uint64(48)) | ids)
@@ -86,7 +98,7 @@ def line_tokens(block: Block, classes: np.ndarray) -> LineTokens:
     heads = np.r_[0, np.cumsum(sizes)]
     sids = np.add.reduceat(splitmix(ids * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)), heads[:-1]) if len(names) else np.zeros(0, np.uint64)
     owner = np.searchsorted(before, names, side="right") - 1
-    return LineTokens(owner + block.first, names - before[owner], sizes, splitmix(sids).view(np.int64), line, ids, np.arange(len(line)) - heads[line])
+    return LineTokens(owner + block.first, names - before[owner], sizes, splitmix(sids).view(np.int64), checks.view(np.int64), starts, line, ids, np.arange(len(line)) - heads[line])
 
 
 def _sketch(docs: DataFrame) -> np.ndarray:
@@ -228,23 +240,39 @@ def _postings(lines: DataFrame) -> DataFrame:
     return rows.select(F.col("groups").alias("group"), "doc", "number", "sid", "bits", "more_bits", (F.shiftleft(F.col("size").cast("long"), 32) + F.col("marks")).alias("meta"))
 
 
+def _dealt(postings: DataFrame) -> DataFrame:
+    """Groups of more than SPLIT lines as pairs of chunks of them; marks change as in `_deal`."""
+    sizes = materialize(postings.groupBy("group").count().where(F.col("count") > SPLIT), "dense-groups")
+    rows = postings.join(sizes, "group", "left").withColumn("_g", F.ceil(F.coalesce("count", F.lit(1)) / SPLIT).cast("int"))
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64("sid"), F.col("_g")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
+    low, high = F.least("_own", "_other"), F.greatest("_own", "_other")
+    marks = F.when(F.col("_own") == low, 2).otherwise(0) + F.when(low == high, 1).otherwise(0)
+    whole = (F.col("_g") > 1) & (F.col("meta").bitwiseAND(1) == 1)  # those with sides keep them
+    meta = F.when(whole, F.col("meta").bitwiseAND(~3) + marks).otherwise(F.col("meta"))
+    group = F.when(F.col("_g") > 1, F.xxhash64("group", low, high)).otherwise(F.col("group"))
+    return rows.select(group.alias("group"), "doc", "number", "sid", "bits", "more_bits", meta.alias("meta"), "open")
+
+
 def _candidates(postings: DataFrame, limit: Threshold, named: int | None) -> DataFrame:
     rows = postings.repartition("group").sortWithinPartitions("group")
     return rows.mapInArrow(_pairs(limit, named), "x long, x_doc long, y long, y_doc long, more boolean")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes, limit: Threshold) -> DataFrame:
-    """x of the pairs whose lines have the similarity, by their whole word sets, read again from the texts."""
+    """sid and check of the lines x of the pairs that have the similarity, by their whole word sets, read again from the texts.
+
+    The sets are of 64-bit hashes of the words.
+    """
     ends = F.array(F.struct(F.col("x_doc").alias("_key"), F.col("x").alias("sid")), F.struct(F.col("y_doc").alias("_key"), F.col("y").alias("sid")))
     wanted = materialize(pairs.select(F.inline(ends)).distinct(), "wanted-lines")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            sids, words = [], []
+            sids, checks, words = [], [], []
             for block in blocks(batch["_text"], with_lines=True):
                 found = line_tokens(block, classes.value)
-                heads = np.r_[0, np.cumsum(found.sizes)]
+                starts = np.r_[found.starts, len(block.hashes)]
                 place = found.sids & (WANTED_BITS - 1)
                 hit = bits.value[place >> 3] >> (place & 7) & 1 if bits else np.ones(len(place))
                 for i in np.flatnonzero(hit):
@@ -253,8 +281,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes, limit: Threshold) -> D
                         continue
                     seen.add(sid)
                     sids.append(sid)
-                    words.append(found.ids[heads[i] : heads[i + 1]].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), lists(words, pa.int64())], ["sid", "words"])
+                    checks.append(int(found.checks[i]))
+                    words.append(np.unique(block.hashes[starts[i] : starts[i + 1]]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(checks, pa.int64()), lists(words, pa.int64())], ["sid", "check", "words"])
 
     # A line of the set may be read from any document that has it: from the few documents wanted, or else from all,
     # where a bit table of the sids tells most lines apart if it is sparse enough.
@@ -265,10 +294,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes, limit: Threshold) -> D
         texts = docs.select("_text")
     else:
         texts = docs.join(F.broadcast(documents) if few else documents, "_key", "left_semi").select("_text")
-    words = texts.mapInArrow(sets, "sid long, words array<long>").join(wanted.select("sid").distinct().hint("merge"), "sid", "left_semi").dropDuplicates(["sid"])
-    both = pairs.select("x", "y").join(words.select(F.col("sid").alias("x"), F.col("words").alias("a")), "x").join(words.select(F.col("sid").alias("y"), F.col("words").alias("b")), "y")
+    words = texts.mapInArrow(sets, "sid long, check long, words array<long>").join(wanted.select("sid").distinct().hint("merge"), "sid", "left_semi").dropDuplicates(["sid"])
+    both = pairs.select("x", "y").join(words.select(F.col("sid").alias("x"), "check", F.col("words").alias("a")), "x").join(words.select(F.col("sid").alias("y"), F.col("words").alias("b")), "y")
     shared = F.size(F.array_intersect("a", "b"))
-    return both.where(shared * (limit.num + limit.den) >= (F.size("a") + F.size("b")) * limit.num).select("x").distinct()
+    return both.where(shared * (limit.num + limit.den) >= (F.size("a") + F.size("b")) * limit.num).select(F.col("x").alias("sid"), "check").distinct()
 
 
 def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: tuple[int, int] = (4, 5), min_words: int = 5) -> DataFrame:
@@ -281,7 +310,7 @@ def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", simil
     same number don't remove each other. Null and empty texts have no lines with words.
 
     Word frequencies come from a sketch of all texts, which orders words from rare to frequent in a table of fixed
-    size. Equal sets count once. Lines meet in groups of equal prefix words, where length, position and a bitmap of the
+    size. Equal sets count once; they are told by two hashes of 64 bits. Lines meet in groups of equal prefix words, where length, position and a bitmap of the
     words rule out most; of what is left the earliest NAMED per group (NAMED_WEAK, if the bitmaps leave it open whether
     one of them is similar) are verified on whole sets, and lines that none of them settles are compared with all
     their candidates in a second round, so that dense groups stay linear.
@@ -308,35 +337,34 @@ def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", simil
                 for i, (doc, number, sid, counts) in enumerate(names):
                     if counts and ((known := best.get(sid)) is None or (doc, number) < known):
                         best[sid], fresh[i] = (doc, number), True
-                if len(best) > 2_000_000:
+                if len(best) > REMEMBERED:
                     best.clear()
                 alone = found.ids >> np.uint64(_HASH_BITS) == 0  # a word of one line only meets no other
                 chosen = fresh[found.line] & (found.place < limit.prefix(found.sizes)[found.line]) & limit.joins(found.sizes)[found.line] & ~alone
                 copies, groups, marks = _deal(found.ids[chosen], found.place[chosen], found.sids[found.line[chosen]])
                 sizes = np.bincount(np.repeat(found.line[chosen], copies), minlength=len(long))
                 offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
-                columns = {"_key": docs_, "number": found.numbers.astype(np.int32), "sid": found.sids, "size": found.sizes.astype(np.int32), "bits": bits, "more_bits": more_bits}
+                columns = {"_key": docs_, "number": found.numbers.astype(np.int32), "sid": found.sids, "check": found.checks, "size": found.sizes.astype(np.int32), "bits": bits, "more_bits": more_bits}
                 columns |= {"groups": pa.ListArray.from_arrays(offsets, pa.array(groups)), "marks": pa.ListArray.from_arrays(offsets, pa.array(marks))}
                 table = pa.table(columns | {"_id": batch["_id"].take(pa.array(found.rows))}).filter(pa.array(long))
-                yield from table.select(["_key", "_id", "number", "sid", "size", "bits", "more_bits", "groups", "marks"]).to_batches()
+                yield from table.select(["_key", "_id", "number", "sid", "check", "size", "bits", "more_bits", "groups", "marks"]).to_batches()
 
     with_ids = docs.withColumn("_id", F.xxhash64("_text"))
-    lines = materialize(with_ids.mapInArrow(tokens_of, "_key long, _id long, number int, sid long, size int, bits long, more_bits long, groups array<long>, marks array<int>"), "lines")
+    lines = materialize(with_ids.mapInArrow(tokens_of, "_key long, _id long, number int, sid long, check long, size int, bits long, more_bits long, groups array<long>, marks array<int>"), "lines")
     postings = _postings(lines)
     named = materialize(_candidates(postings, limit, NAMED).groupBy("x", "y").agg(F.min("x_doc").alias("x_doc"), F.min("y_doc").alias("y_doc"), F.max("more").alias("more")), "line-pairs")
     similar = materialize(_verified(named, docs, classes, limit), "similar-lines")
-    unsettled = named.where("more").select(F.col("x").alias("sid")).distinct().join(similar.select(F.col("x").alias("sid")), "sid", "left_anti")
+    unsettled = named.where("more").select(F.col("x").alias("sid")).distinct().join(similar.select("sid"), "sid", "left_anti")
     unsettled = materialize(unsettled, "open-lines")
     if not unsettled.isEmpty():
         groups = materialize(_postings(lines.join(unsettled, "sid")).select("group").distinct(), "open-groups")
         marked = postings.join(groups, "group", "left_semi").join(unsettled.withColumn("open", F.lit(True)), "sid", "left").withColumn("open", F.coalesce("open", F.lit(False)))
-        rest = _candidates(marked, limit, None).groupBy("x", "y").agg(F.min("x_doc").alias("x_doc"), F.min("y_doc").alias("y_doc"))
+        rest = _candidates(_dealt(marked), limit, None).groupBy("x", "y").agg(F.min("x_doc").alias("x_doc"), F.min("y_doc").alias("y_doc"))
         similar = similar.unionByName(_verified(materialize(rest, "line-pairs"), docs, classes, limit)).distinct()
     order = F.struct("_key", "number")
-    first = lines.groupBy("sid").agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    marked = similar.select(F.col("x").alias("sid"), F.lit(True).alias("_similar"))
-    first = materialize(first.join(marked, "sid", "left").where("_n > 1 or _similar").drop("_n"), "line-sets")
-    gone = lines.select("_key", "_id", "number", "sid").join(first.hint("merge"), "sid").where((order > F.col("_first")) | F.col("_similar").isNotNull())
+    first = lines.groupBy("sid", "check").agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    first = materialize(first.join(similar.withColumn("_similar", F.lit(True)), ["sid", "check"], "left").where("_n > 1 or _similar").drop("_n"), "line-sets")
+    gone = lines.select("_key", "_id", "number", "sid", "check").join(first.hint("merge"), ["sid", "check"]).where((order > F.col("_first")) | F.col("_similar").isNotNull())
     return gone.groupBy(F.col("_key").alias(key), "_id").agg(F.sort_array(F.collect_set("number")).alias("removed"))
 
 
@@ -348,7 +376,8 @@ def without_lines(text: Column, removed: Column) -> Column:
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: tuple[int, int] = (4, 5), min_words: int = 5) -> DataFrame:
     """The rows and columns of `df`, with `text` freed of repeated lines (see `repeated_lines`). Null texts stay null."""
-    gone = repeated_lines(df, key, text, similarity, min_words).withColumnsRenamed({key: "_gone_key", "_id": "_gone_id", "removed": "_gone"})
+    names = unused(df, "_gone_key", "_gone_id", "_gone")
+    gone = repeated_lines(df, key, text, similarity, min_words).toDF(*names)
     hashed = F.xxhash64(F.coalesce(df[text], F.lit("")))
-    joined = df.join(gone.hint("merge"), (df[key].cast("long") == gone["_gone_key"]) & (hashed == gone["_gone_id"]), "left")
-    return joined.select(*[without_lines(df[c], F.col("_gone")).alias(c) if c == text else df[c] for c in df.columns])
+    joined = df.join(gone.hint("merge"), (df[key].cast("long") == gone[names[0]]) & (hashed == gone[names[1]]), "left")
+    return joined.select(*[without_lines(df[c], gone[names[2]]).alias(c) if c == text else df[c] for c in df.columns])

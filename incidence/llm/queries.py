@@ -66,7 +66,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     whole = docs.withColumn("_id", F.xxhash64(text)).join(gone.hint("merge"), ["doc_id", "_id"], "left")
     kept = lines.without_lines(text, F.col("removed"))
-    return whole.select("doc_id", F.coalesce("removed", F.array().cast("array<int>")).alias("removed_lines"), F.sha2(kept, 256).alias("kept_sha256"))
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    return whole.select("doc_id", F.array_join(removed.cast("array<string>"), ",").alias("removed_lines"), F.size(removed).cast("long").alias("n_removed"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +78,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(_table(spark, sf_dir, "documents"))
 
 
+def url_fixed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op3 that fixed rules decide."""
+    pages = _table(spark, sf_dir, "pages")
+    host, path = urls.split_url(F.col("url"))
+    judged = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("fixed", urls.fixed_rule(F.col("host"), F.col("path"), URL_RULES))
+    return judged.select("page_id", "host", "path", F.col("fixed.rule").alias("rule"), F.col("fixed.verdict").alias("verdict"))
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics and the base rule of op7."""
+    out = quality.with_statistics(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", *quality.STATS, quality.base_failed().alias("base_failed"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_formatting": op2_chat_formatting,
@@ -88,6 +103,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_sharding": op10_sharding,
+    "url_fixed_rules": url_fixed_rules,
+    "quality_base": quality_base,
 }
 
 SQL: dict[str, str] = {
@@ -128,5 +145,51 @@ f as (select payload_digest, min(page_id) as first_page from p where payload_byt
 select page_id, payload_bytes, p.payload_digest, case when page_id > first_page then 'revisit' else 'response' end as record_type,
        case when page_id > first_page then first_page end as refers_to
 from p left join f on p.payload_digest = f.payload_digest
+""",
+    "op8_line_dedup": r"""
+with split as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as number from documents),
+worded as (select doc_id, number, line, list_sort(list_distinct(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''))) as words from split),
+sets as (select words, len(words) as n, min((doc_id, number)) as first, row_number() over (order by words) as s from worded where len(words) > 0 group by words),
+tokens as (select s, n, unnest(words) as w from sets),
+counts as (select w, count(*) as c from tokens group by w),
+ranked as (select s, n, w, row_number() over (partition by s order by c, w) as place from tokens join counts using (w)),
+prefixes as (select s, n, w from ranked where place <= n - ceil(4 * n / 5.0) + 1),
+met as (select distinct a.s as x, b.s as y from prefixes a join prefixes b on a.w = b.w and a.s <> b.s and 4 * a.n <= 5 * b.n and 4 * b.n <= 5 * a.n),
+alike as (select m.x, b.first from met m join sets a on m.x = a.s join sets b on m.y = b.s where 9 * len(list_intersect(a.words, b.words)) >= 4 * (a.n + b.n)),
+earliest as (select s, min(first) as first from (select s, first from sets union all select x, first from alike) group by s),
+judged as (
+  select w.doc_id, w.number, w.line, coalesce((w.doc_id, w.number) > e.first, false) as gone
+  from worded w left join sets s on w.words = s.words left join earliest e on s.s = e.s)
+select doc_id, coalesce(string_agg(number::varchar, ',' order by number) filter (where gone), '') as removed_lines, count(*) filter (where gone) as n_removed,
+       sha256(coalesce(string_agg(line, chr(10) order by number) filter (where not gone), '')) as kept_sha256
+from judged group by doc_id
+""",
+    "url_fixed_rules": r"""
+with cut as (select page_id, url, position('://' in url) as pos from pages),
+parts as (
+  select page_id, case when pos > 0 then regexp_extract(substr(url, pos + 3), '^[^/?#]*') else '' end as named,
+         case when pos > 0 then substr(url, pos + 3) else '' end as rest from cut),
+split as (
+  select page_id, translate(named, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(substr(rest, length(named) + 1), '^[^?#]*') as path from parts),
+rules as (from (values ('org', '/', 'org/', 'allow'), ('example.org', '/es/', 'example.org/es/', 'block'), ('example.org', '/en/1', 'example.org/en/1', 'block'),
+  ('com', '/fr/', 'com/fr/', 'allow'), ('com', '/de/', 'com/de/', 'block')) r(name, start, rule, verdict)),
+best as (
+  select page_id, arg_max(rule, length(rule)) as rule, arg_max(verdict, length(rule)) as verdict
+  from split join rules on (host = name or ends_with(host, '.' || name)) and starts_with(path, start) group by page_id)
+select page_id, coalesce(host, '') as host, coalesce(path, '') as path, rule, verdict from split left join best using (page_id)
+""",
+    "quality_base": r"""
+with texts as (select doc_id, coalesce(text, '') as body from documents),
+worded as (select *, list_filter(regexp_split_to_array(body, '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from texts),
+places as (select doc_id, words, unnest(range(1, len(words) - 1)) as i from worded),
+windows as (select doc_id, i, count(*) over (partition by doc_id, words[i], words[i + 1], words[i + 2]) as times from places),
+repeats as (select doc_id, count(distinct j) as n from (select doc_id, unnest([i, i + 1, i + 2]) as j from windows where times > 1) group by doc_id),
+lines as (select doc_id, count(*) - count(distinct line) as n from (select doc_id, unnest(string_split(body, chr(10))) as line from texts) where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id),
+counted as (
+  select w.doc_id, len(words)::bigint as n_words, length(array_to_string(words, ''))::bigint as word_chars,
+         length(regexp_replace(body, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(l.n, 0)::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words
+  from worded w left join lines l on w.doc_id = l.doc_id left join repeats r on w.doc_id = r.doc_id)
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from counted
 """,
 }

@@ -200,3 +200,9 @@ def quality_verdicts(df: DataFrame, labels: DataFrame, text: str = "text", key:
     rules = fit_rules(with_statistics(labelled_sample(df.select(key, text), labels, max_labelled, key), text))
     out = with_statistics(df, text).withColumn("base_failed", base_failed())
     return out.withColumn("kept", ~F.col("base_failed") & verdict(rules))
+
+
+def kept_rows(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", max_labelled: int = 20_000) -> DataFrame:
+    """The rows and columns of `df` that `quality_verdicts` keeps, whatever the columns' names."""
+    whole = df.select(df[key].alias(key), df[text].alias(text), F.struct(*[df[c] for c in df.columns]).alias("_row"))
+    return quality_verdicts(whole, labels, text, key, max_labelled).where("kept").select("_row.*")

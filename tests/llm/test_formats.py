@@ -175,6 +175,9 @@ def test_decision_list(spark):
     held = [x for x in rows[300:]]
     assert sum(out[k] == bool(q) for k, _, q in held) >= 0.95 * len(held) and not out[1000] and not out[1001]
     assert quality.quality_verdicts(docs, labels.limit(0)).where("kept").count() > 0
+    odd = docs.withColumns({"n_words": F.lit("mine"), "kept": F.lit(7), "low": F.lit(1)})
+    rows_kept = quality.kept_rows(odd, labels).collect()
+    assert {x["doc_id"] for x in rows_kept} == {k for k, v in out.items() if v} and {(x["n_words"], x["kept"], x["low"]) for x in rows_kept} == {("mine", 7, 1)}
     assert quality.quality_verdicts(docs.limit(0), labels).count() == 0
 
 

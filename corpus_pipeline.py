@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the list learned from `labels`."""
-    return quality.quality_verdicts(docs, _table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    return quality.kept_rows(docs, _table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

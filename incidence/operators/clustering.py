@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from incidence.sources.files import materialize
 
 
-def _near(left: DataFrame, right: DataFrame, eps: float) -> DataFrame:
+def _near(left: DataFrame, right: DataFrame, eps: float, ahead: bool = False) -> DataFrame:
     """Rows of `left` (a, ax, ay, cx, cy) with those of `right` (x, y, cx, cy, ...) at most `eps` apart.
 
     Cells have the side eps / sqrt(2), so a row looks at the five by five cells around its own: it repeats for them, and
-    the rows meet by cell.
+    the rows meet by cell. `ahead` takes one of each two neighbouring cells only, and not the own cell.
     """
-    around = F.array(*[F.struct((F.col("cx") + i).alias("nx"), (F.col("cy") + j).alias("ny")) for i in range(-2, 3) for j in range(-2, 3) if abs(i) + abs(j) < 4])
+    steps = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if abs(i) + abs(j) < 4 and (not ahead or (i, j) > (0, 0))]
+    around = F.array(*[F.struct((F.col("cx") + i).alias("nx"), (F.col("cy") + j).alias("ny")) for i, j in steps])
     spread = left.select("*", F.inline(around)).drop("cx", "cy").withColumnsRenamed({"nx": "cx", "ny": "cy"})
     apart = (F.col("ax") - F.col("x")) * (F.col("ax") - F.col("x")) + (F.col("ay") - F.col("y")) * (F.col("ay") - F.col("y"))
     return spread.join(right, ["cx", "cy"]).where(apart <= eps * eps)
@@ -44,6 +45,11 @@ def smallest_reachable(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return labels
 
 
+def _places(cores: DataFrame) -> DataFrame:
+    """One row per cell and place: for the links of a cell a place counts once, however many points lie there."""
+    return cores.groupBy("cx", "cy", "head", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
 def dbscan(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     """id, cluster, kind (core, border, noise): points with `min_samples` points within `eps` (themselves too) are cores.
 
@@ -61,8 +67,10 @@ def dbscan(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     cores = own.join(dense, ["cx", "cy"], "left_semi").unionByName(own.join(found, "id", "left_semi").select("cx", "cy", "id", "x", "y"), allowMissingColumns=False)
     heads = cores.groupBy("cx", "cy").agg(F.min("id").alias("head"))
     cores = materialize(cores.join(heads, ["cx", "cy"]))
-    met = _near(cores.select(F.col("head").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), "cx", "cy"), cores.select("x", "y", "cx", "cy", F.col("head").alias("b")), eps)
-    links = materialize(met.where("a <> b").select("a", "b").distinct())
+    thin = _places(cores)
+    met = _near(thin.select(F.col("head").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), "cx", "cy"), thin.select("x", "y", "cx", "cy", F.col("head").alias("b")), eps, ahead=True)
+    one = met.select("a", "b").distinct()
+    links = materialize(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = smallest_reachable(links, cores.select(F.col("head").alias("id")).distinct())
     named = materialize(cores.join(labels.select(F.col("id").alias("head"), "label"), "head").select("id", "x", "y", "cx", "cy", "label"))
     rest = own.join(named.select("id"), "id", "left_anti")

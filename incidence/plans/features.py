@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from incidence.functions.stats import share
 from incidence.model import accidents, participants, table, vehicles, with_roles
+from incidence.operators.ranks import quantiles
 from incidence.plans.base import query
 from incidence.plans.statistics import category, fixed_holiday
 
@@ -124,8 +125,11 @@ select min(p_size) as low, max(p_size) as high, round(quantile_cont(p_size, 0.05
        (select p_brand from part group by p_brand order by count(*) desc, p_brand limit 1) as usual_brand from part""")
 def form_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranges and defaults of a form's fields; the usual value is the smallest of the most frequent."""
-    q = lambda p: F.round(F.percentile("p_size", F.lit(p)), 4)
-    return table(spark, sf_dir, "part").agg(F.min("p_size").alias("low"), F.max("p_size").alias("high"), q(0.05).alias("p05"), q(0.95).alias("p95"), q(0.5).alias("middle"), F.mode("p_brand", True).alias("usual_brand"))
+    part = table(spark, sf_dir, "part")
+    brands = part.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n")).agg(F.min_by("p_brand", F.struct(-F.col("n"), "p_brand")).alias("usual_brand"))
+    ends = part.agg(F.min("p_size").alias("low"), F.max("p_size").alias("high")).crossJoin(brands)  # single rows
+    found = quantiles(part.withColumn("_all", F.lit(0)), ["_all"], "p_size", {"p05": 0.05, "p95": 0.95, "middle": 0.5})
+    return found.crossJoin(ends).select("low", "high", *[F.round(c, 4).alias(c) for c in ("p05", "p95", "middle")], "usual_brand")
 
 
 @query("select floor(l_quantity / 5)::bigint as bin, count(*) as n, floor(8 * log2(1 + max(l_extendedprice)))::bigint as log_bin_max from lineitem group by 1")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from incidence.functions.geo import METRES_PER_DEGREE, haversine, haversine_sql, inside, inside_sql, project
 from incidence.model import accidents, lon_lat, table, with_roles
 from incidence.operators.clustering import dbscan
+from incidence.operators.ranks import numbered, quantiles
 from incidence.operators.recommend import profile, profile_sql, recommend, recommend_sql
 from incidence.plans.base import query
 
@@ -29,13 +30,27 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), lon.alias("lon"), lat.alias("lat"))
 
 
+#: Centres that are sent to every task; more are met in a join on grid cells that is dealt by cell.
+FEW_CENTRES = 10_000
+
+
 def within(df: DataFrame, centres: DataFrame, radius: float) -> DataFrame:
-    """Rows of `df` (lat, lon) with the centres at most `radius` metres away: a join on grid cells, then the distance."""
-    step_lat = radius / METRES_PER_DEGREE
-    cell_lat = lambda c: F.floor(F.col(c) / step_lat).cast("long")
-    wide = centres.withColumn("_cell", F.explode(F.array(*[cell_lat("c_lat") + i for i in (-1, 0, 1)])))
-    near = df.withColumn("_cell", cell_lat("lat")).join(wide, "_cell")
-    return near.withColumn("distance", haversine(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon"))).where(F.col("distance") <= radius).drop("_cell")
+    """Rows of `df` (lat, lon) with the centres at most `radius` metres away: a join on cells of latitude and longitude, then the distance.
+
+    A centre is dealt to the cells that its circle can touch: its own row of latitude and the two beside it, and there
+    all columns within the reach of longitude at that latitude.
+    """
+    step = radius / METRES_PER_DEGREE
+    row = F.floor(F.col("c_lat") / step).cast("long")
+    # A degree of longitude is shortest at the latitude farthest from the equator that the circle touches.
+    shrink = F.greatest(F.cos(F.radians(F.least(F.abs("c_lat") + step, F.lit(89.9)))), F.lit(1e-3))
+    reach = step / shrink
+    column = lambda c: F.floor(c / step).cast("long")
+    wide = centres.withColumn("_row", F.explode(F.array(row - 1, row, row + 1))).withColumn("_column", F.explode(F.sequence(column(F.col("c_lon") - reach), column(F.col("c_lon") + reach))))
+    if centres.limit(FEW_CENTRES + 1).count() <= FEW_CENTRES:
+        wide = F.broadcast(wide)
+    near = df.withColumns({"_row": F.floor(F.col("lat") / step).cast("long"), "_column": column(F.col("lon"))}).join(wide, ["_row", "_column"])
+    return near.withColumn("distance", haversine(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon"))).where(F.col("distance") <= radius).drop("_row", "_column")
 
 
 def _centres(spark: SparkSession) -> DataFrame:
@@ -119,9 +134,10 @@ def snap_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 round(avg(distance), 2) as mean, round(max(distance), 3) as most from snaps group by snap_method""")
 def snap_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = points(spark, sf_dir)
-    q = lambda p: F.round(F.percentile("snap_distance_m", F.lit(p)), 3)
-    rows = snapped(own, roads(own)).groupBy("snap_method")
-    return rows.agg(F.count(F.lit(1)).alias("n"), q(0.5).alias("p50"), q(0.9).alias("p90"), q(0.99).alias("p99"), F.round(F.avg("snap_distance_m"), 2).alias("mean"), F.round(F.max("snap_distance_m"), 3).alias("most"))
+    rows = snapped(own, roads(own))
+    sums = rows.groupBy("snap_method").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("snap_distance_m"), 2).alias("mean"), F.round(F.max("snap_distance_m"), 3).alias("most"))
+    found = quantiles(rows, ["snap_method"], "snap_distance_m", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+    return sums.join(found, "snap_method", "left").select("snap_method", "n", *[F.round(c, 3).alias(c) for c in ("p50", "p90", "p99")], "mean", "most")
 
 
 @query("with " + POINTS_SQL + ", places as (select * from (values " + ", ".join(f"('{n}', {a}e0, {b}e0)" for n, a, b in PLACES) + """) t(place, p_lat, p_lon)),
@@ -170,22 +186,39 @@ def hotspot_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _flat(points(spark, sf_dir))
     rows = dbscan(own, 300.0, 15).where("cluster >= 0").join(own.select("id", "lat", "lon"), "id").groupBy("cluster")
     sums = rows.agg(F.count(F.lit(1)).alias("n_points"), F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon"), F.round(F.max("lat") - F.min("lat"), 6).alias("height"), F.round(F.max("lon") - F.min("lon"), 6).alias("width"))
-    return sums.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_points"), "cluster")).cast("long"))
+    return numbered(sums, [F.desc("n_points"), F.col("cluster")])
+
 
 
+
+EPS_SWEEP = (100.0, 200.0, 300.0, 500.0)
+SWEEP_SQL = DBSCAN_SQL[: DBSCAN_SQL.index("pairs as (")] + "".join(f"""
+pairs{i} as (select a.id as a, b.id as b from flat a join flat b on (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {eps}e0 * {eps}e0),
+cores{i} as (select a as id from pairs{i} group by a having count(*) >= 15),
+links{i} as (select a, b from pairs{i} where a in (select id from cores{i}) and b in (select id from cores{i})),
+walk{i} as (select id, id as seen from cores{i} union select walk{i}.id, links{i}.b from walk{i} join links{i} on walk{i}.seen = links{i}.a),
+labels{i} as (select id, min(seen) as label from walk{i} group by id),
+nearest{i} as (select a as id, min(label) as cluster from pairs{i} join labels{i} on b = labels{i}.id group by a),
+sizes{i} as (select coalesce(l.label, n.cluster, -1) as cluster, count(*) as n from flat left join labels{i} l on flat.id = l.id left join nearest{i} n on flat.id = n.id group by 1),""" for i, eps in enumerate(EPS_SWEEP)).rstrip(",") + " union all ".join(f"""
+select {eps}e0 as eps, count(*) filter (where cluster >= 0) as n_clusters, max(n) filter (where cluster >= 0) as largest, min(n) filter (where cluster >= 0) as smallest,
+       list_sort(list(n) filter (where cluster >= 0))[count(*) filter (where cluster >= 0) // 2 + 1] as upper_median, round(coalesce(sum(n) filter (where cluster < 0), 0) * 1e0 / sum(n), 4) as noise_share from sizes{i}""" for i, eps in enumerate(EPS_SWEEP))
+
+
+@query(SWEEP_SQL)
 def eps_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters, their largest and the share of noise for four reaches."""
+    """Clusters, their largest, smallest and upper median size and the share of noise for four reaches."""
     own, out = _flat(points(spark, sf_dir)), None
-    for eps in (100.0, 200.0, 300.0, 500.0):
+    for eps in EPS_SWEEP:
         sizes = dbscan(own, eps, 15).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-        row = sizes.agg(F.lit(eps).alias("eps"), F.count_if(F.col("cluster") >= 0).alias("n_clusters"), F.max(F.when(F.col("cluster") >= 0, F.col("n"))).alias("largest"), F.round(F.sum(F.when(F.col("cluster") < 0, F.col("n")).otherwise(0)) / F.sum("n"), 4).alias("noise_share"))
+        named = F.when(F.col("cluster") >= 0, F.col("n"))
+        row = sizes.agg(F.count_if(F.col("cluster") >= 0).alias("n_clusters"), F.max(named).alias("largest"), F.min(named).alias("smallest"), F.round(F.sum(F.when(F.col("cluster") < 0, F.col("n")).otherwise(0)) / F.sum("n"), 4).alias("noise_share"))
+        found = sizes.where("cluster >= 0").select("cluster", "n")
+        middle = numbered(found, [F.col("n"), F.col("cluster")]).join(row.select(F.floor(F.col("n_clusters") / 2).alias("half")), F.col("place") == F.col("half") + 1)
+        row = row.select(F.lit(eps).alias("eps"), "n_clusters", "largest", "smallest", "noise_share").join(middle.select(F.lit(eps).alias("eps"), F.col("n").alias("upper_median")), "eps", "left")
         out = row if out is None else out.unionByName(row)
     return out
 
 
-query()(eps_sweep)
-
-
 @query("with " + POINTS_SQL + """,
 towns as (select id % 7 as town, avg(lon) as lon, avg(lat) as lat, count(*) as n from points where id % 3 = 0 group by 1),
 spots as (select id % 50 as spot, avg(lon) as lon, avg(lat) as lat, count(*) as n from points where id % 3 <> 0 group by 1)
@@ -196,5 +229,12 @@ def hotspot_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     centre = (F.avg("lon").alias("lon"), F.avg("lat").alias("lat"), F.count(F.lit(1)).alias("n"))
     towns = own.where("id % 3 = 0").groupBy((F.col("id") % 7).alias("town")).agg(*centre).select(F.col("lon").alias("t_lon"), F.col("lat").alias("t_lat"))
     spots = own.where("id % 3 <> 0").groupBy((F.col("id") % 50).alias("spot")).agg(*centre)
+    # Both meet on cells of the box's size, a town in the nine around its own.
+    cell = lambda lon, lat: (F.floor(F.col(lon) / 0.014).cast("long"), F.floor(F.col(lat) / 0.01).cast("long"))
+    x, y = cell("t_lon", "t_lat")
+    around = F.array(*[F.struct((x + i).alias("cx"), (y + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    dealt = towns.select("t_lon", "t_lat", F.inline(around))
+    x, y = cell("lon", "lat")
     close = (F.abs(F.col("lon") - F.col("t_lon")) < 0.014) & (F.abs(F.col("lat") - F.col("t_lat")) < 0.01)
-    return spots.where("n >= 8").join(towns, close, "left_anti").orderBy(F.desc("n"), "spot").limit(30).select("spot", "n")
+    left = spots.where("n >= 8").withColumns({"sx": x, "sy": y})
+    return left.join(dealt, (F.col("sx") == F.col("cx")) & (F.col("sy") == F.col("cy")) & close, "left_anti").orderBy(F.desc("n"), "spot").limit(30).select("spot", "n")

@@ -11,18 +11,44 @@ STRONG = ("thernt", "enment", "keitung")
 WEAK = ("the", "der", "les", "los")
 
 
+#: Phrases that rule a post out, words that make it one on an accident, and words that go with them.
+INCIDENT_NEGATIVE = (
+    "мошенник", "обманом", "обманул", "обманула", "обманули", "доверившись", "под предлогом", "позвонил", "позвонила",
+    "поздравляю вас", "поздравляем вас", "при исполнении служебных", "при исполнении служебного", "погибших сотрудников",
+    "погибшим сотрудникам", "погибших коллег", "погибшим коллегам", "ветераны", "ветеран", "день сотрудника", "день полиции",
+    "день памяти", "минута молчания", "светлая память", "вечная память",
+)
+INCIDENT_STRONG = (
+    "наезд", "наехал", "наехала", "опрокидыван", "опрокинул", "опрокинулся", "съехал", "съехала", "съезд с дороги",
+    "выехал на встреч", "выехала на встреч", "вылетел", "вылетела", "врезал", "врезалась",
+    "столкновени", "допустил столкнов", "совершил столкнов", "столкнулся с автомоб", "столкнулся с автомаш", "столкнулся с встречн",
+    "получил травмы", "получила травмы", "получил телесные", "травмирован", "пострадал в дтп", "пострадала в дтп", "пострадали в дтп",
+    "госпитализирован", "скончал", "смертельн", "погиб на месте", "погибл на месте", "погиб в дтп", "погибла в дтп", "погибли в дтп",
+    "мотоциклист", "велосипедист", "сбил", "сбила",
+)
+INCIDENT_WEAK = (
+    "дтп", "дорожно-транспортн", "пдд", "правил дорожного движени", "автомобил", "автомашин", "водитель", "водительниц", "пешеход",
+    "погиб", "погибш", "пострадал", "пострадала",
+)
+
+
 def hits(text: Column, words: tuple[str, ...]) -> Column:
     """The words that the lower-cased text holds, in list order."""
     low = F.lower(text)
-    return F.filter(F.array(*[F.when(low.contains(w), F.lit(w)) for w in words]), lambda x: x.isNotNull())
+    return F.filter(F.array(*map(F.lit, words)), lambda w: low.contains(w))
 
 
-def keyword_filter(text: Column) -> Column:
+def keyword_filter(text: Column, negative: tuple[str, ...] = NEGATIVE, strong: tuple[str, ...] = STRONG, weak: tuple[str, ...] = WEAK) -> Column:
     """struct(is_match, keywords): a negative word vetoes; a strong one matches; the keywords are the strong and weak hits."""
-    veto = F.size(hits(text, NEGATIVE)) > 0
-    found = F.concat(hits(text, STRONG), hits(text, WEAK))
+    veto = F.size(hits(text, negative)) > 0
+    found = F.concat(hits(text, strong), hits(text, weak))
     none = F.array().cast("array<string>")
-    return F.struct((~veto & (F.size(hits(text, STRONG)) > 0)).alias("is_match"), F.when(veto, none).otherwise(found).alias("keywords"))
+    return F.struct((~veto & (F.size(hits(text, strong)) > 0)).alias("is_match"), F.when(veto, none).otherwise(found).alias("keywords"))
+
+
+def incident_filter(text: Column) -> Column:
+    """`keyword_filter` by the words for accidents."""
+    return keyword_filter(text, INCIDENT_NEGATIVE, INCIDENT_STRONG, INCIDENT_WEAK)
 
 
 def first_group(text: Column, groups: list[tuple[str, tuple[str, ...]]]) -> Column:

@@ -17,7 +17,7 @@ from incidence.llm.common import lists, materialize
 
 MATCH = "item_id long, start int, score double, overlap double, question_overlap double, answer_overlap double"
 #: Units (by number) of a block, which have one bound per word.
-BLOCK = 8
+BLOCK = 2
 #: Words in a row that count as shared text.
 GRAM = 5
 

@@ -69,7 +69,7 @@ def ner_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def match_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts made from every fiftieth accident, a day or two late, against all accidents."""
     marks = vehicles(spark, sf_dir).groupBy("accident_id").agg(F.sort_array(F.collect_set("mark")).alias("vehicle_marks"))
     rows = accidents(spark, sf_dir).join(marks, F.col("id") == F.col("accident_id"), "left")
@@ -97,20 +97,25 @@ kept as (select *, row_number() over (partition by post_id order by score desc,
 @query(MATCH_SQL + "select post_id, id, day_offset::int as day_offset, score::int as score, place::int as place from kept where place <= 3")
 def match_posts_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best accidents of each post."""
-    return _pairs(spark, sf_dir).where("place <= 3").select("post_id", "id", "day_offset", "score", "place")
+    return match_pairs(spark, sf_dir).where("place <= 3").select("post_id", "id", "day_offset", "score", "place")
 
 
 @query(MATCH_SQL + "select (score // 10 * 10)::bigint as bucket, case when score >= 90 then 'gold' when score >= 60 then 'high' else 'low' end as quality, count(*) as n from kept where place = 1 group by all")
 def match_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top scores by tens and quality."""
-    top = _pairs(spark, sf_dir).where("place = 1")
+    top = match_pairs(spark, sf_dir).where("place = 1")
     return top.groupBy((F.floor(F.col("score") / 10) * 10).alias("bucket"), quality_of(F.col("score")).alias("quality")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(MATCH_SQL.replace("pairs as (", """parts as (
+  select post_id, id, unnest([('np', case when np = p_np then 30 else 0 end), ('street', case when contains(lower(street), lower(p_street)) or contains(lower(p_street), lower(street)) then 30 else 0 end),
+    ('em_type', case when contains(lower(em_type), lower(p_em)) then 20 else 0 end), ('severity', case when replace(severity, '_multiple', '') = replace(p_sev, '_multiple', '') then 15 else 0 end),
+    ('marks', least(len(list_intersect(marks, p_marks)) * 25, 50)), ('road_km', case when abs(p_km - road_km) <= 2 then 10 else 0 end)]) as part
+  from post join acc on datetime::date between post_date - 3 and post_date),
+pairs as (""") + "select part[1] as criterion, count(*) as n, sum(part[2])::bigint as points from kept join parts using (post_id, id) where place = 1 and part[2] > 0 group by 1")
 def match_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each criterion gave points in the best matches."""
-    top = _pairs(spark, sf_dir).where("place = 1").select(F.explode("score_breakdown").alias("criterion", "points"))
+    top = match_pairs(spark, sf_dir).where("place = 1").select(F.explode("score_breakdown").alias("criterion", "points"))
     return top.groupBy("criterion").agg(F.count(F.lit(1)).alias("n"), F.sum("points").alias("points"))
 
 

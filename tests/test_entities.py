@@ -32,6 +32,41 @@ def test_numbers(spark):
     assert one(spark, "на 82 км и 120 км", entities.kilometres) == [82, 120]
 
 
+def test_ages_five_characters_apart():
+    found = entities.find_ages("5-летняя 9 лет девушка")
+    assert [(a, c) for a, c, _ in entities.find_ages("5 лет парень 9 лет девушка")] == [(5, "парен"), (9, "девушк")]
+    assert [(a, c) for a, c, _ in found] == [(9, "девушк")]
+
+
+def test_incident_keywords(spark):
+    from incidence.functions.text import incident_filter
+
+    assert one(spark, "Допустил СТОЛКНОВЕНИЕ с автомобилем", incident_filter)["keywords"] == ["столкновени", "допустил столкнов", "автомобил"]
+    assert not one(spark, "столкновение, мошенник", incident_filter)["is_match"] and not one(spark, "автомобиль и водитель", incident_filter)["is_match"]
+    assert one(spark, "", incident_filter)["keywords"] == []
+
+
+def test_locations(spark):
+    from incidence.functions.places import locations, place_names
+
+    rows = spark.createDataFrame([(["Владивостоке", "Владивосток", "Уссурийске", "Москва", None],)], "n array<string>")
+    assert rows.select(locations(F.col("n")).alias("x")).first()["x"] == ["г Владивосток", "г Уссурийск"]
+    assert one(spark, "в Большом Камне и Артёме, не Артеменко", lambda c: locations(place_names(c))) == ["г Артем", "г Большой Камень"]
+
+
+def test_brand_models():
+    find = entities.find_brands
+    assert find("Toyota Land Cruiser 200, шевроле нива") == [("TOYOTA", "Toyota Land Cruiser 200", 0), ("CHEVROLET", "шевроле", 25), ("LADA", "нива", 33)]
+    assert find("Mercedes-Benz E200 и Форд который ехал") == [("MERCEDES-BENZ", "Mercedes-Benz", 0), ("FORD", "Форд", 21)]
+    assert entities.brand_finder(("Yutong",))("автобус YUTONG ZK6")[0][:2] == ("YUTONG", "YUTONG ZK6")
+
+
+def test_persons(spark):
+    rows = spark.createDataFrame([("Иванов Пётр Сергеевич и А. Петров, ул. Ольгина, Тойота", ["Иванов Пётр Сергеевич", "А. Петров", "Ольгина", "Ия", "Нет Такого"], ["Тойота"])], "t string, s array<string>, v array<string>")
+    assert rows.select(entities.persons(F.col("s"), F.col("t"), F.col("v")).alias("x")).first()["x"] == ["Иванов Пётр Сергеевич", "А. Петров"]
+    assert one(spark, "Иванов Пётр Сергеевич и А. Петров", entities.name_spans) == ["Иванов Пётр Сергеевич", "А. Петров"]
+
+
 def test_brands():
     assert [b for b, _, _ in entities.find_brands("Нисан и тойота")] == ["NISSAN", "TOYOTA"]
     assert entities.find_brands("") == []

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from incidence.functions.geo import haversine, inside
 from incidence.functions.text import flattened
 from incidence.model import severity_of
 
@@ -82,6 +83,33 @@ def read_posts(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("*", F.date_format("published", "yyyy-MM").alias("month"), F.size(F.split("text", r"\s+")).alias("word_count"))
 
 
+def read_post_lines(spark: SparkSession, folder: str, incidents_only: bool = False) -> DataFrame:
+    """Posts from JSON lines, one file or folder per month: post_id, date_published, text, is_incident, file; of repeated ids the first file's."""
+    rows = spark.read.schema("tg_id long, date_published string, text string, is_dtp_related boolean").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").json(folder)
+    rows = rows.select(F.col("tg_id").alias("post_id"), "date_published", "text", F.coalesce("is_dtp_related", F.lit(False)).alias("is_incident"), F.input_file_name().alias("file")).where("post_id is not null")
+    first = rows.groupBy("post_id").agg(F.min_by(F.struct("date_published", "text", "is_incident", "file"), F.struct("file", "date_published", "text")).alias("_row")).select("post_id", "_row.*")
+    return first.where("is_incident") if incidents_only else first
+
+
+def way_length(nodes: Column) -> Column:
+    """Metres along a way: the sum of the distances of its nodes, each to the next."""
+    step = lambda a, b: haversine(a["lat"], a["lon"], b["lat"], b["lon"])
+    legs = F.zip_with(F.slice(nodes, 1, F.size(nodes) - 1), F.slice(nodes, 2, F.size(nodes)), step)
+    return F.when(F.size(nodes) < 2, 0.0).otherwise(F.aggregate(legs, F.lit(0.0), lambda s, x: s + x))
+
+
+def write_roads(ways: DataFrame, path: str) -> None:
+    """Replaces the roads table: the ways with their length."""
+    ways.withColumn("length_m", way_length(F.col("nodes"))).write.mode("overwrite").parquet(path)
+
+
+def with_region(df: DataFrame, ring: list[tuple[float, float]], force: bool = False) -> DataFrame:
+    """is_in_region worked out from lon and lat where it is null, or, by `force`, everywhere; without a place it stays null."""
+    known = F.col("is_in_region") if "is_in_region" in df.columns else F.lit(None).cast("boolean")
+    placed = F.when(F.col("lon").isNotNull() & F.col("lat").isNotNull(), inside(F.col("lon"), F.col("lat"), ring))
+    return df.withColumn("is_in_region", placed if force else F.coalesce(known, placed))
+
+
 def read_brands(spark: SparkSession, path: str) -> DataFrame:
     """The brand list; rows without a brand or confidence are left out."""
     rows = spark.read.schema("brand string, is_right_hand_drive boolean, confidence string, reasoning string").option("header", True).csv(path)

@@ -20,7 +20,9 @@ def daily_counts(events: DataFrame) -> DataFrame:
 def run_daily_counts(spark: SparkSession, path: str) -> DataFrame:
     """Runs the stream over all files of `path` and returns what it has at the end.
 
-    Each run replaces the days' counts so far, so a batch that is done again changes nothing.
+    A batch tells the days that it changed, so days that the watermark has passed leave the state. Each batch has a
+    folder of its own by its number: one that is done again replaces its own folder only, and readers take of each day
+    and type what the last batch said.
     """
     schema = spark.read.parquet(path).schema
     source = path.rpartition("/")
@@ -29,14 +31,16 @@ def run_daily_counts(spark: SparkSession, path: str) -> DataFrame:
     place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     run = (
         daily_counts(stream)
-        .writeStream.outputMode("complete")
-        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{place}/out"))
+        .writeStream.outputMode("update")
+        .foreachBatch(lambda batch, nr: batch.write.mode("overwrite").parquet(f"{place}/out/batch={nr}"))
         .option("checkpointLocation", f"{place}/state")
         .trigger(availableNow=True)
         .start()
     )
     run.awaitTermination()
-    return spark.read.parquet(f"{place}/out")
+    told = spark.read.schema("day string, event_type string, n long, total double, batch long").parquet(f"{place}/out")
+    last = told.groupBy("day", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("_last"))
+    return last.select("day", "event_type", "_last.n", "_last.total")
 
 
 def _is_file(spark: SparkSession, path: str) -> bool:
@@ -46,9 +50,33 @@ def _is_file(spark: SparkSession, path: str) -> bool:
 
 
 def load_new(stream: DataFrame, stored: str, key: str, order: str):
-    """A stream that appends rows with new keys to the files at `stored`; a batch done again finds its keys there."""
+    """A stream that appends rows with new keys to the files at `stored`; a batch done again finds its keys there.
+
+    The caller names the checkpoint. A batch that is delivered again while its first append still runs can double
+    rows; `load_once` can't.
+    """
 
     def append(batch: DataFrame, _: int) -> None:
         new_rows(batch, batch.sparkSession.read.parquet(stored), key, order).write.mode("append").parquet(stored)
 
     return stream.writeStream.foreachBatch(append)
+
+
+def load_once(stream: DataFrame, stored: str, checkpoint: str, key: str, order: str, schema: str):
+    """A stream that adds rows with new keys to the batches at `stored`, once each, however often a batch is delivered.
+
+    A batch looks for its keys in the folders of the batches before it and replaces its own folder, so one that is done
+    again after a failure writes the same rows to the same place. `checkpoint` is the stream's own folder.
+    """
+
+    def add(batch: DataFrame, nr: int) -> None:
+        spark = batch.sparkSession
+        known = spark.read.schema(schema + ", batch long").parquet(stored) if _exists(spark, stored) else spark.createDataFrame([], schema + ", batch long")
+        new_rows(batch, known.where(F.col("batch") < nr), key, order).write.mode("overwrite").parquet(f"{stored}/batch={nr}")
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)

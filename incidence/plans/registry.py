@@ -2,15 +2,19 @@
 
 from incidence.plans.base import QUERIES, SQL  # noqa: F401
 from incidence.plans import (  # noqa: F401  the modules register their queries
+    bulletins,
+    dashboards,
     endpoints,
     features,
     forecast,
+    hotspots,
     learning,
     matching,
     operations,
     spatial,
     statistics,
     text,
+    training,
 )
 
 FLAGSHIP = "dangerous_roads"

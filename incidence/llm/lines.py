@@ -22,7 +22,7 @@ STEPS = 8
 #: Lines per word beyond which a word's postings are dealt out as pairs of chunks.
 CHUNK = 1 << 16
 #: Lines of a group beyond which it is dealt out as pairs of chunks in the second round, where all are compared.
-SPLIT = 512
+SPLIT = 4096
 #: Sets that a task remembers to have told.
 REMEMBERED = 1 << 19
 #: Earliest candidates of a line that a group names at first, where one of them is close for sure, and where none is.

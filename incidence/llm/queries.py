@@ -31,7 +31,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return chat.read_back(chat.format_conversations(turns.unionByName(extra)))
+    return chat.read_back_turns(chat.format_turns(turns.unionByName(extra)))
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,6 +75,19 @@ def test_conversations(spark):
     assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
 
 
+def test_turns_in_a_stream_are_the_conversation(spark, monkeypatch):
+    monkeypatch.setattr(chat, "SLICE", 3)
+    r = random.Random(8)
+    rows = [(r.choice([None, 1, 2, 2**60 + 1]), r.choice([None, 0, 1, 2, 3]), r.choice(["user", "assistant", None, "a<b"]), r.choice([None, "", "</turn>", "\\\\### é", "x" * 50])) for _ in range(200)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = {tuple(x) for x in chat.read_back(chat.format_conversations(df)).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars").collect()}
+    turns = chat.format_turns(df)
+    assert {tuple(x) for x in chat.read_back_turns(turns).collect()} == whole and len(whole) == 4
+    text = "".join(x["formatted"] for x in turns.where("conv_id = 1").orderBy("nr").collect())
+    assert text == chat.format_conversations(df).where("conv_id = 1").first()["formatted"]
+    assert chat.read_back_turns(chat.format_turns(df.limit(0))).count() == 0
+
+
 def test_archives(spark):
     big = "é" * 80
     rows = [(5, "http://a", big), (2, None, big), (9, "x y\r\n", big), (2, "http://b", big), (3, "u", None), (4, "u", "small"), (6, "u", "small"), (None, "u", big)]

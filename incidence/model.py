@@ -26,28 +26,36 @@ def lon_lat(k: Column) -> tuple[Column, Column]:
     return F.lit(131.9) + town * 0.1 + u * u * u * 0.08, F.lit(43.1) + town * 0.07 + v * v * v * 0.08
 
 
-def accidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order: id, datetime, np, place, parent_region, em_type, light_type, lost, suffer, severity, roads, is_in_region, lon, lat."""
-    people = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.count_if((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 45)).alias("lost"),
-        F.count_if(F.col("l_returnflag") == "A").alias("suffer"),
-        F.min("l_partkey").alias("p_partkey"),
-    )
-    roads = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("roads"))
-    place = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+PLACE, PEOPLE, ROADS = {"np", "place", "parent_region"}, {"lost", "suffer", "severity"}, {"roads"}
+
+
+def accidents(spark: SparkSession, sf_dir: str, *only: str) -> DataFrame:
+    """One row per order: id, datetime, np, place, parent_region, em_type, light_type, lost, suffer, severity, roads, is_in_region, lon, lat.
+
+    With names in `only`, these columns alone, and no table is read that they don't need.
+    """
+    wanted = set(only)
+    needs = lambda part: not only or bool(wanted & part)
+    rows = table(spark, sf_dir, "orders")
+    if needs(PLACE):
+        place = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        rows = rows.join(place, F.col("o_custkey") == F.col("c_custkey"))
+    if needs(PEOPLE | ROADS):
+        people = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+            F.count_if((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 45)).alias("lost"),
+            F.count_if(F.col("l_returnflag") == "A").alias("suffer"),
+            F.min("l_partkey").alias("p_partkey"),
+        )
+        rows = rows.join(people, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    if needs(ROADS):
+        rows = rows.join(table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("roads")), "p_partkey", "left")
     lost, suffer = F.coalesce("lost", F.lit(0)), F.coalesce("suffer", F.lit(0))
     lon, lat = lon_lat(F.col("o_custkey"))
-    return (
-        table(spark, sf_dir, "orders")
-        .join(place, F.col("o_custkey") == F.col("c_custkey"))
-        .join(people, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-        .join(roads, "p_partkey", "left")
-        .select(
-            F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("datetime"), F.col("n_name").alias("np"), F.col("c_mktsegment").alias("place"),
-            F.col("r_name").alias("parent_region"), F.col("o_orderpriority").alias("em_type"), F.col("o_orderstatus").alias("light_type"), lost.alias("lost"), suffer.alias("suffer"),
-            severity_of(lost, suffer).alias("severity"), "roads", (F.col("o_custkey") % 20 != 0).alias("is_in_region"), lon.alias("lon"), lat.alias("lat"),
-        )
-    )
+    columns = {
+        "id": F.col("o_orderkey"), "k": F.col("o_custkey"), "datetime": F.col("o_orderdate"), "np": F.col("n_name"), "place": F.col("c_mktsegment"), "parent_region": F.col("r_name"), "em_type": F.col("o_orderpriority"), "light_type": F.col("o_orderstatus"),
+        "lost": lost, "suffer": suffer, "severity": severity_of(lost, suffer), "roads": F.col("roads"), "is_in_region": F.col("o_custkey") % 20 != 0, "lon": lon, "lat": lat,
+    }
+    return rows.select(*[c.alias(n) for n, c in columns.items() if not only or n in wanted])
 
 
 def brands(spark: SparkSession, sf_dir: str) -> DataFrame:

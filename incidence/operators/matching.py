@@ -32,15 +32,45 @@ def scores() -> dict[str, Column]:
     }
 
 
+def candidates(days: DataFrame, accidents: DataFrame) -> DataFrame:
+    """post_id, day_offset, id, without repeats: pairs of a day that share a place, a brand, a street, or accident type and graveness or kilometre.
+
+    Any pair of over POINTS severity + road_km has one of these: severity and kilometre alone don't reach more. Pairs
+    meet by day and value, so the work is near what is found and not all pairs of a day. Streets and types compare by
+    parts of their names, so their distinct names, which are few, are matched first.
+    """
+    grave = lambda c: F.when(c == "severe_multiple", "severe").otherwise(c)
+    post = lambda kind, value: days.select("post_id", "day_offset", "_day", F.lit(kind).alias("_kind"), value.alias("_value"))
+    own = lambda kind, value: accidents.select("id", "_day", F.lit(kind).alias("_kind"), value.alias("_value"))
+    told_street, street = bare_street(F.col("told")), bare_street(F.col("named"))
+    streets = days.select(F.explode("post_streets").alias("told")).distinct().join(accidents.select(F.col("street").alias("named")).where("named is not null").distinct(), street.contains(told_street) | told_street.contains(street)).where(street != "")
+    types = days.select(F.col("post_em_type").alias("told")).where("told is not null").distinct().join(accidents.select(F.col("em_type").alias("named")).where("named is not null").distinct(), F.lower("named").contains(F.lower("told")))
+    by_street = days.select("post_id", "day_offset", "_day", F.explode("post_streets").alias("told")).join(streets, "told").select("post_id", "day_offset", "_day", F.lit("street").alias("_kind"), F.col("named").alias("_value"))
+    typed = days.join(types, days["post_em_type"] == types["told"]).select("post_id", "day_offset", "_day", "named", "post_severity", "post_kilometers")
+    both = lambda a, b: F.concat_ws("|", a, b)
+    by_type = typed.where("post_severity is not null").select("post_id", "day_offset", "_day", F.lit("severity").alias("_kind"), both("named", grave(F.col("post_severity"))).alias("_value"))
+    near = F.explode(F.flatten(F.transform("post_kilometers", lambda k: F.sequence(F.floor(k).cast("long") - 3, F.floor(k).cast("long") + 3))))
+    by_km = typed.select("post_id", "day_offset", "_day", "named", near.alias("km")).select("post_id", "day_offset", "_day", F.lit("km").alias("_kind"), both("named", F.col("km").cast("string")).alias("_value"))
+    asked = post("np", F.explode("post_locations")).unionByName(post("mark", F.explode(F.transform("post_brands", F.upper)))).unionByName(by_street).unionByName(by_type).unionByName(by_km)
+    held = own("np", F.col("np")).unionByName(own("mark", F.explode(F.transform("vehicle_marks", F.upper)))).unionByName(own("street", F.col("street")))
+    held = held.unionByName(own("severity", both("em_type", grave(F.col("severity"))))).unionByName(own("km", both("em_type", F.floor("road_km").cast("string"))))
+    return asked.join(held, ["_day", "_kind", "_value"]).select("post_id", "day_offset", "id").distinct()
+
+
 def match_posts(posts: DataFrame, accidents: DataFrame, days_before: int = 3, threshold: int = 30) -> DataFrame:
     """Pairs of a post with an accident of its day or the `days_before` days before, scored, at `threshold` at least.
 
-    The interval join becomes an equality join: a post repeats for each of its days. Adds score, score_breakdown
+    The interval join becomes an equality join: a post repeats for each of its days. A threshold that graveness and
+    kilometre alone can reach needs all pairs of a day; else only `candidates` are scored. Adds score, score_breakdown
     (criteria with points), day_offset and place among the post's matches (score, then offset, then id).
     """
     days = posts.withColumn("day_offset", F.explode(F.sequence(F.lit(0), F.lit(days_before))))
     days = days.withColumn("_day", F.date_sub("post_date", F.col("day_offset")))
-    pairs = days.join(accidents.withColumn("_day", F.to_date("datetime")), "_day")
+    dated = accidents.withColumn("_day", F.to_date("datetime"))
+    if threshold > POINTS["severity"] + POINTS["road_km"]:
+        pairs = candidates(days, dated).join(days.drop("_day"), ["post_id", "day_offset"]).join(dated, "id")
+    else:
+        pairs = days.join(dated, "_day")
     each = scores()
     pairs = pairs.withColumns({f"_{k}": v for k, v in each.items()}).withColumn("score", sum((F.col(f"_{k}") for k in each), F.lit(0)))
     kept = pairs.where(F.col("score") >= threshold)

@@ -20,7 +20,7 @@ round(100e0 * count(*) filter (where severity in ('severe', 'severe_multiple', '
 def home_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All accidents, the deadly ones and the shares of deadly and of grave ones."""
     n, dead, grave = F.count(F.lit(1)), F.count_if(F.col("severity") == "dead"), F.count_if(F.col("severity").isin(*GRAVE))
-    return accidents(spark, sf_dir).agg(n.alias("total"), dead.alias("fatal"), percent(dead, n, 1).alias("fatal_pct"), percent(grave, n, 1).alias("grave_pct"))
+    return accidents(spark, sf_dir, "severity").agg(n.alias("total"), dead.alias("fatal"), percent(dead, n, 1).alias("fatal_pct"), percent(grave, n, 1).alias("grave_pct"))
 
 
 @query("select year(o_orderdate) as year, count(*) as n, year(o_orderdate) = (select max(year(o_orderdate)) from orders) as is_partial from orders group by 1")
@@ -55,7 +55,7 @@ columns_ as (select em_type, row_number() over (order by sum(n) desc, em_type) a
 select np, em_type, row_place, column_place, round(100e0 * c.n / r.n, 2) as pct from cells c join rows_ r using (np) join columns_ using (em_type) where row_place <= 8""")
 def np_em_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of accident types in the eight places with the most accidents; rows and columns by their totals."""
-    cells = accidents(spark, sf_dir).groupBy("np", "em_type").agg(F.count(F.lit(1)).alias("n"))
+    cells = accidents(spark, sf_dir, "np", "em_type").groupBy("np", "em_type").agg(F.count(F.lit(1)).alias("n"))
     by_total = lambda c, name, total: cells.groupBy(c).agg(F.sum("n").alias(total)).withColumn(name, F.row_number().over(Window.orderBy(F.desc(total), c)).cast("long"))
     rows = by_total("np", "row_place", "row_n").where("row_place <= 8")  # rows: places and types, of which there are few
     columns = by_total("em_type", "column_place", "column_n").drop("column_n")
@@ -68,7 +68,7 @@ from days left join accidents on isodow(datetime) - 1 = d group by d""")
 def weekday_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Severities from Monday to Sunday; days without accidents have zeros."""
     day = (F.dayofweek("datetime") + 5) % 7
-    kinds = accidents(spark, sf_dir).select(day.alias("d"), F.when(F.col("severity") == "severe_multiple", "severe").otherwise(F.col("severity")).alias("kind"))
+    kinds = accidents(spark, sf_dir, "datetime", "severity").select(day.alias("d"), F.when(F.col("severity") == "severe_multiple", "severe").otherwise(F.col("severity")).alias("kind"))
     cells = kinds.groupBy("d").pivot("kind", ["dead", "severe", "light"]).count()
     every = spark.range(7).withColumnRenamed("id", "d").join(cells, "d", "left")
     name = F.get(F.array(*map(F.lit, WEEKDAYS)), F.col("d").cast("int"))
@@ -108,7 +108,7 @@ def wheel_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes by the side of the wheel; vehicles of which it isn't known are left out."""
     wheel = F.when(F.col("is_right_hand_drive"), "right").when(~F.col("is_right_hand_drive"), "left")
     named = vehicles(spark, sf_dir).select("accident_id", wheel.alias("wheel")).where("wheel is not null")
-    rows = named.join(accidents(spark, sf_dir).select("id", F.when(F.col("severity") == "dead", "dead").otherwise("other").alias("outcome")), F.col("accident_id") == F.col("id"))
+    rows = named.join(accidents(spark, sf_dir, "id", "severity").select("id", F.when(F.col("severity") == "dead", "dead").otherwise("other").alias("outcome")), F.col("accident_id") == F.col("id"))
     return severity_pivot(rows, "wheel")
 
 
@@ -141,7 +141,7 @@ named as (select severity, case when month(datetime) = 1 and day(datetime) = 7 t
 select holiday is not null as is_holiday, holiday, count(*) as n, count(*) filter (where severity = 'dead') as dead from named group by holiday""")
 def holiday_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accidents of each holiday and of all other days, by a calendar that is joined by day."""
-    rows = with_holiday(accidents(spark, sf_dir).select("datetime", "severity"), "datetime", holiday_calendar(spark, 1990, 2030))
+    rows = with_holiday(accidents(spark, sf_dir, "datetime", "severity"), "datetime", holiday_calendar(spark, 1990, 2030))
     return rows.groupBy("is_holiday", "holiday").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("severity") == "dead").alias("dead"))
 
 

@@ -300,12 +300,12 @@ select case when (month(datetime) = 1 and day(datetime) <= 8) or (month(datetime
        severity, count(*) as n from accidents group by all""")
 def holidays_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(fixed_holiday(F.col("datetime")), "holiday").otherwise("weekday")
-    return accidents(spark, sf_dir).groupBy(kind.alias("kind"), "severity").agg(F.count(F.lit(1)).alias("n"))
+    return accidents(spark, sf_dir, "datetime", "severity").groupBy(kind.alias("kind"), "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(ACCIDENTS + " select em_type, year(datetime) as year, severity, count(*) as n from accidents where is_in_region group by all")
 def em_type_year_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_by(accidents(spark, sf_dir).where("is_in_region").withColumn("year", F.year("datetime").cast("long")), "em_type", "year", "severity")
+    return count_by(accidents(spark, sf_dir, "em_type", "datetime", "severity", "is_in_region").where("is_in_region").withColumn("year", F.year("datetime").cast("long")), "em_type", "year", "severity")
 
 
 @query(ACCIDENTS + """
@@ -313,13 +313,13 @@ select em_type, n, gravity, row_number() over (order by gravity desc, em_type) a
   select em_type, count(*) as n, round(100e0 * count(*) filter (where severity in ('severe', 'severe_multiple', 'dead')) / count(*), 4) as gravity from accidents group by em_type)""")
 def gravity_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.count(F.lit(1))
-    rows = accidents(spark, sf_dir).groupBy("em_type").agg(n.alias("n"), percent(F.count_if(F.col("severity").isin("severe", "severe_multiple", "dead")), n).alias("gravity"))
+    rows = accidents(spark, sf_dir, "em_type", "severity").groupBy("em_type").agg(n.alias("n"), percent(F.count_if(F.col("severity").isin("severe", "severe_multiple", "dead")), n).alias("gravity"))
     return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("gravity"), "em_type")).cast("long"))
 
 
 @query(ACCIDENTS + " select round(lat, 3) as lat, round(lon, 3) as lon, count(*) as n from accidents group by 1, 2")
 def heatmap_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return accidents(spark, sf_dir).groupBy(F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon")).agg(F.count(F.lit(1)).alias("n"))
+    return accidents(spark, sf_dir, "lat", "lon").groupBy(F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(ACCIDENTS + """,

@@ -54,6 +54,7 @@ def cut_by_hand(rows, window):
 def test_substrings(spark, monkeypatch, seed, chunk, vocabulary):
     monkeypatch.setattr(substring, "CHUNK", chunk)
     monkeypatch.setattr(substring, "ROWS", 7)
+    monkeypatch.setattr(substring, "BRANCHING", 0 if seed == 1 else 4)
     rows = corpus(seed, vocabulary=vocabulary)
     df = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA + ", spans string")
     found = substring.find_repeats(df, window=8, gram=3)

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+import xxhash
 import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -161,6 +162,17 @@ def test_sharding(spark):
     assert sharding.shard_records(df.limit(0)).count() == 0
 
 
+def test_shards_by_hand(spark):
+    def draw(key, shard):
+        once = xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42)
+        bits = xxhash.xxh64_intdigest(shard.to_bytes(4, "little"), once) >> 11
+        return -math.log((bits + 0.5) / (1 << 53))
+
+    rows = [(k, "t") for k in [*range(-50, 300), 2**60 + 1]]
+    for r in sharding.shard_records(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r["shard"] == min(range(16), key=lambda s: draw(r["doc_id"], s)) and r["grown_shard"] == min(range(17), key=lambda s: draw(r["doc_id"], s))
+
+
 def stats_by_hand(text):
     words = WORD.findall(text or "")
     runs = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]

@@ -19,6 +19,8 @@ from incidence.llm.common import materialize, shared_dir
 #: Fixed values of the seekable format: magic numbers of the skippable frame and of the footer.
 SKIPPABLE, FOOTER = 0x184D2A5E, 0x8F92EAB1
 INDEX = "_key {kind}, record_id string, bundle string, frame int, offset long, length long"
+#: Rows whose payloads are Python objects at a time.
+SLICE = 256
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "page")
 
 
@@ -130,7 +132,7 @@ def write_archives(
             places = [pa.array(c, t) for c, t in zip(zip(*bundle.close(), strict=True), (keys, pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
             return pa.RecordBatch.from_arrays(places, names)
 
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             keys = batch["_key"].type
             for at, link, text, digest, refers in zip(*(batch[c].to_pylist() for c in ("_key", "_url", "_payload", "_digest", "_refers")), strict=True):
                 bundle = bundle or BundleWriter(folder, level)
@@ -156,7 +158,7 @@ def read_archives(index: DataFrame, key: str = "page_id", with_payload: bool = F
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, bundle = "", None
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             found = {"payload_bytes": [], "payload_digest": [], "record_type": [], "refers_to": [], "payload": []}
             for wanted, number, at, length, name in zip(*(batch[c].to_pylist() for c in ("bundle", "frame", "offset", "length", "record_id")), strict=True):
                 if wanted != path:
@@ -165,7 +167,7 @@ def read_archives(index: DataFrame, key: str = "page_id", with_payload: bool = F
                 digest, revisit = warc["warc-payload-digest"].removeprefix("sha256:"), warc["warc-type"] == "revisit"
                 if warc["warc-record-id"] != name or not revisit and hashlib.sha256(payload).hexdigest() != digest:
                     raise ValueError(f"{name} isn't what the index says")
-                row = (int(http["content-length"]), digest, warc["warc-type"], warc.get("x-refers-to-key"), None if revisit else payload)
+                row = (int(http["content-length"]), digest, warc["warc-type"], warc.get("x-refers-to-key"), None if revisit or not with_payload else payload)
                 for column, value in zip(found.values(), row, strict=True):
                     column.append(value)
             kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary())

@@ -83,13 +83,19 @@ class Seeder:
         return prefix, at, grams[at].view(np.int64)
 
 
-#: Places of an anchor that one task extends; more are first extended along their smallest one, in parts.
-CHUNK = 4096
-#: Parts that the places of such an anchor are dealt to.
-PARTS = 64
+#: Contexts of an anchor that one task extends; of anchors that have more, windows meet by hash.
+CHUNK = 1 << 16
+#: Documents whose hashes (8 bytes each) are sent to every task, so that the texts of no others are moved to meet what is known of them.
+FEW_DOCUMENTS = 1 << 22
+#: Shared anchors (8 bytes each) that are sent to every task, so that the documents' anchors need not move to meet them.
+FEW_ANCHORS = 1 << 22
 #: Contexts that are compared at a time.
 ROWS = 1 << 14
-_OCCURRENCE = "seed long, _key long, _id binary, place int, context binary"
+#: Contexts whose windows are worked out at a time.
+SLICE = 512
+#: Times by which a task's branches may outgrow its contexts before their windows are compared instead.
+BRANCHING = 4
+_PLACE = "seed long, _key long, _id binary, place int, before int, after int, context binary"
 
 
 def _equal_words(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -121,27 +127,93 @@ def _branches(group: np.ndarray, left: np.ndarray, right: np.ndarray, l: np.ndar
     return np.concatenate(at), np.concatenate(groups)
 
 
+def _classes(group: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each row the first one of its group with the same context."""
+    mixed = group.copy()
+    for side in (left, right):
+        for j in range(side.shape[1]):
+            mixed = splitmix(mixed ^ side[:, j])
+    order = np.lexsort((np.arange(len(group)), mixed, group))
+    same = group[order][1:] == group[order][:-1]
+    for side in (left, right):
+        same &= np.concatenate([(side[order[i + 1 : i + 1 + ROWS]] == side[order[i : i + ROWS][: len(order) - 1 - i]]).all(axis=1) for i in range(0, len(order) - 1, ROWS)] or [same[:0]])
+    starts = np.flatnonzero(np.r_[True, ~same])
+    head = np.empty(len(group), np.int64)
+    head[order] = order[starts][np.cumsum(np.r_[True, ~same]) - 1]
+    return head
+
+
+def _prefixes(words: np.ndarray) -> np.ndarray:
+    """Hashes of the first 0, 1, ... words of each row."""
+    out = np.zeros((len(words), words.shape[1] + 1), np.uint64)
+    for j in range(words.shape[1]):
+        out[:, j + 1] = splitmix(out[:, j] + words[:, j] + np.uint64(0x9E3779B97F4A7C15))
+    return out
+
+
+def _windows(left: np.ndarray, right: np.ndarray, around: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(l, rows, hash of the l words before, hash of the words after) for each window that holds an anchor."""
+    own_l, own_r = np.count_nonzero(left, axis=1), np.count_nonzero(right, axis=1)
+    before, after = _prefixes(left), _prefixes(right)
+    for l in range(around + 1):  # noqa: E741
+        rows = np.flatnonzero((own_l >= l) & (own_r >= around - l))
+        yield l, rows, before[rows, l], after[rows, around - l]
+
+
+def _by_windows(group: np.ndarray, key: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, l, r) of all windows that a smaller key of the group has too, by their hashes; rows are sorted by key in a group."""
+    found, around = [], left.shape[1]
+    for l, rows, one, two in _windows(left, right, around):  # noqa: E741
+        order = np.lexsort((rows, two, one, group[rows]))
+        same = np.r_[False, (group[rows][order][1:] == group[rows][order][:-1]) & (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])]
+        head = rows[order][np.flatnonzero(~same)[np.cumsum(~same) - 1]] if len(rows) else rows
+        hit = rows[order][key[rows[order]] > key[head]]
+        found.append((hit, np.full(len(hit), l), np.full(len(hit), around - l)))
+    return found
+
+
 def extend(group: np.ndarray, key: np.ndarray, left: np.ndarray, right: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, l, r): the repeats of `window` words at least that places make with smaller keys, l words before and r after their anchor.
 
-    Rows are sorted by group and key. A group's places are extended along its first one, and where some of them may
-    agree with each other beyond that, in branches of the group, until nothing is left to compare.
+    Rows are sorted by group and key. Places with equal contexts are settled by the first of them, and have its repeats
+    if they have its key. A group's contexts are extended along its first one, and where some of them may agree with
+    each other beyond that, in branches of the group, until nothing is left to compare. In texts that go round in
+    circles branches multiply; the windows of what is left then are compared by hash, all of a group at once.
     """
-    found = []
-    row = np.arange(len(group))
+    if not len(group):
+        return (np.zeros(0, np.int64),) * 3
+    head = _classes(group, left, right)
+    own_l, own_r = np.count_nonzero(left, axis=1), np.count_nonzero(right, axis=1)
+    later = np.flatnonzero((key > key[head]) & (own_l + gram + own_r >= window))
+    whole, found = (later, own_l[later], own_r[later]), []
+    heads = np.flatnonzero(head == np.arange(len(head)))
+    row, root = heads, group
+    group = group[row]
     while len(row):
+        if len(row) > BRANCHING * len(heads):
+            rest = heads[np.isin(root[heads], root[row])]
+            found += [(rest[at], l, r) for at, l, r in _by_windows(root[rest], key[rest], left[rest], right[rest])]  # noqa: E741
+            break
         fresh = np.r_[True, group[1:] != group[:-1]]
-        head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-        first, last = key[row[head]], np.maximum.reduceat(key[row], np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
-        useful = (first < last) & (np.arange(len(row)) != head)
-        row, group, along = row[useful], group[useful], row[head][useful]
+        first = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+        low, high = key[row[first]], np.maximum.reduceat(key[row], np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
+        useful = (low < high) & (np.arange(len(row)) != first)
+        row, group, along = row[useful], group[useful], row[first][useful]
         l, r = _grown(left, right, row, along)  # noqa: E741
         hit = (key[row] > key[along]) & (l + gram + r >= window)
         found.append((row[hit], l[hit], r[hit]))
         at, branch = _branches(group, left[row], right[row], l, r)
         order = np.lexsort((row[at], branch))
         row, group = row[at][order], branch[order]
-    return tuple(np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in range(3))
+    told = [np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in range(3)]
+    # What a context has, all places with it have that have its key.
+    members = np.flatnonzero(key == key[head])
+    members = members[np.argsort(head[members], kind="stable")]
+    from_, to = (np.searchsorted(head[members], told[0], side=s) for s in ("left", "right"))
+    counts = to - from_
+    at = np.repeat(from_ - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum()) if len(counts) else from_
+    told = members[at], np.repeat(told[1], counts), np.repeat(told[2], counts)
+    return tuple(np.concatenate([a, b]) for a, b in zip(whole, told, strict=True))
 
 
 def _contexts(column: pa.Array, before: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,13 +222,6 @@ def _contexts(column: pa.Array, before: int) -> tuple[np.ndarray, np.ndarray]:
     return words[:, :before], words[:, before:]
 
 
-def _spans(table: pa.Table | pa.RecordBatch, row: np.ndarray, l: np.ndarray, r: np.ndarray, gram: int) -> pa.RecordBatch:  # noqa: E741
-    place = table["place"].to_numpy()[row]
-    at = pa.array(row)
-    columns = [table["_key"].take(at), table["_id"].take(at), pa.array((place - l).astype(np.int32)), pa.array((place + gram + r).astype(np.int32))]
-    return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], ["_key", "_id", "from", "to"])
-
-
 def _extended(gram: int, window: int):
     """Batches sorted by seed and key -> the repeats of their places."""
 
@@ -175,49 +240,58 @@ def _extended(gram: int, window: int):
 
     def one(table: pa.Table) -> pa.RecordBatch:
         left, right = _contexts(table["context"], window - gram)
-        return _spans(table, *extend(table["seed"].to_numpy().view(np.uint64), table["_key"].to_numpy(), left, right, gram, window), gram)
+        row, l, r = extend(table["seed"].to_numpy().view(np.uint64), table["_key"].to_numpy(), left, right, gram, window)  # noqa: E741
+        found = table.select(["_key", "members"]).take(pa.array(row)).append_column("l", pa.array(l.astype(np.int32))).append_column("r", pa.array(r.astype(np.int32)))
+        return found.combine_chunks().to_batches()[0] if found.num_rows else pa.RecordBatch.from_pylist([], schema=found.schema)
 
     return run
 
 
-def _split_hot(rows: DataFrame, gram: int, window: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(places, repeats): places of anchors that have too many of them, told apart into branches of at most CHUNK.
+_MEMBERS = "array<struct<_id:binary,place:int>>"
 
-    All places of an anchor are extended along its smallest one, which is dealt to the parts of its group. Places that
-    agree with it over their whole context are done then.
-    """
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = _contexts(batch["context"], window - gram)
-            along = _contexts(batch["first"].field("context"), window - gram)
-            l, r = _equal_words(left, along[0]), _equal_words(right, along[1])  # noqa: E741
-            hit = (batch["_key"].to_numpy() > batch["first"].field("_key").to_numpy()) & (l + gram + r >= window)
-            at, branch = _branches(batch["seed"].to_numpy().view(np.uint64), left, right, l, r)
-            order = np.argsort(at, kind="stable")
-            counts = np.bincount(at, minlength=batch.num_rows)
-            branches = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(branch[order].view(np.int64)))
-            place = batch["place"].to_numpy()
-            start, end = pa.array((place - l).astype(np.int32), mask=~hit), pa.array((place + gram + r).astype(np.int32), mask=~hit)
-            names = ["_key", "_id", "place", "context", "from", "to", "branches"]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names[:4]), start, end, branches], names)
-
-    cool, found = [], []
-    while True:
-        first = rows.groupBy("seed").agg(F.min(F.struct("_key", "_id", "place", "context")).alias("first"))
-        first = materialize(first, "first-places").select("seed", "first", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part"))
-        dealt = rows.withColumn("_part", F.pmod(F.xxhash64("_id", "place"), F.lit(PARTS)).cast("int")).join(first, ["seed", "_part"])
-        dealt = dealt.where((F.col("first._key") != F.col("_key")) | (F.col("first._id") != F.col("_id")) | (F.col("first.place") != F.col("place")))
-        out = materialize(dealt.select("seed", "_key", "_id", "place", "context", "first").mapInArrow(step, "_key long, _id binary, place int, context binary, from int, to int, branches array<long>"), "branches")
-        found.append(out.where("from is not null").select("_key", "_id", "from", "to"))
-        again = out.select(F.explode("branches").alias("seed"), "_key", "_id", "place", "context")
-        sizes = again.groupBy("seed").agg(F.count(F.lit(1)).alias("_n"), F.min("_key").alias("_a"), F.max("_key").alias("_b")).where("_n > 1 and _a < _b")
-        sizes = materialize(sizes.select("seed", "_n"), "branch-sizes")
-        cool.append(again.join(sizes.where(F.col("_n") <= CHUNK).select("seed"), "seed"))
-        if sizes.where(F.col("_n") > CHUNK).isEmpty():
-            break
-        rows = materialize(again.join(sizes.where(F.col("_n") > CHUNK).select("seed"), "seed"), "places")
-    return reduce(DataFrame.unionByName, cool), found
+def _split_hot(places: DataFrame, gram: int, window: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(contexts, repeats): anchors with too many places.
+
+    Equal contexts are settled by the smallest key that has them. Anchors of which CHUNK contexts at most are left go on
+    as others do; of the rest, each of the windows around a place meets its like by 128 bits of hash, in an aggregate
+    that is combined before it is dealt, and again in a join.
+    """
+    around = window - gram
+    places = materialize(places.withColumn("_class", F.md5("context")), "places")
+    least = places.groupBy("seed", "_class").agg(F.min("_key").alias("_least"))
+    marked = places.join(least, ["seed", "_class"])
+    later = marked.where((F.col("_key") > F.col("_least")) & (F.col("before") + gram + F.col("after") >= window))
+    whole = later.select("_key", F.array(F.struct("_id", "place")).alias("members"), F.col("before").alias("l"), F.col("after").alias("r"))
+    rows = marked.where("_key = _least").groupBy("seed", "_class", "_key").agg(F.collect_list(F.struct("_id", "place")).alias("members"), F.first("context").alias("context"))
+    rows = materialize(rows.select("seed", "_key", "members", "context", F.monotonically_increasing_id().alias("_row")), "contexts")
+    sizes = rows.groupBy("seed").agg((F.count(F.lit(1)) > CHUNK).alias("_many"))
+    rows = rows.join(sizes, "seed")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
+            left, right = _contexts(batch["context"], around)
+            seed, parts = batch["seed"].to_numpy().view(np.uint64), list(_windows(left, right, around))
+            row = np.concatenate([p[1] for p in parts])
+            l = np.repeat(np.arange(around + 1), [len(p[1]) for p in parts])  # noqa: E741
+            one, two = (np.concatenate([p[i] for p in parts]) for i in (2, 3))
+            one, two = splitmix(one + seed[row]), splitmix(two + l.astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([batch["_row"].take(pa.array(row)), batch["_key"].take(pa.array(row)), pa.array(l.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["_row", "_key", "l", "one", "two"])
+
+    told = rows.where("_many").select("seed", "_row", "_key", "context").mapInArrow(windows, "_row long, _key long, l int, one long, two long")
+    first = told.groupBy("one", "two").agg(F.min("_key").alias("_first"), F.max("_key").alias("_last")).where("_first < _last").select("one", "two", "_first")
+    # All windows of a place hold its anchor, so what they cover together has no gap.
+    hits = told.join(first, ["one", "two"]).where("_key > _first").groupBy("_row").agg(F.max("l").alias("l"), (F.lit(around) - F.min("l")).alias("r"))
+    found = rows.where("_many").select("_row", "_key", "members").join(hits, "_row").select("_key", "members", "l", "r")
+    return rows.where("not _many").select("seed", "_key", "members", "context"), [whole, found]
+
+
+def _beside(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """`docs` joined with the rows of `known`, which has some of their keys and ids and lies in files."""
+    if known.count() <= FEW_DOCUMENTS:
+        wanted = known.select(F.xxhash64("_key", "_id").alias("_hash")).distinct()
+        docs = docs.join(F.broadcast(wanted), F.xxhash64("_key", "_id") == F.col("_hash"), "left_semi")
+    return docs.join(known.hint("merge"), ["_key", "_id"])
 
 
 def documents(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -279,14 +353,14 @@ def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window:
             for row, words in documents(batch):
                 _, at, hashes = seeder.seeds(words)
                 own = np.isin(hashes, known[row].values.to_numpy())
-                at, hashes = at[own], hashes[own]
+                at, hashes, size = at[own], hashes[own], len(words)
                 second = seeder.two.runs(seeder.two.prefix(words), gram)[at]
                 padded = np.r_[edge[:around], words, edge]
                 for i in range(0, len(at), ROWS):
                     part = slice(i, i + ROWS)
                     rows.append(np.full(len(at[part]), row))
                     seeds.append(splitmix(hashes[part].view(np.uint64) + second[part]).view(np.int64))
-                    places.append(at[part])
+                    places.append(np.stack([at[part], np.minimum(at[part], around), np.minimum(size - gram - at[part], around)]))
                     contexts.append(padded[at[part][:, None] + offsets])
                     held += len(at[part])
                     if held >= ROWS:
@@ -299,8 +373,8 @@ def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window:
         at, blob = pa.array(np.concatenate(rows)), np.concatenate(contexts).astype("<u8")
         cuts = np.arange(len(blob) + 1, dtype=np.int32) * (16 * around)
         column = pa.Array.from_buffers(pa.binary(), len(blob), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(blob))])
-        columns = [pa.array(np.concatenate(seeds)), batch["_key"].take(at), batch["_id"].take(at), pa.array(np.concatenate(places).astype(np.int32)), column]
-        return pa.RecordBatch.from_arrays(columns, ["seed", "_key", "_id", "place", "context"])
+        columns = [pa.array(np.concatenate(seeds)), batch["_key"].take(at), batch["_id"].take(at), *map(pa.array, np.concatenate(places, axis=1).astype(np.int32)), column]
+        return pa.RecordBatch.from_arrays(columns, ["seed", "_key", "_id", "place", "before", "after", "context"])
 
     seeds = materialize(docs.mapInArrow(seeds_of, "_key long, _id binary, n_words long, words_sha256 string, seeds array<long>, counts array<int>"), "anchors")
     whole = seeds.where(F.col("_key").isNotNull() & (F.col("n_words") >= window))
@@ -311,19 +385,23 @@ def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window:
     shared = materialize(shared, "shared-anchors")
 
     def places(anchors: DataFrame) -> DataFrame:
-        known = alone.join(anchors.select("seed"), "seed").groupBy("_key", "_id").agg(F.collect_set("seed").alias("shared"))
-        return docs.join(known, ["_key", "_id"]).mapInArrow(places_of, _OCCURRENCE)
+        seeds = anchors.select("seed")
+        seeds = F.broadcast(seeds) if anchors.count() <= FEW_ANCHORS else seeds
+        known = alone.join(seeds, "seed").groupBy("_key", "_id").agg(F.collect_set("seed").alias("shared"))
+        return _beside(docs, materialize(known, "known-documents")).mapInArrow(places_of, _PLACE)
 
     hot = shared.where("hot")
-    rows, found = places(shared.where("not hot")), []
+    rows, found = places(shared.where("not hot")).select("seed", "_key", F.array(F.struct("_id", "place")).alias("members"), "context"), []
     if not hot.isEmpty():
-        cool, found = _split_hot(materialize(places(hot), "places"), gram, window)
+        cool, found = _split_hot(places(hot), gram, window)
         rows = rows.unionByName(cool)
     rows = rows.repartition("seed").sortWithinPartitions("seed", "_key")
-    found.append(rows.mapInArrow(_extended(gram, window), "_key long, _id binary, from int, to int"))
-    merged = reduce(DataFrame.unionByName, found).groupBy("_key", "_id").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("parts"))
-    merged = merged.select("_key", "_id", merged_spans(F.col("parts")).alias("spans"))
-    texts = docs.select("_key", "_id", F.col("_text").alias("text")).join(merged, ["_key", "_id"]).dropDuplicates(["_key", "_id"])
+    found.append(rows.mapInArrow(_extended(gram, window), f"_key long, members {_MEMBERS}, l int, r int"))
+    told = reduce(DataFrame.unionByName, found).select("_key", "l", "r", F.inline("members"))
+    parts = F.struct((F.col("place") - F.col("l")).alias("from"), (F.col("place") + gram + F.col("r")).alias("to"))
+    merged = told.groupBy("_key", "_id").agg(F.sort_array(F.collect_set(parts)).alias("parts"))
+    merged = materialize(merged.select("_key", "_id", merged_spans(F.col("parts")).alias("spans")), "spans")
+    texts = _beside(docs.withColumnRenamed("_text", "text"), merged).dropDuplicates(["_key", "_id"])
     gone = copied.where("_copy").dropDuplicates(["_key", "_id"])
     gone = gone.select("_key", "_id", F.lit(None).cast("string").alias("text"), F.array(F.struct(F.lit(0).alias("from"), F.col("n_words").cast("int").alias("to"))).alias("spans"))
     spans = texts.unionByName(gone).select(F.col("_key").alias(key), "_id", "text", "spans")

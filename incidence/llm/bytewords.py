@@ -29,6 +29,15 @@ def _lowered(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def span_hashes(blob: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _VALUE) -> np.ndarray:
+    """The hash of each span starts .. ends (its last byte): equal bytes, equal hashes."""
+    # A span's polynomial: the sum over its bytes of value * factor^place, moved to place 0.
+    _POWERS.reach(len(blob))
+    sums = np.cumsum(values[blob] * _POWERS.up[: len(blob)], dtype=np.uint64)
+    before = np.where(starts > 0, sums[starts - 1], np.uint64(0)) if len(starts) else sums[:0]
+    return splitmix((sums[ends] - before) * _POWERS.down[starts])
+
+
 @dataclass
 class Block:
     """Texts first .. first + len(bounds) - 2 of a column: word hashes, and where each text's words start."""
@@ -38,6 +47,9 @@ class Block:
     bounds: np.ndarray
     line: np.ndarray | None  # of each word: number of newlines before it in its text
     lines: np.ndarray | None  # of each text: number of newlines
+    blob: np.ndarray  # the texts' bytes
+    cuts: np.ndarray  # where each text's bytes start
+    starts: np.ndarray  # of each word: its first byte
 
 
 class _Powers:
@@ -84,15 +96,11 @@ def _block(first: int, blob: np.ndarray, cuts: np.ndarray, separators: np.ndarra
     ends_flag = inside.copy()
     ends_flag[:-1] &= starts_flag[1:] | ~inside[1:]
     starts, ends = np.flatnonzero(starts_flag), np.flatnonzero(ends_flag)
-    # A word's polynomial: the sum over its bytes of value * factor^place, moved to place 0.
-    _POWERS.reach(len(blob))
-    sums = np.cumsum(values[blob] * _POWERS.up[: len(blob)], dtype=np.uint64)
-    before = np.where(starts > 0, sums[starts - 1], np.uint64(0)) if len(starts) else sums[:0]
-    hashes = splitmix((sums[ends] - before) * _POWERS.down[starts])
+    hashes = span_hashes(blob, starts, ends, values)
     line = lines = None
     if with_lines:
         count = np.r_[0, np.cumsum(blob == NEWLINE)]
         bounds = np.searchsorted(starts, cuts)
         lines = count[cuts[1:]] - count[cuts[:-1]]
         line = count[starts] - np.repeat(count[cuts[:-1]], np.diff(bounds))
-    return Block(first, hashes, np.searchsorted(starts, cuts), line, lines)
+    return Block(first, hashes, np.searchsorted(starts, cuts), line, lines, blob, cuts, starts)

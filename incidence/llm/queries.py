@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incidence.llm import chat, decontamination, lines, packing, quality, sharding, simhash, substring, urls, warc
+from incidence.llm import attention, audit, chat, decontamination, lines, packing, quality, repair, sharding, simhash, substring, urls, warc
 
 #: The url rules.
 URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
@@ -78,6 +78,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(_table(spark, sf_dir, "documents"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_conversations(repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
 def url_fixed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op3 that fixed rules decide."""
     pages = _table(spark, sf_dir, "pages")
@@ -103,6 +115,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_sharding": op10_sharding,
+    "op11_quality_classifier": op11_quality_classifier,
+    "op12_filter_interaction_audit": op12_filter_interaction_audit,
+    "op13_conversation_repair": op13_conversation_repair,
     "url_fixed_rules": url_fixed_rules,
     "quality_base": quality_base,
 }
@@ -164,6 +179,72 @@ judged as (
 select doc_id, coalesce(string_agg(number::varchar, ',' order by number) filter (where gone), '') as removed_lines, count(*) filter (where gone) as n_removed,
        sha256(coalesce(string_agg(line, chr(10) order by number) filter (where not gone), '')) as kept_sha256
 from judged group by doc_id
+""",
+    "op12_filter_interaction_audit": r"""
+with d as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as body, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents),
+l as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id),
+f as (
+  select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic, {
+    'A': len(words) < 200, 'B': 100 * len(list_distinct(words)) < 50 * len(words), 'C': 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 2 * length(body),
+    'D': regexp_matches(body, '[#$%&*|]'), 'E': coalesce(d.doc_id > min(d.doc_id) over (partition by body), false)} as t
+  from d left join l on d.doc_id = l.doc_id),
+bits as (select part, good, toxic, [t.A, t.B, t.C, t.D, t.E] as fails, count(*) as n from f group by all),
+n5 as (from (values (1, 'A'), (2, 'B'), (3, 'C'), (4, 'D'), (5, 'E')) x(k, letter)),
+orders as (
+  select a.letter || b.letter || c.letter || e.letter || g.letter as filter_order, [a.k, b.k, c.k, e.k, g.k] as ks
+  from n5 a, n5 b, n5 c, n5 e, n5 g where len(list_distinct([a.k, b.k, c.k, e.k, g.k])) = 5),
+steps as (select filter_order, step, ks[step] as k, ks[1 : step - 1] as earlier from orders, range(1, 6) s(step)),
+told as (
+  select part, filter_order, step, k, good, toxic, n, fails[k] as failing, len(list_filter(earlier, lambda i: fails[i])) > 0 as gone, len(list_filter(fails, lambda x: x)) = 1 and fails[k] as alone
+  from bits, steps),
+summed as (
+  select part, filter_order, step, k, coalesce(sum(n) filter (where not failing and not gone), 0)::bigint as kept, coalesce(sum(n) filter (where failing and not gone), 0)::bigint as removed,
+         coalesce(sum(n) filter (where failing and gone), 0)::bigint as redundant, coalesce(sum(n) filter (where alone), 0)::bigint as unique_fails,
+         coalesce(sum(n) filter (where failing and not gone and good), 0)::bigint as good_lost, coalesce(sum(n) filter (where failing and not gone and toxic), 0)::bigint as toxic_lost
+  from told group by part, filter_order, step, k)
+select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) over (partition by part, k)::bigint as shapley from summed
+""",
+    "op13_conversation_repair": r"""
+with recursive bits as (select n, n::bigint as c, 0 as i from range(256) t(n) union all select n, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i + 1 from bits where i < 8),
+tbl as (select list(c order by n) as t from bits where i = 8),
+named as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as name from conversations),
+hashed as (
+  select conv_id, turn, role, text, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(name) + 1), lambda i: ord(name[i])::bigint)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 as hit from named, tbl),
+rows as (
+  select conv_id, turn, case when hit = 4 then 'user' else role end as role, case when hit = 1 then '' when hit = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from hashed, range(case hit when 0 then 0 when 3 then 2 else 1 end) copy),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from rows),
+seen as (select *, row_number() over (partition by conv_id, role, text order by i) > 1 as again, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) as final from placed),
+turns as (
+  select conv_id, i, turn, role, text, substr(role, 1, 1) as initial, case when final = '' then 'B' when again then 'D' when final not in ('.', '!', '?') then 'T' else '-' end as fault,
+         lag(substr(role, 1, 1)) over (partition by conv_id order by i) as before from seen),
+counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (where fault = 'B') as blank, count(*) filter (where fault = 'D') as duplicate,
+         count(*) filter (where fault = 'T') as truncated, count(*) filter (where before is not null and before || initial not in ('su', 'ua', 'au')) as illegal from turns group by conv_id),
+inserts as (from (values (0, 0, '', []), (0, 2, 'I', ['user:']), (0, 3, 'II', ['user:', 'assistant:']), (1, 1, '', []), (1, 2, 'I', ['user:']), (1, 3, 'II', ['user:', 'assistant:']), (2, 2, '', []), (2, 3, 'I', ['assistant:']), (3, 3, '', []), (3, 2, 'I', ['user:'])) x(a, b, letters, said)),
+follows as (from (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)) x(a, initial, b)),
+edits as (
+  select conv_id, i, a, b, cost, letter, said from (
+    select conv_id, i, s.a as a, s.a as b, 4 as cost, 'D' as letter, [] as said from turns, (from (values (0), (1), (2), (3)) x(a)) s
+    union all select conv_id, i, f.a, f.b, case when fault = 'T' then 3 else 0 end, 'K', [role || ':' || text] from turns join follows f using (initial) where fault not in ('B', 'D')
+    union all select conv_id, i, s.a, s.b, case when fault = 'T' then 6 else 3 end, 'R', [s.name || ':' || text] from turns, (from (values (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')) x(a, b, name)) s where fault not in ('B', 'D'))),
+moves as (
+  select conv_id, i, n.a, e.b, e.cost + 3 * length(letters) as cost, letters || letter as audit, list_concat(n.said, e.said) as said from edits e join inserts n on e.a = n.b),
+paths as (
+  select conv_id, 0::bigint as i, 0 as state, {'cost': 0::bigint, 'audit': ''} as best, []::varchar[] as said from (select distinct conv_id from turns)
+  union all
+  select p.conv_id, p.i + 1, m.b, min({'cost': p.best.cost + m.cost, 'audit': p.best.audit || m.audit}), arg_min(list_concat(p.said, m.said), {'cost': p.best.cost + m.cost, 'audit': p.best.audit || m.audit})
+  from paths p join moves m on p.conv_id is not distinct from m.conv_id and m.i = p.i + 1 and m.a = p.state group by p.conv_id, p.i, m.b),
+ends as (
+  select p.conv_id, {'cost': best.cost + 3 * length(letters), 'audit': best.audit || letters} as best, list_concat(p.said, n.said) as said
+  from paths p join inserts n on n.a = p.state and n.b in (0, 3) where p.i = (select count(*) from turns t where t.conv_id is not distinct from p.conv_id)),
+chosen as (select conv_id, min(best) as best, arg_min(said, best) as said from ends group by conv_id)
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+       coalesce(h.best.cost, 0)::bigint as cost, coalesce(h.best.audit, '') as audit, sha256(coalesce(array_to_string(h.said, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join counts c on o.conv_id is not distinct from c.conv_id left join chosen h on o.conv_id is not distinct from h.conv_id
 """,
     "url_fixed_rules": r"""
 with cut as (select page_id, url, position('://' in url) as pos from pages),

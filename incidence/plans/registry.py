@@ -14,6 +14,7 @@ from incidence.plans import (  # noqa: F401  the modules register their queries
     spatial,
     statistics,
     text,
+    topics,
     training,
 )
 

@@ -2,6 +2,7 @@
 
 from incidence.plans.base import QUERIES, SQL  # noqa: F401
 from incidence.plans import (  # noqa: F401  the modules register their queries
+    boosted,
     bulletins,
     dashboards,
     endpoints,

@@ -132,11 +132,12 @@ def fit_rules(sample: DataFrame, max_rules: int = 8, max_conditions: int = 3, mi
     `sample` has the statistics and boolean low. Spark bins every feature at quantiles of either label and midway between, and counts
     labels by bin vector and fold: the driver sees one cell per row of the bounded sample at most. A rule grows on the
     larger fold by the condition with the highest information gain (of equal ones, the threshold farthest from the
-    other rows), loses its last conditions as long as the other fold says so, and is kept if its precision on both
-    folds holds; its rows leave both. No or one-sided labels: no rules.
+    other rows), loses its last conditions as long as the other fold says so and those that turn no row away, and is kept
+    if its precision on both folds holds; its rows leave both. A rule that doesn't hold bars its first condition, and
+    the next best one is grown, so that one weak rule doesn't end the list. No or one-sided labels: no rules.
     """
     named = features()
-    rows = materialize(sample.select("low", F.pmod(F.hash(*STATS), F.lit(3)).alias("fold"), *[c.alias(k) for k, c in named.items()]), "labelled")
+    rows = materialize(sample.select("low", F.pmod(F.hash(*STATS, "n_upper"), F.lit(3)).alias("fold"), *[c.alias(k) for k, c in named.items()]), "labelled")
     points = rows.groupBy("low").agg(*[F.percentile_approx(k, list(QUANTILES), 10_000).alias(k) for k in named]).collect()
     found = {k: sorted({float(x) for r in points for x in r[k] or []}) for k in named}
     cuts = {k: sorted({*v, *((a + b) / 2 for a, b in zip(v, v[1:], strict=False))}) for k, v in found.items()}
@@ -157,6 +158,8 @@ def fit_rules(sample: DataFrame, max_rules: int = 8, max_conditions: int = 3, mi
     def bits(p: float, n: float) -> float:
         return math.log2((p + 1e-9) / (p + n + 1e-9))
 
+    barred: set[tuple[str, bool, int]] = set()
+
     def next_condition(grown: list) -> tuple[str, bool, int] | None:
         inside = [c for c in cells if not c[1] and fits(c[0], grown)]
         p0, n0 = sum(c[2] for c in inside), sum(c[3] for c in inside)
@@ -170,6 +173,8 @@ def fit_rules(sample: DataFrame, max_rules: int = 8, max_conditions: int = 3, mi
             for at in range(len(cuts[k])):
                 p, n = p + low[at], n + high[at]
                 for above, a, b in ((True, p0 - p, n0 - n), (False, p, n)):
+                    if not grown and (k, above, at) in barred:
+                        continue
                     g = a * (bits(a, b) - bits(p0, n0)) if a else 0.0
                     if g > gain or above and g == gain:
                         best, gain = (k, above, at), g
@@ -184,9 +189,14 @@ def fit_rules(sample: DataFrame, max_rules: int = 8, max_conditions: int = 3, mi
             break
         worth = lambda pn: (pn[0] - pn[1]) / max(pn[0] + pn[1], 1)
         rule = max((grown[:i] for i in range(len(grown), 0, -1)), key=lambda r: worth(hits(r, True)))
-        (p, n), (q, m) = hits(rule, False), hits(rule, True)
+        both = lambda r: (*hits(r, False), *hits(r, True))
+        for condition in list(rule):
+            if len(rule) > 1 and both(shorter := [c for c in rule if c != condition]) == both(rule):
+                rule = shorter
+        p, n, q, m = both(rule)
         if p + q < min_rows or (precision := (p + q) / (p + q + n + m)) < min_precision:
-            break
+            barred.add(grown[0])
+            continue
         rules.append(Rule(tuple(Condition(k, above, cuts[k][at]) for k, above, at in rule), precision))
         cells = [c for c in cells if not fits(c[0], rule)]
     return rules
@@ -195,9 +205,10 @@ def fit_rules(sample: DataFrame, max_rules: int = 8, max_conditions: int = 3, mi
 def quality_verdicts(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", max_labelled: int = 20_000) -> DataFrame:
     """All columns of `df`, the statistics, base_failed and kept (false if base_failed, else the learned list's verdict).
 
-    `max_labelled` bounds the labelled rows that the list is learned from. Without labels only the base rule rejects.
+    `max_labelled` bounds the labelled rows that the list is learned from; of these, rows that pass the base rule count.
+    Without labels only the base rule rejects.
     """
-    rules = fit_rules(with_statistics(labelled_sample(df.select(key, text), labels, max_labelled, key), text))
+    rules = fit_rules(with_statistics(labelled_sample(df.select(key, text), labels, max_labelled, key), text).where(~base_failed()))
     out = with_statistics(df, text).withColumn("base_failed", base_failed())
     return out.withColumn("kept", ~F.col("base_failed") & verdict(rules))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from incidence.functions.geo import haversine, inside
 from incidence.functions.text import flattened
 from incidence.model import severity_of
+from incidence.sources.jsonarray import read_array
 
 PERSON = "PART_TYPE string, SEX string, SAFETY_BELT string, V_ST int, ALCO double"
 VEHICLE = f"N_TS int, MARK_TS string, MODEL_TS string, G_V int, COLOR_TS string, T_TS string, PERSONS array<struct<{PERSON}>>"
@@ -23,6 +24,12 @@ def read_incidents(spark: SparkSession, path: str, region: str | None = None, mu
     return rows if region is None else rows.where(F.exists("REGIONS", lambda r: r.contains(region)))
 
 
+def read_incident_array(spark: SparkSession, path: str, region: str | None = None, split: int = 64 << 20) -> DataFrame:
+    """What `read_incidents` gives for one JSON array, in tasks of `split` bytes; elements that can't be of the region aren't parsed."""
+    rows = read_array(spark, path, INCIDENT, region or "", split)
+    return rows if region is None else rows.where(F.exists("REGIONS", lambda r: r.contains(region)))
+
+
 def coordinates(lat: Column, lon: Column, point: Column) -> tuple[Column, Column]:
     """Latitude and longitude from their fields or else the point; exchanged where they only fit that way; else null."""
     y, x = F.coalesce(F.expr("try_cast(LAT as double)") if lat is None else lat, F.get(point, 0)), F.coalesce(F.expr("try_cast(LNG as double)") if lon is None else lon, F.get(point, 1))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from incidence.functions.geo import METRES_PER_DEGREE, haversine, haversine_sql, inside, inside_sql, project
 from incidence.model import accidents, lon_lat, table, with_roles
+from incidence.operators import polygons
 from incidence.operators.clustering import dbscan
 from incidence.operators.ranks import numbered, quantiles
 from incidence.operators.recommend import profile, profile_sql, recommend, recommend_sql
@@ -238,3 +239,38 @@ def hotspot_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     close = (F.abs(F.col("lon") - F.col("t_lon")) < 0.014) & (F.abs(F.col("lat") - F.col("t_lat")) < 0.01)
     left = spots.where("n >= 8").withColumns({"sx": x, "sy": y})
     return left.join(dealt, (F.col("sx") == F.col("cx")) & (F.col("sy") == F.col("cy")) & close, "left_anti").orderBy(F.desc("n"), "spot").limit(30).select("spot", "n")
+
+
+#: Two regions around the towns, the first with a hole, whose rings have a point per customer.
+_RINGS = """
+numbered as (select c_custkey as k, row_number() over (order by c_custkey) - 1 as i, count(*) over () as n from customer),
+shaped as (
+  select case when k % 4 = 3 then 1 else 0 end as polygon, case when k % 4 = 2 then 1 else 0 end as ring, k as nr, 2 * pi() * i / n as turn,
+         case when k % 4 = 2 then 0.08e0 when k % 4 = 3 then 0.12e0 else 0.3e0 end * (0.6e0 + 0.4e0 * (k * 37 % 101) / 101) as far,
+         case when k % 4 = 3 then 132.6e0 else 132.2e0 end as x, case when k % 4 = 3 then 43.5e0 else 43.3e0 end as y from numbered),
+corners as (select polygon, ring, nr, round(x + far * cos(turn), 6) as lon, round(y + far * sin(turn), 6) as lat from shaped),
+edges as (
+  select polygon, lon as x1, lat as y1, coalesce(lead(lon) over w, first(lon) over w) as x2, coalesce(lead(lat) over w, first(lat) over w) as y2
+  from corners window w as (partition by polygon, ring order by nr rows between unbounded preceding and unbounded following))"""
+
+
+def corner_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regions' rings as `read_boundary` gives them: polygon, ring, nr, lon, lat."""
+    k, kind = F.col("c_custkey"), F.col("c_custkey") % 4
+    keys = numbered(table(spark, sf_dir, "customer").select("c_custkey"), [k], "_place")
+    n = keys.count()
+    turn, far = 2 * F.pi() * (F.col("_place") - 1) / F.lit(n), F.when(kind == 2, 0.08).when(kind == 3, 0.12).otherwise(0.3) * (F.lit(0.6) + F.lit(0.4) * (k * 37 % 101) / 101)
+    x, y = F.when(kind == 3, 132.6).otherwise(132.2), F.when(kind == 3, 43.5).otherwise(43.3)
+    return keys.select(F.when(kind == 3, 1).otherwise(0).alias("polygon"), F.when(kind == 2, 1).otherwise(0).alias("ring"), k.alias("nr"), F.round(x + far * F.cos(turn), 6).alias("lon"), F.round(y + far * F.sin(turn), 6).alias("lat"))
+
+
+@query(with_roles("accidents") + "," + _RINGS + """,
+hits as (select id, polygon, count(*) as n from accidents join edges on (y1 > lat) <> (y2 > lat) and lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 group by all),
+held as (select id, list(polygon order by polygon) as polygons from hits where n % 2 = 1 group by id)
+select a.id, coalesce(array_to_string(polygons, ','), '') as polygons from accidents a left join held on a.id = held.id""")
+def boundary_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regions that hold each accident, by an index over the edges of their rings."""
+    index = polygons.index_of(polygons.ring_edges(corner_points(spark, sf_dir)))
+    points = accidents(spark, sf_dir, "id", "lon", "lat")
+    held = polygons.containing(points, index).groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("polygon")).cast("array<string>"), ",").alias("polygons"))  # at most one per region
+    return points.select("id").join(held, "id", "left").select("id", F.coalesce("polygons", F.lit("")).alias("polygons"))

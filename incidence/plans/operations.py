@@ -9,6 +9,7 @@ from incidence.model import table
 from incidence.plans.base import query
 from incidence.sources.files import new_rows, upserted
 from incidence.streaming.daily import run_daily_counts
+from incidence.streaming.lookback import event_sides, event_stream, look_back, run_look_back
 
 
 @query("""
@@ -53,3 +54,13 @@ def journal_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_tumbling_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts by a stream over the events, the same as in batch."""
     return run_daily_counts(spark, f"{sf_dir}/events.parquet")
+
+
+@query("""
+select p.event_id as post_id, p.user_id, p.ts as posted, c.event_id as incident_id, c.ts as happened from events p join events c on p.user_id = c.user_id and c.ts <= p.ts and c.ts >= p.ts - interval 3 days
+where p.event_type = 'purchase' and c.event_type = 'click'""")
+def stream_look_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every purchase with its user's clicks of the three days before, told by a join of two streams."""
+    pairs = look_back(*event_sides(event_stream(spark, f"{sf_dir}/events.parquet")), "user_id")
+    out = run_look_back(pairs, spark)
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("posted", "happened")})

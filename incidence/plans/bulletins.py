@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from incidence.functions import entities
-from incidence.functions.places import locations, place_names
+from incidence.functions.places import locations
 from incidence.functions.text import INCIDENT_NEGATIVE, INCIDENT_STRONG, INCIDENT_WEAK, incident_filter, normalized
 from incidence.model import table
 from incidence.operators.matching import GOLD, HIGH
@@ -72,11 +72,9 @@ def incident_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def extracted(posts: DataFrame) -> DataFrame:
     """All entities of each `text` as columns beside the posts' own, and how many there are."""
-    text = F.col("text")
-    rows = posts.withColumns({
-        "ages": entities.ages(text), "vehicles": entities.brands(text), "times": entities.times(text), "experience": entities.experience(text), "kilometres": entities.kilometres(text), "streets": entities.streets(text),
-        "place_names": place_names(text), "em_type": entities.expected_em_type(text), "severity": entities.expected_severity(text), "organisations": entities.organisations(text), "spans": entities.name_spans(text),
-    })
+    text, found = F.col("text"), ("ages", "vehicles", "times", "experience", "kilometres", "streets", "place_names", "em_type", "severity")
+    rows = posts.withColumn("_read", entities.read(text))
+    rows = rows.withColumns({**{c: F.col(f"_read.{c}") for c in found}, "organisations": entities.organisations(text), "spans": entities.name_spans(text)}).drop("_read")
     rows = rows.withColumns({"locations": locations(F.col("place_names")), "persons": entities.persons(F.col("spans"), text, F.col("vehicles.matched"))}).drop("spans")
     counted = ("ages", "vehicles", "times", "experience", "kilometres", "place_names", "organisations", "persons")
     return rows.withColumn("n_entities", sum((F.size(c) for c in counted), F.lit(0)))

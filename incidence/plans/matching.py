@@ -39,13 +39,11 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.unionByName(turns).unionByName(told)
 
 
-def entities_of(rows: DataFrame) -> DataFrame:
-    """All entities of each `text`, in one projection; other columns stay."""
-    text = F.col("text")
-    return rows.select(
-        *[c for c in rows.columns if c != "text"], entities.ages(text).alias("ages"), entities.brands(text).alias("vehicles"), entities.times(text).alias("times"), entities.experience(text).alias("experience"), entities.kilometres(text).alias("kilometers"),
-        entities.streets(text).alias("streets"), entities.expected_em_type(text).alias("em_type"), entities.expected_severity(text).alias("severity"),
-    )
+def entities_of(rows: DataFrame, listed: tuple[str, ...] = entities.LISTED_BRANDS) -> DataFrame:
+    """All entities of each `text`, which is read once; other columns stay. `listed` are brands beside the posts' own."""
+    found = ("ages", "vehicles", "times", "experience", "kilometres", "streets", "em_type", "severity")
+    read = rows.withColumn("_read", entities.read(F.col("text"), listed))
+    return read.select(*[c for c in rows.columns if c != "text"], *[F.col(f"_read.{c}").alias("kilometers" if c == "kilometres" else c) for c in found])
 
 
 def ages_of(rows: DataFrame) -> DataFrame:

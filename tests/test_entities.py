@@ -113,3 +113,64 @@ def test_match_scores(spark):
     assert got[1]["score"] == 30 + 30 + 20 + 15 + 50 + 10 and got[1]["place"] == 1
     assert got[2]["score"] == 30 and got[2]["score_breakdown"] == {"np": 30}
     assert {r["id"] for r in match_posts(posts, accidents, threshold=60).collect()} == {1}
+
+
+def test_reading_equals_the_column_rules(spark):
+    """One pass of the automaton finds what the rules over columns find, word by word."""
+    import random
+
+    from incidence.functions.places import LOCATIONS, place_names
+    from incidence.functions.text import INCIDENT_NEGATIVE, INCIDENT_STRONG, INCIDENT_WEAK, first_group, incident_filter
+
+    rng = random.Random(9)
+    words = [*INCIDENT_NEGATIVE[:6], *INCIDENT_STRONG, *INCIDENT_WEAK, *LOCATIONS, *(w for _, g in entities.EM_TYPES + entities.SEVERITIES for w in g), "и", "Камень-", "xx", "Ёлка", "İ", "-", ",", "сбил"]
+    texts = ["", None] + ["".join(rng.choice(words).capitalize() + rng.choice([" ", " ", "", ", ", "-"]) for _ in range(rng.randint(1, 12))) for _ in range(600)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    text = F.coalesce("t", F.lit(""))
+    r = entities.read(F.col("t"))
+    pairs = {
+        "is_match": incident_filter(text)["is_match"], "keywords": incident_filter(text)["keywords"], "place_names": place_names(text),
+        "em_type": first_group(text, entities.EM_TYPES), "severity": first_group(text, entities.SEVERITIES),
+    }
+    out = rows.select("t", r.alias("r"), *[c.alias(f"{k}_c") for k, c in pairs.items()]).collect()
+    for row in out:
+        assert {k: row["r"][k] for k in pairs} == {k: row[f"{k}_c"] for k in pairs}, row["t"]
+
+
+def test_listed_brands():
+    assert len(set(entities.LISTED_BRANDS)) == len(entities.LISTED_BRANDS) == 199
+    find = entities.brand_finder(entities.LISTED_BRANDS)
+    for brand in entities.LISTED_BRANDS:
+        assert find(f"автомобиль {brand.lower()}, столкновение")[0][0] == brand.upper()
+    assert [b for b, _, _ in find("Land Rover и Rover, Мазда; тойота")] == ["LAND ROVER", "ROVER", "ROVER", "MAZDA", "TOYOTA"]
+    assert find("мотоциклист Аско") == []
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("63-летний водитель", [(63, "водитель")]), ("47 лет водитель ехал", [(47, "водитель")]), ("44 года женщина", [(44, "женщин")]), ("Пострадавший в возрасте 47 лет был", [(47, "?")]),
+        ("150-летний дед, 0-летний малыш", []), ("12 - летний мальчик", []), ("1234-летний дуб", []), ("7‐летняя и 9-летнего Ученика", [(7, "?"), (9, "ученика")]), ("в возрасте", []), ("5 лет стажа", []),
+    ],
+)
+def test_age_grammar(text, want):
+    assert [(a, c) for a, c, _ in entities.find_ages(text)] == want
+
+
+@pytest.mark.parametrize(
+    "text, times, experience, kilometres",
+    [
+        ("В 7:00 и 23:45, 24:00, 10:20:30, 1:5", [(7, 0), (23, 45), (24, 0), (10, 20)], [], []),
+        ("около 12.30; в 12.27 КоАП, в 12.24 ч. 1, в 8.15 ч утра; 9.40", [(12, 30), (8, 15)], [], []),
+        ("стаж - 5 лет, стажем 28 лет; стаж вождения составил 12 лет. Стаж 100 лет, стаж большой, 3 года", [], [5, 28, 12], []),
+        ("599 км, 82 КМ и 120км, 12345 км, 5 километров", [], [], [599, 82, 120]),
+    ],
+)
+def test_number_grammar(text, times, experience, kilometres):
+    found = entities.read_text(text)
+    assert [(t["hour"], t["minute"]) for t in found["times"]] == times and found["experience"] == experience and found["kilometres"] == kilometres
+
+
+def test_street_grammar():
+    found = entities.read_text("на улице Шилкинская, ул. Светланской, пр-кт 100 лет, пр. Красного Знамени, переулке Тихий и шоссе Северное; улица без имени; бульвара Гагарина-Южный Второй Третий Четвёртый")
+    assert found["streets"] == ["б-р Гагарина-Южный Второй Третий", "пер Тихий", "пр-кт Красного Знамени", "ул Светланской", "ул Шилкинская", "ш Северное"]

@@ -67,8 +67,20 @@ def normalized(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"https?://\S+", " "), r"\s+", " "))
 
 
+def json_strings(text: Column) -> Column:
+    """A JSON text of any form as an array of strings: a list's elements, or the one value; null for null, SQL's or JSON's.
+
+    Strings come bare, other values as JSON writes them; null elements are left out. What is no JSON is one string.
+    """
+    value = F.try_parse_json(text)
+    string = lambda v: F.try_variant_get(v, "$", "string")
+    many = F.filter(F.transform(F.try_variant_get(value, "$", "array<variant>"), string), lambda x: x.isNotNull())
+    return F.when(value.isNull(), F.when(text.isNotNull(), F.array(text))).when(~F.is_variant_null(value), F.coalesce(many, F.array(string(value))))
+
+
 def flattened(text: Column) -> Column:
     """A message's text from JSON: a string, or a list of strings and segments with a text, put together; else empty."""
-    parts = F.from_json(text, "array<string>")
-    whole = F.array_join(F.transform(parts, lambda p: F.coalesce(F.get_json_object(p, "$.text"), p)), "")
-    return F.trim(F.when(F.ltrim(text).startswith("["), whole).otherwise(F.coalesce(F.get_json_object(F.concat(F.lit('{"t":'), text, F.lit("}")), "$.t"), F.lit(""))))
+    value = F.try_parse_json(text)
+    part = lambda v: F.coalesce(F.try_variant_get(v, "$.text", "string"), F.try_variant_get(v, "$", "string"))
+    many = F.array_join(F.transform(F.try_variant_get(value, "$", "array<variant>"), part), "")
+    return F.trim(F.coalesce(many, F.try_variant_get(value, "$", "string"), F.lit("")))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from incidence.functions.geo import METRES_PER_DEGREE, haversine, haversine_sql, inside, inside_sql, project
+from incidence.functions.geodesic import geodesic, geodesic_sql
+from incidence.functions.geodesic import project as project_ellipsoid
 from incidence.model import accidents, lon_lat, table, with_roles
 from incidence.operators import polygons
 from incidence.operators.clustering import dbscan
@@ -274,3 +276,12 @@ def boundary_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = accidents(spark, sf_dir, "id", "lon", "lat")
     held = polygons.containing(points, index).groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("polygon")).cast("array<string>"), ",").alias("polygons"))  # at most one per region
     return points.select("id").join(held, "id", "left").select("id", F.coalesce("polygons", F.lit("")).alias("polygons"))
+
+
+@query("with " + POINTS_SQL + ",\n" + geodesic_sql("points", "43.3e0", "132.2e0", "lat", "lon", "id") + """
+select id, round(metres, 3) as metres, round(azimuth, 6) as azimuth, round(metres * sin(radians(azimuth)), 2) as x, round(metres * cos(radians(azimuth)), 2) as y from geodesics""")
+def geodesic_polar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's place from the middle of the region on the ellipsoid: distance, bearing, and the map around the middle."""
+    lon, lat = lon_lat(F.col("c_custkey"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), geodesic(F.lit(43.3), F.lit(132.2), lat, lon).alias("g"), project_ellipsoid(lat, lon, 43.3, 132.2).alias("p"))
+    return rows.select("id", F.round("g.metres", 3).alias("metres"), F.round("g.azimuth", 6).alias("azimuth"), F.round("p.x", 2).alias("x"), F.round("p.y", 2).alias("y"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from incidence.functions.text import NEGATIVE, STRONG, WEAK, keyword_filter, normalized
+from incidence.functions.text import NEGATIVE, STRONG, WEAK, json_strings, keyword_filter, normalized
 from incidence.model import table
 from incidence.operators.vectors import nearest
 from incidence.plans.base import query
@@ -148,3 +148,19 @@ def flatten_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments put together in order, as a post's text is from its parts."""
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("parts"), F.sum(F.char_length("text").cast("long")).alias("chars"))
     return rows.select("conv_id", F.md5(F.array_join("parts.text", "").cast("binary")).alias("whole_md5"), F.size("parts").cast("long").alias("n"), "chars")
+
+
+_MIXED = """
+mixed as (select event_id, case event_id % 8 when 0 then null when 1 then '[]' when 2 then '["' || event_type || '", ' || user_id || ', null, true]' when 3 then '"' || event_type || '"' when 4 then user_id::varchar
+  when 5 then props when 6 then 'null' else event_type || ' [no JSON' end as v from events)"""
+
+
+@query("with " + _MIXED + """
+select event_id, case when v is null or v = 'null' then null when not json_valid(v) then v
+  when json_type(v) = 'ARRAY' then array_to_string(list_filter(v::json ->> '$[*]', lambda x: x is not null), '|') when json_type(v) = 'VARCHAR' then v::json ->> '$' else replace(v, ' ', '') end as strings from mixed""")
+def normalized_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON of many forms as lists of strings."""
+    kind, who, what = F.col("event_id") % 8, F.col("user_id").cast("string"), F.col("event_type")
+    mixed = F.when(kind == 1, "[]").when(kind == 2, F.concat(F.lit('["'), what, F.lit('", '), who, F.lit(", null, true]"))).when(kind == 3, F.concat(F.lit('"'), what, F.lit('"'))).when(kind == 4, who)
+    mixed = mixed.when(kind == 5, F.col("props")).when(kind == 6, "null").when(kind == 7, F.concat(what, F.lit(" [no JSON")))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(json_strings(mixed), "|").alias("strings"))

@@ -174,3 +174,14 @@ def test_number_grammar(text, times, experience, kilometres):
 def test_street_grammar():
     found = entities.read_text("на улице Шилкинская, ул. Светланской, пр-кт 100 лет, пр. Красного Знамени, переулке Тихий и шоссе Северное; улица без имени; бульвара Гагарина-Южный Второй Третий Четвёртый")
     assert found["streets"] == ["б-р Гагарина-Южный Второй Третий", "пер Тихий", "пр-кт Красного Знамени", "ул Светланской", "ул Шилкинская", "ш Северное"]
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [(None, None), ("null", None), ("[]", []), ('["a", 1, null, true, {"k": 2}]', ["a", "1", "true", '{"k":2}']), ('"x"', ["x"]), ("5", ["5"]), ('{"k": "v"}', ['{"k":"v"}']), ("Дождь", ["Дождь"]), ("[broken", ["[broken"]), ("", [""]), ('[["a"], []]', ['["a"]', "[]"])],
+)
+def test_json_strings(spark, text, want):
+    from incidence.functions.text import json_strings
+
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(json_strings(F.col("t")).alias("x")).first()["x"] == want

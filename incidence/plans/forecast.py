@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from incidence.model import table
+from incidence.operators.trend import forecast, origins, scored
 from incidence.plans.base import query
 
 
@@ -131,3 +132,20 @@ def forecast_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
         row = errors(found.join(daily.select("day", F.col("y").cast("double").alias("actual")), "day")).withColumn("origin", F.date_format(cut, "yyyy-MM-dd"))
         out = row if out is None else out.unionByName(row)
     return out if out is not None else errors(daily.select(F.col("y").alias("actual"), F.col("y").alias("predicted"))).withColumn("origin", F.lit(None).cast("string")).limit(0)
+
+
+def daily_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """series, day, y, lockdown: daily counts of each type of accident and of all, dense over the days of the whole table."""
+    rows = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day"), F.explode(F.array("o_orderpriority", F.lit("all"))).alias("series"))
+    counts = rows.groupBy("series", "day").agg(F.count(F.lit(1)).alias("n"))
+    days = rows.agg(F.explode(F.sequence(F.min("day"), F.max("day"))).alias("day"))
+    grid = days.crossJoin(F.broadcast(counts.select("series").distinct()))  # days by a handful of types
+    return grid.join(counts, ["series", "day"], "left").select("series", "day", F.coalesce("n", F.lit(0)).alias("y"), in_lockdown(F.col("day")).alias("lockdown"))
+
+
+@query()
+def forecast_changepoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors and the band's coverage of each type's forecasts from every sliding origin, all fitted in one job."""
+    told = forecast(origins(daily_by_type(spark, sf_dir), ["series"]), "cutoff", ["series"], ["lockdown"])
+    out = scored(told, ["series", "cutoff"])
+    return out.select("series", F.date_format("cutoff", "yyyy-MM-dd").alias("origin"), "days", *[F.round(c, 4).alias(c) for c in ("mae", "rmse", "mape", "coverage")])

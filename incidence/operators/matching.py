@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from incidence.sources.files import materialize
+
 #: Points per criterion.
 POINTS = {"np": 30, "street": 30, "em_type": 20, "severity": 15, "mark": 25, "marks_most": 50, "road_km": 10}
 HIGH, GOLD = 60, 90
@@ -32,19 +34,38 @@ def scores() -> dict[str, Column]:
     }
 
 
+def _grams(name: Column) -> Column:
+    """All parts of one to three characters."""
+    parts = F.transform(F.sequence(F.lit(1), F.char_length(name)), lambda i: F.array(*[F.substring(name, i, n) for n in (1, 2, 3)]))
+    return F.array_distinct(F.flatten(parts))
+
+
+def holding(long: DataFrame, short: DataFrame, a: str, b: str) -> DataFrame:
+    """Rows of `long` and `short` where the text `a` holds the text `b`, both not empty.
+
+    They meet by the first three characters of `b` (all, if it has fewer), which must be among the parts of `a`: an
+    equality join instead of all pairs.
+    """
+    parts = long.where(F.col(a) != "").withColumn("_gram", F.explode(_grams(F.col(a))))
+    starts = short.where(F.col(b) != "").withColumn("_gram", F.substring(b, 1, 3))
+    return parts.join(starts, "_gram").where(F.col(a).contains(F.col(b))).drop("_gram")
+
+
 def candidates(days: DataFrame, accidents: DataFrame) -> DataFrame:
     """post_id, day_offset, id, without repeats: pairs of a day that share a place, a brand, a street, or accident type and graveness or kilometre.
 
     Any pair of over POINTS severity + road_km has one of these: severity and kilometre alone don't reach more. Pairs
     meet by day and value, so the work is near what is found and not all pairs of a day. Streets and types compare by
-    parts of their names, so their distinct names, which are few, are matched first.
+    parts of their names, so their distinct names are matched first.
     """
     grave = lambda c: F.when(c == "severe_multiple", "severe").otherwise(c)
     post = lambda kind, value: days.select("post_id", "day_offset", "_day", F.lit(kind).alias("_kind"), value.alias("_value"))
     own = lambda kind, value: accidents.select("id", "_day", F.lit(kind).alias("_kind"), value.alias("_value"))
-    told_street, street = bare_street(F.col("told")), bare_street(F.col("named"))
-    streets = days.select(F.explode("post_streets").alias("told")).distinct().join(accidents.select(F.col("street").alias("named")).where("named is not null").distinct(), street.contains(told_street) | told_street.contains(street)).where(street != "")
-    types = days.select(F.col("post_em_type").alias("told")).where("told is not null").distinct().join(accidents.select(F.col("em_type").alias("named")).where("named is not null").distinct(), F.lower("named").contains(F.lower("told")))
+    told = days.select(F.explode("post_streets").alias("told")).distinct().withColumn("_told", bare_street(F.col("told")))
+    named = accidents.select(F.col("street").alias("named")).where("named is not null").distinct().withColumn("_named", bare_street(F.col("named")))
+    streets = holding(named, told, "_named", "_told").unionByName(holding(told, named, "_told", "_named")).select("told", "named").distinct()
+    told_types = days.select(F.col("post_em_type").alias("told")).where("told is not null").distinct().withColumn("_told", F.lower("told"))
+    types = holding(accidents.select(F.col("em_type").alias("named")).where("named is not null").distinct().withColumn("_named", F.lower("named")), told_types, "_named", "_told").select("told", "named")
     by_street = days.select("post_id", "day_offset", "_day", F.explode("post_streets").alias("told")).join(streets, "told").select("post_id", "day_offset", "_day", F.lit("street").alias("_kind"), F.col("named").alias("_value"))
     typed = days.join(types, days["post_em_type"] == types["told"]).select("post_id", "day_offset", "_day", "named", "post_severity", "post_kilometers")
     both = lambda a, b: F.concat_ws("|", a, b)
@@ -54,6 +75,10 @@ def candidates(days: DataFrame, accidents: DataFrame) -> DataFrame:
     asked = post("np", F.explode("post_locations")).unionByName(post("mark", F.explode(F.transform("post_brands", F.upper)))).unionByName(by_street).unionByName(by_type).unionByName(by_km)
     held = own("np", F.col("np")).unionByName(own("mark", F.explode(F.transform("vehicle_marks", F.upper)))).unionByName(own("street", F.col("street")))
     held = held.unionByName(own("severity", both("em_type", grave(F.col("severity"))))).unionByName(own("km", both("em_type", F.floor("road_km").cast("string"))))
+    # Every street holds one whose name is empty.
+    unnamed = F.exists("post_streets", lambda s: bare_street(s) == "")
+    asked = asked.unionByName(days.where(unnamed).select("post_id", "day_offset", "_day", F.lit("any street").alias("_kind"), F.lit("").alias("_value")))
+    held = held.unionByName(accidents.where(bare_street(F.col("street")) != "").select("id", "_day", F.lit("any street").alias("_kind"), F.lit("").alias("_value")))
     return asked.join(held, ["_day", "_kind", "_value"]).select("post_id", "day_offset", "id").distinct()
 
 
@@ -66,7 +91,7 @@ def match_posts(posts: DataFrame, accidents: DataFrame, days_before: int = 3, th
     """
     days = posts.withColumn("day_offset", F.explode(F.sequence(F.lit(0), F.lit(days_before))))
     days = days.withColumn("_day", F.date_sub("post_date", F.col("day_offset")))
-    dated = accidents.withColumn("_day", F.to_date("datetime"))
+    dated = materialize(accidents.withColumn("_day", F.to_date("datetime")))  # every way to meet reads it
     if threshold > POINTS["severity"] + POINTS["road_km"]:
         pairs = candidates(days, dated).join(days.drop("_day"), ["post_id", "day_offset"]).join(dated, "id")
     else:

@@ -185,3 +185,18 @@ def test_json_strings(spark, text, want):
 
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(json_strings(F.col("t")).alias("x")).first()["x"] == want
+
+
+def test_streets_meet_by_parts_of_their_names(spark):
+    """Candidates lose no pair that all pairs of a day would give, whatever part of a name the other one is."""
+    from incidence.operators.matching import holding
+
+    names = ["ул Светланская", "ул Новосветланская улица", "ул Све", "ул С", "ул ", "ш Северное", "пер Северное-2", "", None]
+    posts = spark.createDataFrame([(i, "2024-05-10", [], [], [n], [], None, None) for i, n in enumerate(names) if n is not None], "post_id long, post_date string, post_locations array<string>, post_kilometers array<int>, post_streets array<string>, post_brands array<string>, post_em_type string, post_severity string").withColumn("post_date", F.to_date("post_date"))
+    accidents = spark.createDataFrame([(i, "2024-05-09 10:00:00", None, None, n, None, None, []) for i, n in enumerate(names)], "id long, datetime string, np string, road_km double, street string, severity string, em_type string, vehicle_marks array<string>").withColumn("datetime", F.col("datetime").cast("timestamp_ntz"))
+    bare = lambda s: s.split(" ", 1)[1].lstrip().lower() if " " in s else s.lower()
+    want = {(i, j) for i, a in enumerate(names) for j, b in enumerate(names) if a is not None and b is not None and bare(b) and (bare(a) in bare(b) or bare(b) in bare(a))}
+    got = {(r["post_id"], r["id"]) for r in match_posts(posts, accidents, threshold=30).collect()}
+    assert got == want and {(r["post_id"], r["id"]) for r in match_posts(posts, accidents, threshold=25).collect()} == want
+    long, short = (spark.createDataFrame([(x,) for x in xs], f"{c} string") for c, xs in (("a", ["abcd", "ab", "", "xabcx"]), ("b", ["abc", "b", "", "abcde"])))
+    assert {tuple(r) for r in holding(long, short, "a", "b").collect()} == {("abcd", "abc"), ("abcd", "b"), ("ab", "b"), ("xabcx", "abc"), ("xabcx", "b")}

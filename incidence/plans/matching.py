@@ -68,11 +68,11 @@ def ner_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts made from every fiftieth accident, a day or two late, against all accidents."""
+    """Posts made from every accident, up to two days late, against all accidents."""
     marks = vehicles(spark, sf_dir).groupBy("accident_id").agg(F.sort_array(F.collect_set("mark")).alias("vehicle_marks"))
     rows = accidents(spark, sf_dir).join(marks, F.col("id") == F.col("accident_id"), "left")
     rows = rows.select("id", "datetime", "np", (F.col("k") % 100).alias("road_km"), F.concat(F.lit("ul "), "place").alias("street"), "severity", "em_type", F.coalesce("vehicle_marks", F.array().cast("array<string>")).alias("vehicle_marks"))
-    told = rows.where("id % 50 = 0").select(
+    told = rows.select(
         F.col("id").alias("post_id"), F.date_add(F.to_date("datetime"), (F.col("id") % 3).cast("int")).alias("post_date"), F.array("np").alias("post_locations"), F.array(F.col("road_km") + 1).alias("post_kilometers"),
         F.array("street").alias("post_streets"), F.slice("vehicle_marks", 1, 2).alias("post_brands"), F.substring("em_type", 3, 20).alias("post_em_type"), F.col("severity").alias("post_severity"),
     )
@@ -82,7 +82,7 @@ def match_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 MATCH_SQL = with_roles("accidents", "vehicles") + """,
 marks as (select accident_id, list_sort(list_distinct(list(mark))) as marks from vehicles group by accident_id),
 acc as (select id, datetime, np, k % 100 as road_km, place as street, severity, em_type, coalesce(marks, []) as marks from accidents left join marks on id = accident_id),
-post as (select id as post_id, datetime::date + (id % 3)::int as post_date, np as p_np, road_km + 1 as p_km, street as p_street, marks[1:2] as p_marks, substr(em_type, 3, 20) as p_em, severity as p_sev from acc where id % 50 = 0),
+post as (select id as post_id, datetime::date + (id % 3)::int as post_date, np as p_np, road_km + 1 as p_km, street as p_street, marks[1:2] as p_marks, substr(em_type, 3, 20) as p_em, severity as p_sev from acc),
 pairs as (
   select post_id, id, post_date - datetime::date as day_offset, case when np = p_np then 30 else 0 end + case when contains(lower(street), lower(p_street)) or contains(lower(p_street), lower(street)) then 30 else 0 end
     + case when contains(lower(em_type), lower(p_em)) then 20 else 0 end + case when replace(severity, '_multiple', '') = replace(p_sev, '_multiple', '') then 15 else 0 end

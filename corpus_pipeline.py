@@ -1,4 +1,8 @@
-"""The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, packing."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, packing.
+
+All stages but the last return the columns of their input, whatever these are called. Texts of any length are taken whole; a
+null text is empty; rows with a null key and repeated rows are documents of their own; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -15,27 +19,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and the list learned from `labels`."""
+    """Documents that pass the base rule and the list learned from `labels`; null, empty and short texts fail the base rule."""
     return quality.kept_rows(docs, _table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that resemble an earlier line; n_chars follows the text."""
+    """All documents, without lines that resemble an earlier line (by key, then place); n_chars, if there is one, follows the text."""
     return lines.dedup_lines(docs, min_words=1).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id."""
+    """Of each group of near-duplicates the document with the smallest id, one row of it; texts without words are alike."""
     return simhash.one_of_each(docs, similarity=0.8, shingle=5)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of `benchmark`."""
+    """Documents that hold no item of `benchmark`; texts without words hold none."""
     return decontamination.without_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token pieces and their places in packed sequences."""
+    """The documents' token pieces and their places in packed sequences; a document without text is its end token."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 

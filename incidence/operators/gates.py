@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 #: The most a forecast may be off in percent, and what a severity model must reach.
 MOST_MAPE, LEAST_F1, MOST_ECE = 30.0, 0.50, 0.06
 VERSIONS = "model_name string, version_path string, is_current boolean, trained_rows long, metadata string"
-JOURNAL = "task string, status string, started_at timestamp, duration_ms long, error string"
+JOURNAL = "task string, status string, started_at timestamp, duration_ms long, error string, payload string"
+#: Characters of an error that the journal keeps.
+ERROR_CHARS = 8_000
 
 
 class GateError(RuntimeError):
@@ -68,24 +70,27 @@ def current_artifacts(spark: SparkSession, folder: str, readers: Mapping[str, Ca
     return {name: read(spark, paths[name]) if name in paths else None for name, read in readers.items()}
 
 
-def run_chain(spark: SparkSession, steps: Mapping[str, Callable[[SparkSession], object]], journal: str, needed: tuple[str, ...] = ()) -> dict[str, str]:
+def run_chain(spark: SparkSession, steps: Mapping[str, Callable[[SparkSession], object]], journal: str, needed: tuple[str, ...] = (), payload: Mapping[str, object] | None = None) -> dict[str, str]:
     """Runs steps in order and appends each to the journal (JSON files): name -> done, failed or skipped.
 
-    A step that fails doesn't stop the others, but for those after a failed step that is in `needed`.
+    A step that fails doesn't stop the others, but for those after a failed step that is in `needed`. A step's entry has
+    `payload`, what is known of the run, and over it what the step gives back, if that is a mapping, as JSON.
     """
     states: dict[str, str] = {}
     for name, step in steps.items():
-        began, error = datetime.now(timezone.utc), None
+        began, error, told = datetime.now(timezone.utc), None, dict(payload or {})
         if any(states.get(n) in ("failed", "skipped") for n in needed if n != name):
             states[name] = "skipped"
         else:
             try:
-                step(spark)
+                given = step(spark)
+                told |= given if isinstance(given, Mapping) else {}
                 states[name] = "done"
             except Exception as e:
-                states[name], error = "failed", str(e)[:500]
+                states[name], error = "failed", str(e)[:ERROR_CHARS]
         took = int((datetime.now(timezone.utc) - began).total_seconds() * 1000)
-        spark.createDataFrame([(name, states[name], began, took, error)], JOURNAL).coalesce(1).write.mode("append").json(journal)
+        noted = json.dumps(told, ensure_ascii=False, default=str) if told else None
+        spark.createDataFrame([(name, states[name], began, took, error, noted)], JOURNAL).coalesce(1).write.mode("append").json(journal)
     return states
 
 

@@ -39,6 +39,20 @@ def test_chain(spark, tmp_path):
     assert spark.read.schema(gates.JOURNAL).json(journal).count() == 5
 
 
+def test_journal_payload_and_long_errors(spark, tmp_path):
+    import json
+
+    journal = f"file://{tmp_path}/journal"
+
+    def fails(_):
+        raise ValueError("x" * 9_000)
+
+    gates.run_chain(spark, {"load": lambda s: {"added": 3, "source": "new"}, "plain": lambda s: 5, "bad": fails}, journal, payload={"source": "api", "run": 1})
+    rows = {r["task"]: r for r in spark.read.schema(gates.JOURNAL).json(journal).collect()}
+    assert json.loads(rows["load"]["payload"]) == {"source": "new", "run": 1, "added": 3} and json.loads(rows["plain"]["payload"]) == {"source": "api", "run": 1}
+    assert len(rows["bad"]["error"]) == 8_000 and rows["load"]["error"] is None
+
+
 def test_due():
     monday = datetime(2024, 4, 1, 7)
     assert gates.due(monday, {}) == list(gates.CADENCES) and gates.due(monday.replace(hour=2), {}) == []

@@ -48,10 +48,10 @@ def _asked(queries: DataFrame, *columns: str) -> Iterator[tuple]:
             yield context.broadcast((dealt["id"].to_numpy(), _matrix(dealt["v"]), *(dealt[c].to_numpy() for c in columns)))
 
 
-def neighbours(vectors: DataFrame, m: int) -> DataFrame:
-    """a, b, d, n: for each of `vectors` (id, v, n) its m nearest others by (distance, id), and their n.
+def neighbours(vectors: DataFrame, m: int, queries: DataFrame | None = None) -> DataFrame:
+    """a, b, d, n: for each of `queries` (id, v; all of `vectors` if not given) its m nearest others of `vectors` (id, v, n) by (distance, id), and their n.
 
-    Every vector is asked, in blocks, against all; a task keeps m rows for each query of a block.
+    Queries are asked, in blocks, against all; a task keeps m rows for each query of a block.
     """
 
     def search(sent):
@@ -78,7 +78,7 @@ def neighbours(vectors: DataFrame, m: int) -> DataFrame:
 
     near = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
     out = None
-    for sent in _asked(vectors):
+    for sent in _asked(vectors if queries is None else queries):
         rows = materialize(vectors.select("id", "v", "n").mapInArrow(search(sent), "a long, b long, d double, n long").withColumn("_place", near).where(F.col("_place") <= m).drop("_place"))
         sent.unpersist()
         out = rows if out is None else out.unionByName(rows)

@@ -17,6 +17,7 @@ from incidence.plans import (  # noqa: F401  the modules register their queries
     text,
     topics,
     training,
+    tuning,
 )
 
 FLAGSHIP = "dangerous_roads"

@@ -38,20 +38,22 @@ def _first(rows: DataFrame, key: str, order: list[Column | str], by: Column, k:
 
 
 def _met(k: int):
-    """Batches of groups (ids, vectors, fresh) -> a, b, d: each member's nearest k of the group, pairs without a fresh member left out."""
+    """Batches of groups (ids, vectors, fresh, reach) -> a, b, d: each member's nearest k of the group within its reach, pairs without a fresh member left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, GROUPS) for b in batches for i in range(0, b.num_rows, GROUPS)):
             out = [[], [], []]
             for group in batch["members"]:
                 rows = group.values
-                ids, v, fresh = rows.field("id").to_numpy(), _matrix(rows.field("v")), rows.field("fresh").to_numpy(zero_copy_only=False)
-                apart = _exact(v[:, None, :], v[None, :, :])
+                ids, v, reach = rows.field("id").to_numpy(), _matrix(rows.field("v")), rows.field("reach").to_numpy()
+                fresh = rows.field("fresh").to_numpy(zero_copy_only=False)
+                apart = _distances(v, v)
                 apart[(ids[:, None] == ids[None, :]) | ~(fresh[:, None] | fresh[None, :])] = np.inf
-                near = np.argsort(apart, axis=1, kind="stable")[:, :k]
-                far = np.take_along_axis(apart, near, axis=1)
-                row, place = np.nonzero(np.isfinite(far))
-                for column, x in zip(out, (ids[row], ids[near[row, place]], far[row, place]), strict=True):
+                near = np.argpartition(apart, min(k, len(ids)) - 1, axis=1)[:, :k]
+                row, place = np.nonzero(np.take_along_axis(apart, near, axis=1) < np.minimum(reach, np.finfo(float).max)[:, None])
+                near = near[row, place]
+                far = _exact(v[row], v[near])
+                for column, x in zip(out, (ids[row], ids[near], far), strict=True):
                     column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["a", "b", "d"])
 
@@ -59,8 +61,8 @@ def _met(k: int):
 
 
 def _compared(members: DataFrame, group: str, k: int) -> DataFrame:
-    """a, b, d from rows (group, id, v, fresh); a group's size has a bound."""
-    grouped = members.groupBy(group).agg(F.collect_list(F.struct("id", "v", "fresh")).alias("members")).select("members")
+    """a, b, d from rows (group, id, v, fresh, reach); a group's size has a bound."""
+    grouped = members.groupBy(group).agg(F.collect_list(F.struct("id", "v", "fresh", "reach")).alias("members")).select("members")
     return grouped.mapInArrow(_met(k), "a long, b long, d double")
 
 
@@ -68,7 +70,7 @@ def neighbour_graph(vectors: DataFrame, k: int = 15, wider: int = 2, directions:
     """a, b, d: for each of `vectors` (id, v) about its k nearest others.
 
     Neighbours of a point are likely to be each other's: with m = `wider` * k, a round compares the m nearest known to a
-    point, and up to m points that have it among theirs (drawn by a hash), with each other, if one of the two is new there.
+    point, and up to m points that have it among theirs (drawn by a hash), with each other, if one of the two is new there; only pairs nearer than the farthest known are passed on.
     The start are chunks of CHUNK vectors in their order along a few random directions. Rounds end when less than the
     share `change` of the links is new. So vectors meet about n * m * m times a round, not n * n; nearly all true
     neighbours are found, not all (the tests and `topic_layout_quality` measure how many). Vectors that are alike in no
@@ -81,7 +83,8 @@ def neighbour_graph(vectors: DataFrame, k: int = 15, wider: int = 2, directions:
     along = [F.aggregate(F.zip_with("v", F.lit(way.tolist()), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) for way in ways]
     placed = numbered(points.select("id", F.posexplode(F.array(*along)).alias("way", "along")), [F.col("along"), F.col("id")], "place", ["way"])
     chunks = placed.select("id", F.struct("way", F.floor(F.col("place") / CHUNK)).alias("chunk"), F.lit(True).alias("fresh"))
-    found = _compared(chunks.join(points, "id"), "chunk", m)
+    endless = F.lit(float("inf"))
+    found = _compared(chunks.join(points, "id").withColumn("reach", endless), "chunk", m)
     near = ["d", "b"]
     graph = materialize(_first(found.distinct(), "a", near, F.col("b"), m).withColumn("fresh", F.lit(True)))
     links = graph.count()
@@ -89,7 +92,9 @@ def neighbour_graph(vectors: DataFrame, k: int = 15, wider: int = 2, directions:
         drawn = _first(graph.select(F.col("b").alias("p"), F.col("a").alias("id"), "fresh"), "p", [F.xxhash64("id", F.lit(seed + r)), "id"], F.col("id"), m)
         around = graph.select(F.col("a").alias("p"), F.col("b").alias("id"), "fresh").unionByName(drawn)
         around = around.groupBy("p", "id").agg(F.max("fresh").alias("fresh"))
-        pairs = _compared(around.join(points, "id").select("p", "id", "v", "fresh"), "p", m)
+        farthest = graph.groupBy(F.col("a").alias("id")).agg(F.when(F.count(F.lit(1)) < m, endless).otherwise(F.max("d")).alias("reach"))
+        here = points.join(farthest, "id", "left").select("id", "v", F.coalesce("reach", endless).alias("reach"))
+        pairs = _compared(around.join(here, "id").select("p", "id", "v", "fresh", "reach"), "p", m)
         both = graph.select("a", "b", "d", F.lit(False).alias("fresh")).unionByName(pairs.withColumn("fresh", F.lit(True)))
         graph = materialize(_first(both.groupBy("a", "b").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh")), "a", near, F.col("b"), m))
         if graph.where("fresh").count() <= change * links:

@@ -35,13 +35,12 @@ class Tree:
         return len(self.feature) - 1
 
     def leaves_of(self, bins: np.ndarray) -> np.ndarray:
-        feature, cut, left, right = (np.array(x) for x in (self.feature, self.cut, self.left, self.right))
-        at, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
-        while len(rows):
-            rows = rows[feature[at[rows]] >= 0]
-            node = at[rows]
-            at[rows] = np.where(bins[rows, feature[node]] <= cut[node], left[node], right[node])
-        return at
+        def walk(node: int) -> np.ndarray | np.int64:
+            if self.feature[node] < 0:
+                return np.int64(node)
+            return np.where(bins[:, self.feature[node]] <= self.cut[node], walk(self.left[node]), walk(self.right[node]))
+
+        return np.broadcast_to(walk(0), len(bins))
 
 
 @dataclass
@@ -95,6 +94,15 @@ def _binning(df: DataFrame, label: str, numbers: Sequence[str], categories: Sequ
     return cuts, places
 
 
+def _unpacked(packed: pa.Array, n_features: int) -> np.ndarray:
+    """The bins of all rows, read where Arrow holds them; every row has one byte per feature."""
+    _, places, values = packed.buffers()
+    if not len(packed) or values is None:
+        return np.zeros((len(packed), n_features), np.uint8)
+    start = np.frombuffer(places, np.int32)[packed.offset]
+    return np.frombuffer(values, np.uint8)[start : start + len(packed) * n_features].reshape(-1, n_features)
+
+
 def _histograms(sent, n_features: int, n_classes: int):
     """Batches (bins, y, weight, valid) -> per node, feature and bin the sums of gradients and curvatures per class, and the losses in cell -1."""
 
@@ -102,10 +110,10 @@ def _histograms(sent, n_features: int, n_classes: int):
         model, tree, open_nodes = sent.value
         slot = np.full(len(tree.feature), -1)
         slot[open_nodes] = np.arange(len(open_nodes))
-        cells = np.zeros((len(open_nodes) * n_features * BINS, 2 * n_classes))
+        cells = np.zeros((len(open_nodes), n_features, BINS, 2 * n_classes))
         losses = np.zeros(4)
         for batch in batches:
-            bins = np.frombuffer(b"".join(batch["bins"].to_pylist()), np.uint8).reshape(batch.num_rows, n_features)
+            bins = _unpacked(batch["bins"], n_features)
             y, w, valid = batch["y"].to_numpy(), batch["weight"].to_numpy(), batch["valid"].to_numpy(zero_copy_only=False)
             p = probabilities(model.margins(bins))
             loss = -w * np.log(np.maximum(p[np.arange(len(y)), y], 1e-15))
@@ -115,11 +123,12 @@ def _histograms(sent, n_features: int, n_classes: int):
             p, y, w, at = p[rows], y[rows], w[rows, None], at[rows]
             gradient = w * p
             gradient[np.arange(len(y)), y] -= w[:, 0]
-            both = np.concatenate([gradient, w * p * (1 - p)], axis=1)
+            both = np.ascontiguousarray(np.concatenate([gradient, w * p * (1 - p)], axis=1).T)
             for f in range(n_features):
-                cell = (at * n_features + f) * BINS + bins[rows, f]
+                cell = at * BINS + bins[rows, f]
                 for k in range(2 * n_classes):
-                    cells[:, k] += np.bincount(cell, both[:, k], minlength=len(cells))
+                    cells[:, f, :, k] += np.bincount(cell, both[k], minlength=len(cells) * BINS).reshape(-1, BINS)
+        cells = cells.reshape(-1, 2 * n_classes)
         used = np.flatnonzero(np.abs(cells).sum(axis=1))
         sums = [pa.array(np.r_[losses[k] if k < 4 else 0.0, cells[used, k]]) for k in range(2 * n_classes)]
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, used]), *sums], ["cell", *(f"s{k}" for k in range(2 * n_classes))])

@@ -106,3 +106,15 @@ def test_no_rows(spark, model):
     empty = spark.createDataFrame([], "x double, y double, noise double, kind string, severity string")
     assert boosting.predicted(empty, model).count() == 0 and boosting.ranked(empty, model).count() == 0
     assert boosting.fit(empty, "severity", ["x"], ["kind"], CLASSES, F.lit(False), rounds=2).trees == []
+
+
+def test_trees_and_packed_bins_read_whole_columns():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    bins = rng.integers(0, boosting.BINS, (300, 3)).astype(np.uint8)
+    packed = pa.array([r.tobytes() for r in bins], pa.binary())
+    assert (boosting._unpacked(packed, 3) == bins).all() and (boosting._unpacked(packed.slice(7, 50), 3) == bins[7:57]).all()
+    tree = boosting.Tree([0, -1, 2, -1, -1], [9, 0, 20, 0, 0], [1, 0, 3, 0, 0], [2, 0, 4, 0, 0], [np.zeros(1)] * 5, [1.0] * 5)
+    assert tree.leaves_of(bins).tolist() == [1 if r[0] <= 9 else 3 if r[2] <= 20 else 4 for r in bins]
+    assert boosting.Tree([-1], [0], [0], [0], [np.zeros(1)], [1.0]).leaves_of(bins).tolist() == [0] * 300

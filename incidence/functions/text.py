@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from incidence.functions.tagger import Tagger, lowered
+
 #: The keyword lists of the demonstration texts.
 NEGATIVE = ("worthless", "moron")
 STRONG = ("thernt", "enment", "keitung")
@@ -38,12 +43,37 @@ def hits(text: Column, words: tuple[str, ...]) -> Column:
     return F.filter(F.array(*map(F.lit, words)), lambda w: low.contains(w))
 
 
+@lru_cache(maxsize=8)
+def _tagger(negative: tuple[str, ...], strong: tuple[str, ...], weak: tuple[str, ...]) -> Tagger:
+    out = Tagger()
+    for kind, words in (("negative", negative), ("strong", strong), ("weak", weak)):
+        for word in words:
+            out.add(kind, word, word)
+    return out.close()
+
+
+def found_words(text: str | None, negative: tuple[str, ...], strong: tuple[str, ...], weak: tuple[str, ...]) -> tuple[bool, list[str]]:
+    """What `keyword_filter` says of a text."""
+    tags = _tagger(negative, strong, weak).tags(lowered(text or ""))
+    if "negative" in tags:
+        return False, []
+    held = lambda kind: {note for *_, note in tags.get(kind, ())}
+    most, more = held("strong"), held("weak")
+    return bool(most), [w for w in strong if w in most] + [w for w in weak if w in more]
+
+
 def keyword_filter(text: Column, negative: tuple[str, ...] = NEGATIVE, strong: tuple[str, ...] = STRONG, weak: tuple[str, ...] = WEAK) -> Column:
-    """struct(is_match, keywords): a negative word vetoes; a strong one matches; the keywords are the strong and weak hits."""
-    veto = F.size(hits(text, negative)) > 0
-    found = F.concat(hits(text, strong), hits(text, weak))
-    none = F.array().cast("array<string>")
-    return F.struct((~veto & (F.size(hits(text, strong)) > 0)).alias("is_match"), F.when(veto, none).otherwise(found).alias("keywords"))
+    """struct(is_match, keywords): a negative word vetoes; a strong one matches; the keywords are the strong and weak hits.
+
+    A text is read once by an automaton over all words, and not once for every word.
+    """
+
+    @F.arrow_udf("struct<is_match:boolean,keywords:array<string>>")
+    def told(texts: pa.Array) -> pa.Array:
+        rows = [found_words(t, negative, strong, weak) for t in texts.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.bool_()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], ["is_match", "keywords"])
+
+    return told(text)
 
 
 def incident_filter(text: Column) -> Column:

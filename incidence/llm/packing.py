@@ -26,10 +26,12 @@ class Vocabulary:
     Texts are cut where byte-level vocabularies never join: around runs of Latin letters, of digits and of marks, around
     single newlines, and else before a space that follows a character which is no white space. So the ids of the parts
     are those of the text. A part's ids are asked of the library and kept; the KEPT parts used last, each of at most
-    LONGEST characters, are known, in two generations.
+    LONGEST characters, are known, in two generations. Words of Latin letters are asked RUN at a time, as one text with
+    points between them, which are cut off by the same rules; the library's answer to a text costs more than its words.
     """
 
-    LONGEST, KEPT = 64, 1 << 19
+    LONGEST, KEPT, RUN = 64, 1 << 19, 256
+    _WORD = re.compile(rf" ?[{_LATIN}]+")
     # A mark followed by a letter starts no contraction, as apostrophes are not among the marks; U+180E is white space
     # to some versions of Unicode.
     _PARTS = re.compile(
@@ -46,6 +48,28 @@ class Vocabulary:
         self.special = re.compile(f"({'|'.join(names)})") if names else None
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.point = self.library.encode(".", add_special_tokens=False).ids
+
+    def _asked(self, parts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Parts and their ids, of the library."""
+        alone = []
+        if len(self.point) == 1:
+            words = []
+            for p in parts:
+                (words if self._WORD.fullmatch(p) else alone).append(p)
+            runs = [words[i : i + self.RUN] for i in range(0, len(words), self.RUN)]
+            for run, e in zip(runs, self.library.encode_batch_fast([".".join(run) + "." for run in runs], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                ends = np.flatnonzero(ids == self.point[0]).tolist()
+                if len(ends) == len(run):
+                    held = ids.tobytes()
+                    yield from zip(run, (held[4 * a + 4 : 4 * b] for a, b in pairwise([-1, *ends])), strict=True)
+                else:  # a string of the vocabulary's own has a point in it
+                    alone += run
+        else:
+            alone = parts
+        for p, e in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            yield p, array("I", e.ids).tobytes()
 
     def _parts(self, text: str) -> list[str]:
         if not self.special or not self.special.search(text):
@@ -61,8 +85,7 @@ class Vocabulary:
                 asked.append(p)
             else:
                 self.young[p] = known
-        found = self.library.encode_batch_fast(asked, add_special_tokens=False)
-        self.young.update((p, array("I", e.ids).tobytes()) for p, e in zip(asked, found, strict=True))
+        self.young.update(self._asked(asked))
         out = [b"".join(map(self.young.__getitem__, parts)) for parts in cut]
         for p in asked:
             if len(p) > self.LONGEST:

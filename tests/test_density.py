@@ -1,6 +1,10 @@
 """Density clustering against a plain version on small sets."""
 
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from incidence.operators import density
@@ -115,3 +119,60 @@ def test_two_heaps_of_copies(spark):
     rows = [(i, [float(i % 2 * 9)]) for i in range(60)] + [(100, [4.0])]
     out = {r["id"]: r["cluster"] for r in density.hdbscan(spark.createDataFrame(rows, "id long, v array<double>"), 5, 3).collect()}
     assert {out[i] for i in range(0, 60, 2)} == {0} and {out[i] for i in range(1, 60, 2)} == {1}
+
+
+class Caught(Exception):
+    """Carries the function that a task would run."""
+
+
+class Rows:
+    """In place of a table: gives away what would run over its batches."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):  # noqa: N802
+        raise Caught(run)
+
+
+def in_a_task(monkeypatch, call, *sent):
+    """What `call` runs in a task for a block of queries (ids, matrix, ...)."""
+    monkeypatch.setattr(density, "_asked", lambda *_: iter([SimpleNamespace(value=sent)]))
+    with pytest.raises(Caught) as caught:
+        call(Rows())
+    return caught.value.args[0]
+
+
+def most_held(run, batches):
+    """(rows, MB that Python held at most meanwhile)."""
+    tracemalloc.start()
+    try:
+        out = list(run(iter(batches)))
+        held = tracemalloc.get_traced_memory()[1] / 2**20
+        return pa.Table.from_batches(out).to_pydict(), held
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_a_task_is_bounded(spark, monkeypatch):
+    """A full block of queries meets full batches, vectors at random and all equally far: Python holds little, rows are right."""
+    rng, n, m = np.random.default_rng(5), density.BLOCK, 16
+    q, v = rng.normal(size=(n, 10)), rng.normal(size=(2 * density.VECTORS, 10))
+    ids, there = np.arange(n), np.arange(n, n + len(v))
+    columns = [pa.array(there), pa.array(list(v)), pa.array(np.ones(len(v), np.int64))]
+    run = in_a_task(monkeypatch, lambda rows: density.neighbours(rows, m, rows), ids, q)
+    out, held = most_held(run, [pa.RecordBatch.from_arrays(columns, ["id", "v", "n"])])
+    assert held < 40
+    assert len(out["a"]) == n * m
+    for i in (0, 511, 512, n - 1):
+        far = np.sqrt(((v - q[i]) ** 2).sum(1))
+        first = np.lexsort((there, far))[:m]
+        found = sorted((d, b) for a, b, d in zip(out["a"][i * m : i * m + m], out["b"][i * m : i * m + m], out["d"][i * m : i * m + m], strict=True) if a == i)
+        assert [b for _, b in found] == there[first].tolist() and np.allclose([d for d, _ in found], far[first], rtol=1e-12)
+    # Cores beyond all distances make each reach the same, so that every pair is a candidate.
+    core, far = np.full(n, 100.0), np.full(len(v), 100.0)
+    columns = [*columns[:2], pa.array(far), pa.array(np.full(len(v), n))]
+    run = in_a_task(monkeypatch, lambda rows: density._nearest_outside(rows, rows), ids, q, core, ids)
+    out, held = most_held(run, [pa.RecordBatch.from_arrays(columns, ["id", "v", "core", "comp"])])
+    assert held < 80
+    assert out["a"] == ids.tolist() and set(out["b"]) == {n} and set(out["w"]) == {100.0} and set(out["other"]) == {n}

@@ -16,6 +16,8 @@ from incidence.sources.files import materialize
 
 #: Bins of a feature; the first holds nulls and categories that training did not see.
 BINS = 32
+#: Rows of a packed record, rows that a task works on at a time, and trees after which the rows' margins are written anew.
+PACKED, AT_ONCE, KEPT = 256, 65_536, 10
 
 
 @dataclass
@@ -35,9 +37,9 @@ class Tree:
         return len(self.feature) - 1
 
     def leaves_of(self, bins: np.ndarray) -> np.ndarray:
-        def walk(node: int) -> np.ndarray | np.int64:
+        def walk(node: int) -> np.ndarray | np.int32:
             if self.feature[node] < 0:
-                return np.int64(node)
+                return np.int32(node)
             return np.where(bins[:, self.feature[node]] <= self.cut[node], walk(self.left[node]), walk(self.right[node]))
 
         return np.broadcast_to(walk(0), len(bins))
@@ -70,10 +72,14 @@ class Model:
         return out
 
     def margins(self, bins: np.ndarray) -> np.ndarray:
-        out = np.tile(self.start, (len(bins), 1))
-        for tree in self.trees:
-            out += np.stack(tree.value)[tree.leaves_of(bins)]
-        return out
+        return _moved(np.tile(self.start, (len(bins), 1)), self.trees, bins)
+
+
+def _moved(margins: np.ndarray, trees: Sequence[Tree], bins: np.ndarray) -> np.ndarray:
+    """`margins`, which are changed, with the values of `trees` added."""
+    for tree in trees:
+        margins += np.stack(tree.value)[tree.leaves_of(bins)]
+    return margins
 
 
 def probabilities(margins: np.ndarray) -> np.ndarray:
@@ -103,35 +109,67 @@ def _unpacked(packed: pa.Array, n_features: int) -> np.ndarray:
     return np.frombuffer(values, np.uint8)[start : start + len(packed) * n_features].reshape(-1, n_features)
 
 
-def _histograms(sent, n_features: int, n_classes: int):
-    """Batches (bins, y, weight, valid) -> per node, feature and bin the sums of gradients and curvatures per class, and the losses in cell -1."""
+_RECORDS = "bins binary, y binary, weight binary, valid binary, margins binary"
+
+
+def _records(bins: np.ndarray, y: np.ndarray, weight: np.ndarray, valid: np.ndarray, margins: np.ndarray) -> pa.RecordBatch:
+    """PACKED rows in a record, so that Spark passes few long values on, not many short ones."""
+    columns = {"bins": bins.astype(np.uint8), "y": y.astype(np.uint8), "weight": weight.astype(np.float64), "valid": valid.astype(np.uint8), "margins": margins.astype(np.float64)}
+    cut = lambda values: pa.array([values[i : i + PACKED].tobytes() for i in range(0, len(values), PACKED)], pa.binary())
+    return pa.RecordBatch.from_arrays([cut(v) for v in columns.values()], list(columns))
+
+
+def _rows(batches: Iterator[pa.RecordBatch], n_features: int, n_classes: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """bins, y, weight, valid, margins of AT_ONCE rows at most; a feature's bins lie side by side."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, AT_ONCE // PACKED):
+            part = batch.slice(start, AT_ONCE // PACKED)
+            read = lambda name, kind: np.frombuffer(b"".join(part[name].to_pylist()), kind)  # noqa: B023, E731
+            bins = np.ascontiguousarray(read("bins", np.uint8).reshape(-1, n_features).T).T
+            yield bins, read("y", np.uint8).astype(np.int64), read("weight", np.float64), read("valid", np.bool_), read("margins", np.float64).reshape(-1, n_classes)
+
+
+def _histograms(trees: Sequence[Tree], tree: Tree, open_nodes: Sequence[int], n_features: int, n_classes: int):
+    """Records -> one row a task: per open node of `tree`, feature and bin the sums of gradients and curvatures per class, and at the root the losses.
+
+    `trees` are those that the records' margins don't hold yet.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, tree, open_nodes = sent.value
         slot = np.full(len(tree.feature), -1)
         slot[open_nodes] = np.arange(len(open_nodes))
         cells = np.zeros((len(open_nodes), n_features, BINS, 2 * n_classes))
         losses = np.zeros(4)
-        for batch in batches:
-            bins = _unpacked(batch["bins"], n_features)
-            y, w, valid = batch["y"].to_numpy(), batch["weight"].to_numpy(), batch["valid"].to_numpy(zero_copy_only=False)
-            p = probabilities(model.margins(bins))
-            loss = -w * np.log(np.maximum(p[np.arange(len(y)), y], 1e-15))
-            losses += [loss[~valid].sum(), w[~valid].sum(), loss[valid].sum(), w[valid].sum()]
+        for bins, y, w, valid, margins in _rows(batches, n_features, n_classes):
             at = slot[tree.leaves_of(bins)]
             rows = np.flatnonzero((at >= 0) & ~valid)
-            p, y, w, at = p[rows], y[rows], w[rows, None], at[rows]
+            if len(tree.feature) == 1:
+                p = probabilities(_moved(margins.copy(), trees, bins))
+                loss = -w * np.log(np.maximum(p[np.arange(len(y)), y], 1e-15))
+                losses += [loss[~valid].sum(), w[~valid].sum(), loss[valid].sum(), w[valid].sum()]
+                bins, p = bins.T[:, rows].T, p[rows]
+            else:
+                bins = bins.T[:, rows].T
+                p = probabilities(_moved(margins[rows], trees, bins))
+            y, w, at = y[rows], w[rows, None], at[rows] * BINS
             gradient = w * p
             gradient[np.arange(len(y)), y] -= w[:, 0]
             both = np.ascontiguousarray(np.concatenate([gradient, w * p * (1 - p)], axis=1).T)
             for f in range(n_features):
-                cell = at * BINS + bins[rows, f]
+                cell = at + bins[:, f]
                 for k in range(2 * n_classes):
                     cells[:, f, :, k] += np.bincount(cell, both[k], minlength=len(cells) * BINS).reshape(-1, BINS)
-        cells = cells.reshape(-1, 2 * n_classes)
-        used = np.flatnonzero(np.abs(cells).sum(axis=1))
-        sums = [pa.array(np.r_[losses[k] if k < 4 else 0.0, cells[used, k]]) for k in range(2 * n_classes)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, used]), *sums], ["cell", *(f"s{k}" for k in range(2 * n_classes))])
+        yield pa.RecordBatch.from_arrays([pa.array([cells.tobytes()], pa.binary()), pa.array([losses.tobytes()], pa.binary())], ["cells", "losses"])
+
+    return run
+
+
+def _advanced(trees: Sequence[Tree], n_features: int, n_classes: int):
+    """Records -> the same with margins that hold `trees` too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bins, y, w, valid, margins in _rows(batches, n_features, n_classes):
+            yield _records(bins, y, w, valid, _moved(margins.copy(), trees, bins))
 
     return run
 
@@ -165,8 +203,10 @@ def fit(
     """Additive trees on the softmax loss, one tree with a value per class each round, until the loss of `valid` rows hasn't fallen for `patience` rounds.
 
     Classes weigh the same: total / (classes * count). Features are cut into BINS bins at quantiles of the rows that aren't
-    `valid`; nulls have a bin. A level of a tree is one pass: tasks sum gradients and curvatures of their rows by node,
-    feature and bin, Spark adds the tasks' sums up, and the driver sees one row per cell, however many rows there are.
+    `valid`; nulls have a bin. Rows with equal bins and class are one row with their summed weight. A level of a tree is one
+    pass: tasks, as many as there are cores, sum gradients and curvatures of their rows by node, feature and bin, and the
+    driver adds the tasks' sums up. Rows carry their margins, which are written anew after KEPT trees, so that a pass walks
+    fewer trees than that however many rounds there are.
     The trees after the best round are dropped. Rows with another label than `classes` are left out.
     """
     classes = tuple(classes)
@@ -179,27 +219,27 @@ def fit(
     model = Model(cuts, places, classes, np.zeros(n))
     n_features = len(model.features)
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {c: i for i, c in enumerate(classes)}
         for batch in batches:
             y = np.array([place[v] for v in batch[label].to_pylist()], np.int64)
             bins = [row.tobytes() for row in model.bins(batch)]
-            yield pa.RecordBatch.from_arrays([pa.array(bins, pa.binary()), pa.array(y), pa.array(np.array(weights)[y]), batch["_valid"]], ["bins", "y", "weight", "valid"])
+            yield pa.RecordBatch.from_arrays([pa.array(bins, pa.binary()), pa.array(y), batch["_valid"]], ["bins", "y", "valid"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y, rows = batch["y"].to_numpy(), batch["n"].to_numpy()
+            yield _records(_unpacked(batch["bins"], n_features), y, np.array(weights)[y] * rows, batch["valid"].to_numpy(zero_copy_only=False), np.tile(model.start, (len(y), 1)))
 
-    table = materialize(learn.mapInArrow(packed, "bins binary, y long, weight double, valid boolean"))
-    context = df.sparkSession.sparkContext
-    schema = "cell long, " + ", ".join(f"s{k} double" for k in range(2 * n))
+    n_tasks = df.sparkSession.sparkContext.defaultParallelism
+    distinct = learn.mapInArrow(binned, "bins binary, y long, valid boolean").groupBy("bins", "y", "valid").agg(F.count(F.lit(1)).alias("n"))
+    table = materialize(distinct.repartition(n_tasks).mapInArrow(packed, _RECORDS))
+    held = 0  # trees that the margins of `table` hold
 
     def summed(tree: Tree, open_nodes: list[int]) -> tuple[np.ndarray, tuple[float, float]]:
-        sent = context.broadcast((model, tree, open_nodes))  # trees only
-        found = table.mapInArrow(_histograms(sent, n_features, n), schema).groupBy("cell").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(2 * n)]).collect()
-        sent.unpersist()
-        cells, losses = np.zeros((max(len(open_nodes), 1) * n_features * BINS, 2 * n)), np.zeros(4)
-        for r in found:
-            if r["cell"] < 0:
-                losses = np.array([r[f"s{k}"] for k in range(4)])
-            else:
-                cells[r["cell"]] = list(r)[1:]
+        work = _histograms(model.trees[held:], tree, open_nodes, n_features, n)
+        found = table.coalesce(n_tasks).mapInArrow(work, "cells binary, losses binary").collect()
+        cells, losses = (sum((np.frombuffer(r[c], np.float64) for r in found), np.zeros(size)) for c, size in (("cells", len(open_nodes) * n_features * BINS * 2 * n), ("losses", 4)))
         return cells.reshape(-1, n_features, BINS, 2 * n), (float(losses[0] / max(losses[1], 1e-12)), float(losses[2] / max(losses[3], 1e-12)))
 
     best = (math.inf, 0)
@@ -230,6 +270,8 @@ def fit(
             if not frontier:
                 break
         model.trees.append(tree)
+        if len(model.trees) - held >= KEPT:
+            table, held = materialize(table.mapInArrow(_advanced(model.trees[held:], n_features, n), _RECORDS)), len(model.trees)
 
 
 def _with_bins(df: DataFrame, model: Model, columns: list[T.StructField], work) -> DataFrame:

@@ -36,7 +36,7 @@ def severity_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Losses of every round on both folds, then the figures of the kept rounds on held-out accidents."""
     learn, test = split_rows(spark, sf_dir)
     model = trained(learn)
-    told = materialize(boosting.predicted(test, model).select("severity", "predicted", F.get("proba", F.array_position(F.array(*map(F.lit, CLASSES)), F.col("severity")).cast("int") - 1).alias("p")))
+    told = materialize(boosting.predicted(test.select("severity", *model.features), model).select("severity", "predicted", F.get("proba", F.array_position(F.array(*map(F.lit, CLASSES)), F.col("severity")).cast("int") - 1).alias("p")))
     loss, hits = told.agg(F.avg(-F.log(F.greatest("p", F.lit(1e-15)))), F.avg((F.col("severity") == F.col("predicted")).cast("double"))).first()
     rows = [(part, i, round(x, 6)) for i, pair in enumerate(model.losses) for part, x in zip(("training loss", "validation loss"), pair, strict=True)]
     rows += [(name, len(model.trees), round(float(x), 6)) for name, x in (("test loss", loss), ("test accuracy", hits), ("test f1_macro", macro_f1(told, "severity", "predicted")))]

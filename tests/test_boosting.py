@@ -118,3 +118,31 @@ def test_trees_and_packed_bins_read_whole_columns():
     tree = boosting.Tree([0, -1, 2, -1, -1], [9, 0, 20, 0, 0], [1, 0, 3, 0, 0], [2, 0, 4, 0, 0], [np.zeros(1)] * 5, [1.0] * 5)
     assert tree.leaves_of(bins).tolist() == [1 if r[0] <= 9 else 3 if r[2] <= 20 else 4 for r in bins]
     assert boosting.Tree([-1], [0], [0], [0], [np.zeros(1)], [1.0]).leaves_of(bins).tolist() == [0] * 300
+
+
+def test_a_pass_walks_few_trees_and_equal_rows_are_one(rows, monkeypatch):
+    """What was walked grew with the rounds, and copies of a row were summed one by one."""
+    walked, seen = [], []
+    kept, records = boosting._histograms, boosting.materialize
+    monkeypatch.setattr(boosting, "_histograms", lambda trees, *rest: walked.append(len(trees)) or kept(trees, *rest))
+    monkeypatch.setattr(boosting, "materialize", lambda df: seen.append(out := records(df)) or out)
+    fitted = lambda df, n: boosting.fit(df, "severity", ["x", "y", "noise"], ["kind"], CLASSES, F.col("id") % 5 == 1, rounds=n, patience=30)
+    once = fitted(rows.where("id % 5 <> 0"), 25)
+    assert len(walked) > 60 and max(walked) < boosting.KEPT
+    size = lambda df: df.selectExpr("sum(length(y))").first()[0]
+    packed = size(seen[1])
+    seen.clear()
+    often = fitted(rows.where("id % 5 <> 0").withColumn("_again", F.explode(F.sequence(F.lit(1), F.lit(4)))).drop("_again"), 2)
+    assert size(seen[1]) == packed <= rows.where("id % 5 <> 0").count()
+    assert np.allclose(once.losses[0], often.losses[0])
+
+
+def test_margins_are_those_of_all_trees(rows):
+    """The losses that training tells of its last round are those of the whole model on all rows, read one by one."""
+    learn = rows.where("id % 5 <> 0")
+    model = boosting.fit(learn, "severity", ["x", "y", "noise"], ["kind"], CLASSES, F.col("id") % 5 == 1, rounds=23, patience=30)
+    told = boosting.predicted(learn.where("id % 5 = 1"), model).collect()
+    counts = {r[0]: r[1] for r in learn.where("id % 5 <> 1").groupBy("severity").count().collect()}
+    weight = np.array([1 / counts[r["severity"]] for r in told])
+    loss = -np.log([r["proba"][CLASSES.index(r["severity"])] for r in told])
+    assert len(model.trees) > boosting.KEPT and np.isclose((weight * loss).sum() / weight.sum(), model.losses[len(model.trees)][1])
